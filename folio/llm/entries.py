@@ -7,12 +7,14 @@ from .fingerprint import op4_fingerprints
 from .language import op7_language_id, page_language
 from .packing import op5_packing
 from .shards import op2_shards
+from .suffix_dedup import op3_suffix_dedup
 from .token_files import op6_token_files
 from .url_filter import OP8_SQL, op8_url_filter
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
     "op2_shards": op2_shards,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_packing": op5_packing,
     "op6_token_files": op6_token_files,
