@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_decontaminate
 from .fingerprint import op4_fingerprints
+from .jaccard_join import op1_jaccard_join
 from .language import op7_language_id, page_language
 from .packing import op5_packing
 from .shards import op2_shards
@@ -13,6 +14,7 @@ from .url_filter import OP8_SQL, op8_url_filter
 from .warc import OP10_SQL, op10_warc
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_shards": op2_shards,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_fingerprints": op4_fingerprints,
