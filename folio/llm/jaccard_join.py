@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_tasks, release, written
+from .common import free_name, n_tasks, release, written
 from .components import connected_components
 from .kernels import NOT_SPACE, Words, chunks, mix
 from .suffix_dedup import id_key, multikey_order
@@ -404,5 +404,17 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     return out
 
 
+def one_of_each_group(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the rows that linked_groups links to a row of a smaller doc_id. Exact repeats of a row's id and text are one
+    row then; rows with a null doc_id stay only in groups without any other id. Order of rows isn't kept."""
+    groups = written(linked_groups(docs, words, num, den, doc_id, text), "groups")
+    key = free_name(docs, "id__")
+    keep = groups.where("doc_id <=> component_id").select(id_key(F.col("doc_id")).alias(key)).distinct()
+    out = docs.hint("merge").join(keep, id_key(F.col(doc_id)) == F.col(key), "left_semi")
+    if not groups.groupBy("doc_id").count().where("count > 1").isEmpty():
+        out = out.dropDuplicates([doc_id, text])
+    return out
+
+
 def op1_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return linked_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), words=3, num=90, den=100)

@@ -230,7 +230,7 @@ def _compared(docs: DataFrame, marks: DataFrame, edges: dict[int, int], length:
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(edges)  # two anchors a bucket at most
     asked = marks.where(f"state in ({COMPARE}, {COMPARE_HOT}, {EDGE})").groupBy("doc").agg(F.collect_list(F.struct("state", "anchor", "place")).alias("asked"))
-    rows = docs.join(asked, "doc").select("doc", "text", "asked")
+    rows = docs.hint("merge").join(asked, "doc").select("doc", "text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,7 +381,7 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lists = written(lists, "spans")
     release(suffixes, marks, compared)
     rows = docs.drop(spans) if spans != text else docs
-    joined = rows.join(lists, id_key(F.col(doc_id)) == F.col(doc_key), "left").drop(doc_key)
+    joined = rows.hint("merge").join(lists, id_key(F.col(doc_id)) == F.col(doc_key), "left").drop(doc_key)
     schema = StructType([*rows.schema.fields, StructField(spans, ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -413,6 +413,28 @@ def without_spans(data: bytes, spans: list[dict]) -> bytes:
     return b"".join([*keep, data[at:]])
 
 
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """docs with the repeated spans cut out of each text, without the rows of which nothing but white space is left by that.
+
+    Spans are bytes: of a character that a span cuts through, the rest goes too. Null and untouched texts stay as they are.
+    """
+    spans = free_name(docs, "spans")
+    found = repeated_spans(docs, doc_id, text, length, spans)
+    names, at = docs.columns, docs.columns.index(text)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, keep = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool)
+            for i, s in enumerate(batch.column(spans).to_pylist()):
+                if s:
+                    texts[i] = without_spans(texts[i].encode("utf-8", "surrogatepass"), s).decode("utf-8", "ignore")
+                    keep[i] = bool(texts[i].strip())
+            out = batch.drop_columns([spans])
+            yield out.set_column(at, names[at], pa.array(texts, out.column(at).type)).filter(pa.array(keep))
+
+    return found.mapInArrow(cut, docs.schema)
+
+
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
