@@ -112,14 +112,14 @@ def clean_body(col: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-NUMBER = r"\d+(?:[.,]\d+)?\s*%?"
+NUMBER = r"\d+(?:[.,]\d+)?(?:\s*%)?"
 
 
 def masked(col: Column, level: int, officials: Sequence[str] = (), politicians: Sequence[str] = (), indicators: Sequence[str] = (), era: Sequence[str] = (), outlets: Sequence[str] = ()) -> Column:
     """Masks that build on each other: 1 dates, 2 officials, 3 politicians, 4 the levels of indicators, 5 words of an era,
     outlets, all numbers and capitalised names that don't begin a sentence. Longer names go first. Null stays null."""
     month = r"(?:janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)"
-    out = F.regexp_replace(col, rf"(?iu)\b\d{{1,2}}\s+de\s+{month}(?:\s+de\s+\d{{4}})?|\b\d{{1,2}}/\d{{1,2}}(?:/\d{{2,4}})?|\b(?:19|20)\d{{2}}\b", "[DATA]")
+    out = F.regexp_replace(col, rf"(?iu)\b\d{{1,2}}\s+de\s+{month}(?:\s+de\s+\d{{4}})?|\b\d{{1,2}}/\d{{4}}\b|\b\d{{1,2}}/\d{{1,2}}(?:/\d{{2,4}})?|\b(?:19|20)\d{{2}}\b", "[DATA]")
     names = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
     if level >= 2 and officials:
         out = F.regexp_replace(out, rf"(?U)\b(?:{names(officials)})\b", "[AUTORIDADE]")
