@@ -235,7 +235,7 @@ def _curve(spark):
 @query(f"""
 WITH {CURVE}, q AS (SELECT c, du, avg(rate)::DOUBLE AS rate FROM curve GROUP BY ALL), p AS (SELECT *, ln(1 + rate / 100) * du / 252.0::DOUBLE AS f FROM q), t AS (SELECT unnest({TENORS}) AS tenor),
 b AS (SELECT c, tenor, max(du) FILTER (du <= tenor) AS lo, min(du) FILTER (du >= tenor) AS hi FROM p, t GROUP BY ALL)
-SELECT b.c, tenor, round(CASE WHEN lo = hi THEN l.rate ELSE (exp((l.f + (tenor - lo) / (hi - lo)::DOUBLE * (h.f - l.f)) * 252.0::DOUBLE / tenor) - 1) * 100 END, 6) AS rate
+SELECT b.c, tenor AS "at", round(CASE WHEN lo = hi THEN l.rate ELSE (exp((l.f + (tenor - lo) / (hi - lo)::DOUBLE * (h.f - l.f)) * 252.0::DOUBLE / tenor) - 1) * 100 END, 6) AS rate
 FROM b LEFT JOIN p l ON l.c = b.c AND l.du = lo LEFT JOIN p h ON h.c = b.c AND h.du = hi
 UNION ALL SELECT c, -1, max(du)::DOUBLE FROM curve GROUP BY c""")
 def curve_vertices(spark, sf):
