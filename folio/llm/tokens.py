@@ -18,6 +18,7 @@ _CUT = re.compile(r" (?=[^\s\x1c-\x1f\x85᠎​-‏  ⁠﻿])")
 
 #: A word that separates new parts as they are encoded together; parts that have it are encoded alone.
 _BETWEEN = "\0"
+_MARKS = ".,;:!?*%$#&"
 
 
 class WordTokenizer:
@@ -30,12 +31,17 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab()
+        mark = lambda test: np.array([test(t) for t, _ in sorted(vocabulary.items(), key=lambda x: x[1])])
+        self.begins = mark(lambda t: t.startswith("\u0120")) if "\u0120" in vocabulary and "a</w>" not in vocabulary else None
+        self.ends = mark(lambda t: t.endswith("</w>")) if "a</w>" in vocabulary else None
         self.between = self.library.encode(" " + _BETWEEN, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
         self.later: dict[str, int] = {"": _NO_START}  # parts after a space
         self.firsts: dict[str, int] = {}
+        self.marks: dict[str, int] = {}
         self.flat = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.n = 0
@@ -53,25 +59,79 @@ class WordTokenizer:
         return first
 
     def _learn(self, parts: list[str], lead: str, into: dict[str, int]) -> None:
-        """Encodes new parts: those after a space in one text, with a word between them that none of them has."""
-        alone = [p for p in parts if not lead or _BETWEEN in p]
-        for p in alone:
-            ids = np.array(self.library.encode(lead + p, add_special_tokens=False).ids, np.uint32)
-            into[p] = self._append(ids, np.array([len(ids)]))
-        joined = [p for p in parts if lead and _BETWEEN not in p]
-        for i in range(0, len(joined), 1000):
-            some = joined[i : i + 1000]
-            text = "".join(f"{lead}{p} {_BETWEEN}" for p in some)
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            m = len(self.between)
-            ends = np.flatnonzero(ids == self.between[-1]) + 1 - m
-            keep = np.ones(len(ids), bool)
-            for j in range(m):
-                keep[ends + j] = False
-            assert len(ends) == len(some)
-            first = self._append(ids[keep], ends - m * np.arange(len(some)))
+        """Encodes new parts; those after a space a thousand at a time, in one text."""
+        together = []
+        for p in parts:
+            if lead and _BETWEEN not in p:
+                together.append(p)
+            else:
+                ids = np.array(self.library.encode(lead + p, add_special_tokens=False).ids, np.uint32)
+                into[p] = self._append(ids, np.array([len(ids)]))
+        for i in range(0, len(together), 1000):
+            some = together[i : i + 1000]
+            ids, ends = self._together(some, lead)
+            first = self._append(ids, ends)
             into.update(zip(some, range(first, first + len(some)), strict=True))
 
+    def _together(self, parts: list[str], lead: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the parts in one array, and where each ends.
+
+        A part begins with the only token that begins with a space; or it is all letters, so one word, and ends with the only token
+        that ends a word. If the counts say otherwise, the parts are encoded with a word between them that none of them has."""
+        if self.begins is not None:
+            ids = self._ids(lead + lead.join(parts))
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(parts) and starts[0] == 0:
+                return ids, np.append(starts[1:], len(ids))
+        elif self.ends is not None and all(map(str.isalpha, parts)):
+            ids = self._ids(lead + lead.join(parts))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(parts) and ends[-1] == len(ids):
+                return ids, ends
+        ids = self._ids("".join(f"{lead}{p} {_BETWEEN}" for p in parts))
+        m = len(self.between)
+        at = np.flatnonzero(ids == self.between[-1]) + 1 - m
+        keep = np.ones(len(ids), bool)
+        for j in range(m):
+            keep[at + j] = False
+        assert len(at) == len(parts)
+        return ids[keep], at - m * np.arange(len(parts))
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn_words(self, parts: list[str], into: dict[str, int]) -> None:
+        """New parts after a space. One that ends in marks after a letter or digit is its word's ids and then the marks': no token
+        has both."""
+        plain, words, marks, whole = [], [], [], []
+        for p in parts:
+            word = p.rstrip(_MARKS)
+            if word and len(word) < len(p) and word[-1].isalnum() and len(word[-1].lower()) == 1:
+                words.append(word)
+                marks.append(p[len(word) :])
+                whole.append(p)
+            else:
+                plain.append(p)
+        plain += dict.fromkeys(w for w in words if w not in into)
+        plain = list(dict.fromkeys(plain))
+        pure = [p for p in plain if p.isalpha()]
+        self._learn(pure, " ", into)
+        if len(pure) < len(plain):
+            self._learn([p for p in plain if not p.isalpha()], " ", into)
+        self._learn([m for m in dict.fromkeys(marks) if m not in self.marks], "", self.marks)
+        if whole:
+            a, b = np.array([into[w] for w in words]), np.array([self.marks[m] for m in marks])
+            pairs = np.column_stack([a, b]).ravel()
+            ids, ends = self._gather(pairs)
+            first = self._append(ids, ends[1::2])
+            into.update(zip(whole, range(first, first + len(whole)), strict=True))
+
+    def _gather(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        a = self.starts[parts]
+        n = self.starts[parts + 1] - a
+        ends = np.cumsum(n)
+        return self.flat[np.repeat(a - ends + n, n) + np.arange(int(ends[-1]))], ends
+
     def encode(self, texts: list[str | None], end: int | None = None) -> list[np.ndarray]:
         """The ids of each text (null: empty) as uint32, followed by the id `end` if given."""
         if self.n > MOST_WORDS:
@@ -86,15 +146,8 @@ class WordTokenizer:
                 found[i] = f
         out = []
         for f in found:
-            a = self.starts[f]
-            n = self.starts[f + 1] - a
-            ends = np.cumsum(n)
-            total = int(ends[-1])
-            ids = np.empty(total + (end is not None), np.uint32)
-            ids[:total] = self.flat[np.repeat(a - ends + n, n) + np.arange(total)]
-            if end is not None:
-                ids[total] = end
-            out.append(ids)
+            ids, _ = self._gather(f)
+            out.append(ids if end is None else np.append(ids, np.uint32(end)))
         return out
 
     def _find(self, cut: list[list[str]], sure: bool = False) -> list[np.ndarray]:
@@ -110,10 +163,10 @@ class WordTokenizer:
         if len(missing := np.flatnonzero(got == _MISS)):
             new = dict.fromkeys(rest[i] for i in missing.tolist())
             if not sure:
-                for p in [p for p in new if not _CUT.match(" " + p)]:
+                for p in [p for p in new if not (p[0].isalnum() or _CUT.match(" " + p))]:
                     self.later[p] = _NO_START
                     del new[p]
-            self._learn(list(new), " ", table)
+            self._learn_words(list(new), table)
             for i in missing.tolist():
                 got[i] = table[rest[i]]
         out, at = [], 0
