@@ -29,7 +29,7 @@ BLOCK, PLACE_BITS = 1 << 18, 20
 #: Suffixes in a bucket, about: a task sorts one in memory.
 BUCKET = 1 << 20
 #: Distinct segments of one anchor from which their windows are compared by hash in many tasks, instead of in one.
-HOT_ANCHOR = 20_000
+HOT_ANCHOR = 2_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 DUPLICATE, COMPARE, COMPARE_HOT, EDGE, SUMMARY = 1, 2, 3, 4, 0
 
@@ -235,6 +235,7 @@ def _compared(docs: DataFrame, marks: DataFrame, edges: dict[int, int], length:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
+            windows: dict[bytes, tuple[int, int]] = {}  # of hot anchors: the first place in this batch
             for doc, text, asked in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "asked")), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
                 for a in asked:
@@ -249,20 +250,29 @@ def _compared(docs: DataFrame, marks: DataFrame, edges: dict[int, int], length:
                         continue  # another row's segment, if rows share an id
                     if state == COMPARE:
                         out.append((anchor, doc, first, n, data[first : first + n + length - 1]))
-                    else:
-                        for p in range(first, first + n):
-                            w = data[p : p + length]
-                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), doc, p, 1, w))
+                        continue
+                    for p in range(first, first + n):
+                        w = data[p : p + length]
+                        least = windows.setdefault(w, (doc, p))
+                        if (doc, p) != least:  # the later one is known and needs no comparison: sent without its bytes
+                            windows[w] = min(least, (doc, p))
+                            known = max(least, (doc, p))
+                            out.append((_spread(*known), *known, 0, b""))
+            out += ((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), doc, p, 1, w) for w, (doc, p) in windows.items())
             key, doc, first, n, data = zip(*out, strict=True) if out else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["key", "doc", "first", "n", "data"])
 
     strings = rows.mapInArrow(cut, "key long, doc long, first long, n long, data binary")
-    # Of a hot anchor's windows the equal ones meet in each task before the exchange.
-    grouped = strings.mapInArrow(_first_of_equal, strings.schema).repartition(n_tasks(spark), "key").sortWithinPartitions("key")
+    grouped = strings.repartition(n_tasks(spark), "key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
+            known = batch.column("n").to_numpy() == 0
+            if known.any():
+                found = batch.filter(pa.array(known))
+                yield pa.RecordBatch.from_arrays([found.column("doc"), found.column("first"), pa.array(found.column("first").to_numpy() + 1)], names=["doc", "start", "end"])
+                batch = batch.filter(pa.array(~known))
             key = batch.column("key").to_numpy()
             if not len(key):
                 continue
@@ -273,38 +283,12 @@ def _compared(docs: DataFrame, marks: DataFrame, edges: dict[int, int], length:
             held.append(batch.slice(cut_at))
         yield from _later_windows(held, length)
 
-    later = grouped.mapInArrow(compare, "doc long, start long, end long")
-    # Windows of hot anchors that were equal to an earlier one of the same task are found by the last step again.
-    known = strings.where("n = 1").mapInArrow(_later_of_equal, "doc long, start long, end long")
-    return later.unionByName(known)
+    return grouped.mapInArrow(compare, "doc long, start long, end long")
 
 
-def _first_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n = batch.column("n").to_numpy()
-        if not (n == 1).any():
-            yield batch
-            continue
-        single = batch.filter(pa.array(n == 1))
-        yield batch.filter(pa.array(n != 1))
-        yield single.filter(pa.array(~_same_bytes(single)))
-
-
-def _later_of_equal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        out = batch.filter(pa.array(_same_bytes(batch)))
-        first = out.column("first")
-        yield pa.RecordBatch.from_arrays([out.column("doc"), first, pa.array(first.to_numpy() + 1)], names=["doc", "start", "end"])
-
-
-def _same_bytes(batch: pa.RecordBatch) -> np.ndarray:
-    """Rows with the key and bytes of another row of the batch at an earlier place."""
-    least: dict[tuple, tuple] = {}
-    rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "data", "doc", "first")), strict=True))
-    for k, b, d, f in rows:
-        if (k, b) not in least or (d, f) < least[k, b]:
-            least[k, b] = (d, f)
-    return np.array([(d, f) != least[k, b] for k, b, d, f in rows], bool)
+def _spread(doc: int, place: int) -> int:
+    """A key that deals known windows out evenly."""
+    return int(mix(np.array([(doc * 31 + place) & 0xFFFFFFFFFFFFFFFF], np.uint64)).view(np.int64)[0])
 
 
 def _later_windows(batches: list[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
