@@ -215,8 +215,8 @@ def _rows(cell: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
 
 def _verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """The (a, b) pairs whose texts are linked."""
-    one = pairs.join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    one = pairs.hint("merge").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
+    both = one.hint("merge").join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -384,7 +384,7 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     sets = written(rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id")), "sets")
     members = written(_members(body, like), "cells")
     inside = written(members.select("set").distinct().join(sets, "set").select(F.col("set"), id_key(F.col("id")).alias("least")), "inside")
-    texts = written(_with_set(body.join(inside, id_key(F.col("id")) == F.col("least")).select("set", "text"), like), "texts")
+    texts = written(_with_set(body.hint("merge").join(inside, id_key(F.col("id")) == F.col("least")).select("set", "text"), like), "texts")
     at = written(_points(texts, like).dropDuplicates(["set"]), "points")
     members = written(members.join(at, "set"), "members")
     links, parts = None, None
