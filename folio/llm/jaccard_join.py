@@ -26,6 +26,8 @@ from .kernels import NOT_SPACE, Words, chunks, mix
 from .suffix_dedup import id_key, multikey_order
 
 GROUPS = 64
+#: Groups of the finer points that pairs are screened by before their texts are fetched.
+FINE = 512
 SPARE = 2
 #: Ratio between the bounds of size classes.
 CLASS = 1.5
@@ -213,6 +215,39 @@ def _rows(cell: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(member)], names=["cell", "set"])
 
 
+def _fine_points(texts: DataFrame, like: Similarity) -> DataFrame:
+    """(set, fine): counts by FINE groups, a byte each; empty for a set with a count beyond a byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, sets in _batch_sets(batch, like.words):
+                counts = [np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=FINE) for h in sets]
+                fine = [c.astype(np.uint8).tobytes() if c.max() < 256 else b"" for c in counts]
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets).view(np.int64)), pa.array(fine, pa.binary())], names=["set", "fine"])
+
+    return texts.mapInArrow(run, "set long, fine binary").dropDuplicates(["set"])
+
+
+def _screened(pairs: DataFrame, fine: DataFrame, like: Similarity) -> DataFrame:
+    """The (a, b) pairs that the summed minima of their finer points allow to be linked."""
+    one = pairs.hint("merge").join(fine.select(F.col("set").alias("a"), F.col("fine").alias("fa")), "a")
+    both = one.hint("merge").join(fine.select(F.col("set").alias("b"), F.col("fine").alias("fb")), "b").select("a", "b", "fa", "fb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fa, fb = batch.column("fa").to_pylist(), batch.column("fb").to_pylist()
+            keep = np.ones(batch.num_rows, bool)
+            sized = np.array([i for i, (x, y) in enumerate(zip(fa, fb, strict=True)) if x and y], np.int64)
+            for k in range(0, len(sized), 4096):
+                rows = sized[k : k + 4096]
+                x, y = (np.frombuffer(b"".join(f[i] for i in rows), np.uint8).reshape(-1, FINE) for f in (fa, fb))
+                total = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+                keep[rows] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= like.overlap(total)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """The (a, b) pairs whose texts are linked."""
     one = pairs.hint("merge").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
@@ -387,11 +422,13 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     texts = written(_with_set(body.hint("merge").join(inside, id_key(F.col("id")) == F.col("least")).select("set", "text"), like), "texts")
     at = written(_points(texts, like).dropDuplicates(["set"]), "points")
     members = written(members.join(at, "set"), "members")
+    fine = written(_fine_points(texts, like), "fine")
     links, parts = None, None
     for step in ("first", "star", "tree"):
         left = _labelled(members, parts)
         pairs = _by_tree(left, like) if step == "tree" else _to_least(left, like, one_each=step == "first")
-        new = written(_verified(written(pairs, "pairs"), texts, like).distinct(), "links")
+        pairs = written(_screened(written(pairs, "pairs"), fine, like), "screened")
+        new = written(_verified(pairs, texts, like).distinct(), "links")
         links = new if links is None else written(links.union(new), "links")
         parts = written(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
     of_set = sets.join(parts.withColumnRenamed("node", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("part"))
@@ -400,7 +437,7 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     named = written(of_set.join(least, "part").select("set", "component_id"), "named")
     out = rows.join(named, (F.col("n") > 0) & (rows["set"] == named["set"]), "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    release(inside, texts, at, members)
+    release(inside, texts, at, members, fine)
     return out
 
 
