@@ -20,15 +20,27 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = edges.select("u", "v").where("u is not null and v is not null")
     loops = written(e.where("u = v").select(F.col("u").alias("node")).distinct(), "loops")
     e = written(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    found = components_of_pairs(e)
+    return found.union(loops.join(found.select("node"), "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def components_of_pairs(e: DataFrame) -> DataFrame:
+    """connected_components() of a written table of distinct (u, v) with u > v, which is released if it takes a round."""
     while not _is_forest_of_stars(e):
         large = _star(e, larger_only=True)
         small = _star(large, larger_only=False)
         release(e, large)
         e = small
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    alone = loops.join(nodes.select("node").union(roots.select("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
-    return nodes.union(roots).union(alone)
+    return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """parts (node, component) after components were linked: links is components_of_pairs() over pairs of components, or of
+    nodes that parts doesn't have."""
+    to = links.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    moved = parts.join(to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return moved.union(links.join(parts.select("node"), "node", "left_anti").select("node", "component"))
 
 
 def _is_forest_of_stars(e: DataFrame) -> bool:

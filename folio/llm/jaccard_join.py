@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import free_name, n_tasks, release, written
-from .components import connected_components
+from .components import components_of_pairs, joined
 from .kernels import NOT_SPACE, Words, chunks, mix
 from .suffix_dedup import id_key, multikey_order
 
@@ -34,6 +34,9 @@ CLASS = 1.5
 #: Members of a cell that one task compares with as many others.
 TREE_BLOCK = 2048
 LEAF = 16
+#: Two sets and the components that they are in so far.
+PAIR = ["a", "b", "label_a", "label_b"]
+PAIRS = ", ".join(f"{c} long" for c in PAIR)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -215,23 +218,10 @@ def _rows(cell: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(member)], names=["cell", "set"])
 
 
-def _fine_points(texts: DataFrame, like: Similarity) -> DataFrame:
-    """(set, fine): counts by FINE groups, a byte each; empty for a set with a count beyond a byte."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, sets in _batch_sets(batch, like.words):
-                counts = [np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=FINE) for h in sets]
-                fine = [c.astype(np.uint8).tobytes() if c.max() < 256 else b"" for c in counts]
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets).view(np.int64)), pa.array(fine, pa.binary())], names=["set", "fine"])
-
-    return texts.mapInArrow(run, "set long, fine binary").dropDuplicates(["set"])
-
-
 def _screened(pairs: DataFrame, fine: DataFrame, like: Similarity) -> DataFrame:
-    """The (a, b) pairs that the summed minima of their finer points allow to be linked."""
+    """The pairs that the summed minima of their finer points allow to be linked."""
     one = pairs.hint("merge").join(fine.select(F.col("set").alias("a"), F.col("fine").alias("fa")), "a")
-    both = one.hint("merge").join(fine.select(F.col("set").alias("b"), F.col("fine").alias("fb")), "b").select("a", "b", "fa", "fb")
+    both = one.hint("merge").join(fine.select(F.col("set").alias("b"), F.col("fine").alias("fb")), "b").select(*PAIR, "fa", "fb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,15 +233,15 @@ def _screened(pairs: DataFrame, fine: DataFrame, like: Similarity) -> DataFrame:
                 x, y = (np.frombuffer(b"".join(f[i] for i in rows), np.uint8).reshape(-1, FINE) for f in (fa, fb))
                 total = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
                 keep[rows] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= like.overlap(total)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+            yield batch.select(PAIR).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, PAIRS)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
-    """The (a, b) pairs whose texts are linked."""
+    """The pairs whose texts are linked."""
     one = pairs.hint("merge").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
-    both = one.hint("merge").join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    both = one.hint("merge").join(texts.select(F.col("set").alias("b"), F.col("text").alias("text_b")), "b").select(*PAIR, "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,9 +262,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame
                     x, y = seen[ids[0][i]], seen[ids[1][i]]
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     keep[i] = like.den * both >= like.num * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep)) for c in ("a", "b")], names=["a", "b"])
+            yield batch.select(PAIR).filter(pa.array(keep))
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, PAIRS)
 
 
 def _labelled(members: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -286,8 +276,15 @@ def _labelled(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     return named.join(written(open_, "open"), F.col("cell") == F.col("open"), "left_semi")
 
 
+def _pairs(x: np.ndarray, y: np.ndarray, label_x: np.ndarray, label_y: np.ndarray) -> pa.RecordBatch:
+    """Rows of PAIRS, the smaller set first."""
+    swap = x > y
+    columns = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, label_y, label_x), np.where(swap, label_x, label_y)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=PAIR)
+
+
 def _to_least(members: DataFrame, like: Similarity, one_each: bool) -> DataFrame:
-    """(a, b): each member of a cell with the least member of its least component, if the bound allows and they aren't connected;
+    """PAIRS: each member of a cell with the least member of its least component, if the bound allows and they aren't connected;
     one_each: only the least such for each member."""
     sorted_ = members.select("cell", "label", "set", "n", "at").repartition(n_tasks(members.sparkSession), "cell").sortWithinPartitions("cell", "label", "set")
 
@@ -312,18 +309,19 @@ def _to_least(members: DataFrame, like: Similarity, one_each: bool) -> DataFrame
             if goes_on.any():
                 h_at = np.where(goes_on[:, None], head[4], h_at)
             fits = (label != h_label) & (np.minimum(at, h_at).sum(axis=1) >= like.overlap(size + h_size))
-            a, b = np.minimum(key, h_key)[fits], np.maximum(key, h_key)[fits]
+            found = _pairs(key[fits], h_key[fits], label[fits], h_label[fits])
+            of_key = pa.array(key[fits])
             head = (cell[-1], h_key[-1], h_label[-1], h_size[-1], h_at[-1])
-            yield pa.RecordBatch.from_arrays([pa.array(key[fits]), pa.array(a), pa.array(b)], names=["of", "a", "b"])
+            yield pa.RecordBatch.from_arrays([of_key, *found.columns], names=["of", *PAIR])
 
-    found = sorted_.mapInArrow(run, "of long, a long, b long")
+    found = sorted_.mapInArrow(run, f"of long, {PAIRS}")
     if one_each:
-        return found.groupBy("of").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    return found.select("a", "b").distinct()
+        return found.groupBy("of").agg(F.min(F.struct(*PAIR)).alias("p")).select("p.*").distinct()
+    return found.select(*PAIR).distinct()
 
 
 def _by_tree(members: DataFrame, like: Similarity) -> DataFrame:
-    """(a, b): all pairs of a cell that aren't connected yet and that the bound doesn't exclude.
+    """PAIRS: all pairs of a cell that aren't connected yet and that the bound doesn't exclude.
 
     A cell of more than TREE_BLOCK members is dealt to blocks; a task compares two blocks at a time."""
     spark = members.sparkSession
@@ -353,7 +351,7 @@ def _by_tree(members: DataFrame, like: Similarity) -> DataFrame:
                     yield found
             held = held.slice(starts[last])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, PAIRS).distinct()
 
 
 def _cross_pairs(rows: pa.Table, like: Similarity) -> pa.RecordBatch | None:
@@ -373,20 +371,23 @@ def _cross_pairs(rows: pa.Table, like: Similarity) -> pa.RecordBatch | None:
     q, p = CountTree(at[within], size[within], like).search(at[asked], size[asked])
     q, p = asked[q], within[p]
     apart = label[q] != label[p]
-    a, b = np.minimum(key[q], key[p])[apart], np.maximum(key[q], key[p])[apart]
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    q, p = q[apart], p[apart]
+    return _pairs(key[q], key[p], label[q], label[p])
 
 
 def _points(texts: DataFrame, like: Similarity) -> DataFrame:
-    """set, n, at (its point) of texts whose set is the given one."""
+    """(set, n, at, fine): counts by GROUPS groups, and by FINE groups, a byte each; fine is empty for a set with a count beyond a byte."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, sets in _batch_sets(batch, like.words):
                 keys = set_keys(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), pa.array(points(sets), pa.binary())], names=["set", "n", "at"])
+                counts = [np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=FINE) for h in sets]
+                fine = [c.astype(np.uint8).tobytes() if c.max() < 256 else b"" for c in counts]
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(keys), sizes, pa.array(points(sets), pa.binary()), pa.array(fine, pa.binary())], names=["set", "n", "at", "fine"])
 
-    return texts.mapInArrow(run, "set long, n long, at binary")
+    return texts.mapInArrow(run, "set long, n long, at binary, fine binary").dropDuplicates(["set"])
 
 
 def _with_set(texts: DataFrame, like: Similarity) -> DataFrame:
@@ -420,24 +421,25 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     members = written(_members(body, like), "cells")
     inside = written(members.select("set").distinct().join(sets, "set").select(F.col("set"), id_key(F.col("id")).alias("least")), "inside")
     texts = written(_with_set(body.hint("merge").join(inside, id_key(F.col("id")) == F.col("least")).select("set", "text"), like), "texts")
-    at = written(_points(texts, like).dropDuplicates(["set"]), "points")
-    members = written(members.join(at, "set"), "members")
-    fine = written(_fine_points(texts, like), "fine")
-    links, parts = None, None
+    at = written(_points(texts, like), "points")
+    members = written(members.join(at.drop("fine"), "set"), "members")
+    parts = None
     for step in ("first", "star", "tree"):
         left = _labelled(members, parts)
         pairs = _by_tree(left, like) if step == "tree" else _to_least(left, like, one_each=step == "first")
-        pairs = written(_screened(written(pairs, "pairs"), fine, like), "screened")
-        new = written(_verified(pairs, texts, like).distinct(), "links")
-        links = new if links is None else written(links.union(new), "links")
-        parts = written(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
+        pairs = written(_screened(pairs, at.select("set", "fine"), like), "screened")
+        linked = _verified(pairs, texts, like).select(F.greatest("label_a", "label_b").alias("u"), F.least("label_a", "label_b").alias("v"))
+        linked = written(linked.distinct(), "links")
+        if parts is None or not linked.isEmpty():
+            new = components_of_pairs(linked)
+            parts = written(new if parts is None else joined(parts, new), "parts")
     of_set = sets.join(parts.withColumnRenamed("node", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("part"))
     of_set = written(of_set, "of-set")
     least = written(of_set.groupBy("part").agg(F.min("id").alias("component_id")), "least")
     named = written(of_set.join(least, "part").select("set", "component_id"), "named")
     out = rows.join(named, (F.col("n") > 0) & (rows["set"] == named["set"]), "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    release(inside, texts, at, members, fine)
+    release(inside, texts, at, members)
     return out
 
 
