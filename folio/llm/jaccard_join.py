@@ -34,6 +34,8 @@ CLASS = 1.5
 #: Members of a cell that one task compares with as many others.
 TREE_BLOCK = 2048
 LEAF = 16
+#: Members that a tree is searched for at a time: what bounds the pairs held in memory.
+QUERIES = 128
 #: Two sets and the components that they are in so far.
 PAIR = ["a", "b", "label_a", "label_b"]
 PAIRS = ", ".join(f"{c} long" for c in PAIR)
@@ -346,18 +348,17 @@ def _by_tree(members: DataFrame, like: Similarity) -> DataFrame:
             starts = [*np.flatnonzero(new).tolist(), held.num_rows]
             last = len(starts) - 1 if batch is None else len(starts) - 2
             for a, b in zip(starts[:last], starts[1 : last + 1], strict=True):
-                found = _cross_pairs(held.slice(a, b - a), like)
-                if found is not None:
-                    yield found
+                yield from _cross_pairs(held.slice(a, b - a), like)
             held = held.slice(starts[last])
 
     return dealt.mapInArrow(run, PAIRS).distinct()
 
 
-def _cross_pairs(rows: pa.Table, like: Similarity) -> pa.RecordBatch | None:
+def _cross_pairs(rows: pa.Table, like: Similarity) -> Iterator[pa.RecordBatch]:
+    """Rows of PAIRS for two blocks, QUERIES members searched for at a time."""
     label, key, size, mine = (rows.column(c).to_numpy() for c in ("label", "set", "n", "mine"))
     if label.min() == label.max():
-        return None
+        return
     i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
     at = np.frombuffer(b"".join(rows.column("at").to_pylist()), "<u4").reshape(-1, GROUPS)
     if i == j:  # the largest component is only searched in, not for
@@ -367,12 +368,15 @@ def _cross_pairs(rows: pa.Table, like: Similarity) -> pa.RecordBatch | None:
     else:
         asked, within = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
     if not len(asked) or not len(within):
-        return None
-    q, p = CountTree(at[within], size[within], like).search(at[asked], size[asked])
-    q, p = asked[q], within[p]
-    apart = label[q] != label[p]
-    q, p = q[apart], p[apart]
-    return _pairs(key[q], key[p], label[q], label[p])
+        return
+    tree = CountTree(at[within], size[within], like)
+    for begin in range(0, len(asked), QUERIES):
+        some = asked[begin : begin + QUERIES]
+        q, p = tree.search(at[some], size[some])
+        q, p = some[q], within[p]
+        apart = label[q] != label[p]
+        q, p = q[apart], p[apart]
+        yield _pairs(key[q], key[p], label[q], label[p])
 
 
 def _points(texts: DataFrame, like: Similarity) -> DataFrame:
