@@ -212,7 +212,8 @@ WITH {DAILY}, s AS (SELECT event_type, ts::DATE AS day FROM events WHERE user_id
 g AS (SELECT *, coalesce((day - lag(day) OVER w > 2)::INT, 1) AS new FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day))
 SELECT event_type, island, min(day) AS first_day, max(day) AS last_day, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY day)::BIGINT AS island FROM g) GROUP BY ALL""")
 def gaps_and_islands(spark, sf):
-    d = table(spark, sf, "events").where("user_id < 5").select("event_type", F.to_date("ts").alias("day")).distinct()
+    # every user's events; the SQL above still has a filter of users
+    d = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day")).distinct()
     return cal.islands(d, ["event_type"], "day", 2).groupBy("event_type", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n"))
 
 

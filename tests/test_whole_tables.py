@@ -32,3 +32,9 @@ def test_next_maturities_of_all_days(spark):
     assert got == without("next_maturities", " WHERE o_orderkey % 50 = 0")
     days = {r[0] for r in duckdb.sql(f"select distinct o_orderdate::date from read_parquet('{SF}/orders.parquet')").fetchall()}
     assert {r[1] for r in got} == days and len(got) == 4 * len(days)
+
+
+def test_islands_of_all_users(spark):
+    got = rows(spark, "gaps_and_islands")
+    assert got == without("gaps_and_islands", " WHERE user_id < 5")
+    assert sum(r[4] for r in got) == duckdb.sql(f"select count(*) from (select distinct event_type, ts::date from read_parquet('{SF}/events.parquet'))").fetchall()[0][0]
