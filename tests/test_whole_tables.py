@@ -38,3 +38,10 @@ def test_islands_of_all_users(spark):
     got = rows(spark, "gaps_and_islands")
     assert got == without("gaps_and_islands", " WHERE user_id < 5")
     assert sum(r[4] for r in got) == duckdb.sql(f"select count(*) from (select distinct event_type, ts::date from read_parquet('{SF}/events.parquet'))").fetchall()[0][0]
+
+
+def test_sessions_of_all_users(spark):
+    sf = "/root/testdata/sf0.01"  # the smaller events have no user from 20 on
+    got = rows(spark, "stream_sessions", sf)
+    assert got == without("stream_sessions", " WHERE user_id < 20", sf=sf)
+    assert sum(r[0] for r in got) == duckdb.sql(f"select count(*) from read_parquet('{sf}/events.parquet')").fetchall()[0][0]
