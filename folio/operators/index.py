@@ -52,6 +52,30 @@ def periodic_index(items: DataFrame, back: int = 1, unit: str = "MONTH") -> Data
     return out.withColumn("level_clipped", F.least(F.greatest("level", F.lit(0.0)), F.lit(1.0)))
 
 
+def levels_without(items: DataFrame, back: int = 1, unit: str = "MONTH") -> DataFrame:
+    """(left_out, period, level, n_items) of periodic_index over the items of all outlets but one, for each outlet in turn.
+
+    Items are grouped by replicas and outlet once: a series is the sum over all replicas' means, less what an outlet's own
+    items change in it. Items of a null outlet are in every series. Rows are of outlets and periods."""
+    outlets = items.where("outlet is not null").select(F.col("outlet").alias("left_out")).distinct()
+    keys, w = ["period", "wire", "kind"], W.partitionBy("period", "wire", "kind")
+    own = in_periods(items, back, unit).where("d1 is not null").groupBy(*keys, "outlet").agg(F.sum(rescaled(F.col("d1"))).alias("s"), F.count("*").alias("m"))
+    own = own.withColumns({"ts": F.sum("s").over(w), "tm": F.sum("m").over(w), "parts": F.count("*").over(w)})
+    mean = F.col("ts") / F.col("tm")
+    whole = own.groupBy("period").agg(F.sum(mean / F.col("parts")).alias("c"), F.sum(1 / F.col("parts")).alias("k"))
+    left = F.coalesce(F.try_divide(F.col("ts") - F.col("s"), F.col("tm") - F.col("m")), F.lit(0.0))
+    gone = own.groupBy("period", F.col("outlet").alias("left_out")).agg(F.sum(mean - left).alias("less_c"), F.count_if(F.col("tm") == F.col("m")).alias("less_k"))
+    out = whole.withColumn("k", F.round("k").cast("long")).crossJoin(outlets).join(gone, ["period", "left_out"], "left").na.fill(0, ["less_c", "less_k"])
+    if back > 1:  # no series goes on after its own last period with items
+        top = items.groupBy("outlet").agg(F.max(F.trunc("day", unit)).alias("last")).select(F.struct("last", "outlet").alias("t"))
+        first = top.agg(F.max("t").alias("t1"))
+        second = top.crossJoin(F.broadcast(first)).where("not (t.outlet <=> t1.outlet)").agg(F.max("t.last").alias("l2"))
+        out = out.crossJoin(F.broadcast(first)).crossJoin(F.broadcast(second))
+        out = out.where("period <= if(left_out <=> t1.outlet, l2, t1.last)")
+    n = F.col("k") - F.col("less_k")
+    return out.where(n > 0).select("left_out", "period", ((F.col("c") - F.col("less_c")) / n).alias("level"), n.alias("n_items"))
+
+
 def kind_effects(cells: list[tuple], tol: float = 1e-10, most: int = 200) -> dict:
     """Effects of kinds from (period, kind, n, sum) cells: alternating projections on period and kind, weighted mean zero."""
     periods, kinds = (sorted({c[i] for c in cells}) for i in (0, 1))

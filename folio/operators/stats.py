@@ -134,10 +134,12 @@ def alpha(rows: DataFrame, unit: str, rating: str, k: int = 5) -> float:
     return ordinal_alpha(np.array([u + [np.nan] * (width - len(u)) for u in units]).reshape(len(units), width), k)
 
 
-def series_agreement(one: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
-    """n, correlation, mean and mean absolute difference of two series on common keys."""
-    j = one.select(key, F.col(value).alias("a")).join(other.select(key, F.col(value).alias("b")), key)
-    return j.agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"), F.avg(F.col("a") - F.col("b")).alias("mean_diff"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs_diff"))
+def series_agreement(one: DataFrame, other: DataFrame, key: str, value: str, series: list[str] = (), size: str | None = None) -> DataFrame:
+    """n, correlation, mean and mean absolute difference of two series on common keys; of each of several series against
+    the other, and with the median of a size of theirs."""
+    also = [F.col(size).alias("size__")] if size else []
+    j = one.select(*series, key, F.col(value).alias("a"), *also).join(other.select(key, F.col(value).alias("b")), key)
+    return j.groupBy(*series).agg(*([F.median("size__").alias("median_n")] if size else []), F.count("*").alias("n"), F.corr("a", "b").alias("r"), F.avg(F.col("a") - F.col("b")).alias("mean_diff"), F.avg(F.abs(F.col("a") - F.col("b"))).alias("mean_abs_diff"))
 
 
 def window_change(events: DataFrame, daily: DataFrame, day: str, value: str, days: int, least: int = 3) -> DataFrame:

@@ -1,8 +1,13 @@
 """Queries over their whole tables. Where the registered SQL has a filter of its own, it is held against without it."""
 
+import datetime as dt
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from folio.operators import index as ix
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["customer", "documents", "events", "orders"]
@@ -45,3 +50,25 @@ def test_sessions_of_all_users(spark):
     got = rows(spark, "stream_sessions", sf)
     assert got == without("stream_sessions", " WHERE user_id < 20", sf=sf)
     assert sum(r[0] for r in got) == duckdb.sql(f"select count(*) from read_parquet('{sf}/events.parquet')").fetchall()[0][0]
+
+
+def test_robustness_without_each_outlet(spark):
+    sf = "/root/testdata/sf0.01"
+    rec = ("SELECT unnest([-1, 0, 1, 2]) AS left_out", "SELECT -1 AS left_out UNION ALL SELECT DISTINCT c_nationkey FROM customer")
+    want = {r[0]: r[1:] for r in without("robustness_table", rec, sf=sf)}  # left_out, mean_abs_diff, mean_diff, n, r
+    got = entry.queries()["robustness_table"](spark, sf).collect()
+    assert {r.left_out: pytest.approx((r.mean_abs_diff, r.mean_diff, r.n, r.r), abs=2e-6) for r in got if r.window == 1} == want
+    assert len(want) == 25 and {r.left_out for r in got if r.window == 3} == set(want) and all(r.median_n > 0 for r in got)
+
+
+@pytest.mark.parametrize("back", [1, 3])
+def test_levels_without_an_outlet_are_those_of_the_others(spark, back):
+    # replicas over outlets, a period of one outlet alone, a last one too, a null outlet, a null kind, no signal
+    days = [dt.date(2020, 1, 5), dt.date(2020, 2, 7), dt.date(2020, 2, 8), dt.date(2020, 4, 1)]
+    rows = [(i, days[i * 7 % 3], [1, 2, 3, None][i % 4], ["a", "b", None][i % 3], i % 5, i % 5 + 1 if i % 9 else None, not i % 9) for i in range(60)]
+    rows += [(100, days[3], 2, "a", 1, 5, False), (101, dt.date(2020, 6, 1), 3, "a", 1, 2, False)]
+    items = spark.createDataFrame(rows, "item_id int, day date, outlet int, kind string, wire int, d1 int, no_signal boolean")
+    got = {(r.left_out, r.period): (r.level, r.n_items) for r in ix.levels_without(items, back).collect()}
+    want = {(x, r.period): (r.level, r.n_items) for x in (1, 2, 3) for r in ix.periodic_index(items.where(~F.col("outlet").eqNullSafe(F.lit(x))), back).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert ix.levels_without(items.limit(0), back).collect() == []
