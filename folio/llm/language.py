@@ -17,7 +17,7 @@ from .kernels import chunks
 
 #: Hash buckets of byte trigrams.
 BUCKETS = 1 << 15
-#: Labelled documents that the text model is fitted on, at most: those of the least hash of their text.
+#: Distinct texts of each language that the text model is fitted on, at most: those of the least hash.
 SAMPLE = 4000
 #: The background that none of the languages explains: every trigram alike.
 UNKNOWN = "und"
@@ -80,21 +80,29 @@ class TextModel:
 
 
 def fit(labelled: DataFrame, languages: Sequence[str] | None = None, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """A text model from at most `sample` rows with a language, those of the least hash of their text.
+    """A text model from at most `sample` distinct texts of each language, those of the least hash.
 
-    The trigrams are counted by the tasks; the driver gets a number for each language and bucket at most. Rows with
-    null text or language are left out; with no rows every text is of an unknown language. Languages beyond those given
-    (by default: all that occur in the sample, 64 at most) are left out.
+    Its languages are all that any row with a letter in its text has, or those of them that are given: which ones doesn't
+    depend on the sample. Rows with null text or language are left out; with no rows every text is of an unknown language.
+    The trigrams are counted by the tasks; the driver gets some more than `sample` hashes of each language, and a number
+    for each language and bucket at most. Equality of texts is that of hashes.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), ascii_lower(F.col(lang)).alias("lang"))
+    rows = rows.where(F.col("text").rlike(r"[A-Za-z]|[^\x00-\x7F]"))  # others have no trigram that counts
     if languages is not None:
         rows = rows.where(F.col("lang").isin(list(languages)))
     hashed = rows.withColumn("h", F.xxhash64("text"))
-    n = rows.count()
-    if n > sample:  # first by a bound of the hash that leaves somewhat more, so that few texts are sorted
-        share = min(1.0, (sample + 4 * math.sqrt(sample)) / n)
-        hashed = hashed.where(F.col("h") <= int(-(1 << 63) + share * ((1 << 64) - 1)))
-    hashed = hashed.orderBy("h").limit(sample)
+    n = {r[0]: r[1] for r in hashed.groupBy("lang").agg(F.approx_count_distinct("h")).collect()}
+    if not n:
+        return TextModel.from_counts({})
+    # First by a bound of the hash that leaves somewhat more (the count is good to some hundredths), so that few hashes are collected.
+    share = {x: min(1.0, 1.25 * (sample + 4 * math.sqrt(sample)) / max(1, k)) for x, k in n.items()}
+    below = lambda most: F.col("h") <= F.element_at(F.create_map(*(F.lit(v) for x, k in most.items() for v in (x, k))), F.col("lang"))
+    least: dict[str, list[int]] = {x: [] for x in n}
+    for r in hashed.where(below({x: int(-(1 << 63) + k * ((1 << 64) - 1)) if k < 1 else (1 << 63) - 1 for x, k in share.items()})).select("lang", "h").distinct().collect():
+        least[r[0]].append(r[1])
+    most = {x: max(sorted(h)[:sample], default=-(1 << 63)) for x, h in least.items()}
+    hashed = hashed.where(below(most)).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
