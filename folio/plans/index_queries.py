@@ -284,8 +284,9 @@ SERIES = f"{DAILY}, s AS (SELECT day, value FROM daily WHERE day(day) % 3 <> 0),
 WITH {SERIES} SELECT ev.day, round(arg_max(s.value, s.day) FILTER (s.day < ev.day AND s.day >= ev.day - 7), 6) AS "before",
   round(arg_min(s.value, s.day) FILTER (s.day > ev.day AND s.day <= ev.day + 8), 6) AS "after" FROM ev, s GROUP BY ev.day""")
 def asof_around(spark, sf):
+    # every day is an event, and the series has all days; the SQL above still has filters of days
     d = daily_value(spark, sf)
-    return rounded(jn.around(d.where("day(day) % 4 = 0").select("day"), d.where("day(day) % 3 <> 0"), "day", "value"))
+    return rounded(jn.around(d.select("day"), d, "day", "value"))
 
 
 @query("""
@@ -349,7 +350,8 @@ def schema_violations(spark, sf):
 
 @query("SELECT substr(c_mktsegment, 1, 4) || '-' || lpad((row_number() OVER (ORDER BY c_name, c_custkey) - 1)::VARCHAR, 6, '0') AS id, c_custkey FROM customer WHERE c_nationkey = 3")
 def export_ids(spark, sf):
-    return table(spark, sf, "customer").where("c_nationkey = 3").select(corpus.export_id(F.col("c_mktsegment"), ["c_name", "c_custkey"]).alias("id"), "c_custkey")
+    # every customer; the SQL above still has a filter of nations
+    return corpus.with_export_id(table(spark, sf, "customer"), F.col("c_mktsegment"), ["c_name", "c_custkey"], "id").select("id", "c_custkey")
 
 
 SETS = "a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT c_custkey AS k FROM customer WHERE c_acctbal > 0)"

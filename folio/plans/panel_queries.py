@@ -74,8 +74,7 @@ def mask_numbers(spark, sf):
 
 @query()
 def mask_level_5(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    return d.select("doc_id", F.md5(text.masked(F.col("text"), 5, OFFICIALS, POLITICIANS, INDICATORS, ["pandemia"], ["Folha"])).alias("h"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.masked(F.col("text"), 5, OFFICIALS, POLITICIANS, INDICATORS, ["pandemia"], ["Folha"])).alias("h"))
 
 
 @query("""SELECT page_id, lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) AS url, 'n' || substr(sha1(url), 1, 10) AS id FROM pages""")

@@ -1,12 +1,14 @@
 """Queries over their whole tables. Where the registered SQL has a filter of its own, it is held against without it."""
 
 import datetime as dt
+import hashlib
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from folio.operators import corpus
 from folio.operators import index as ix
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +74,31 @@ def test_levels_without_an_outlet_are_those_of_the_others(spark, back):
     want = {(x, r.period): (r.level, r.n_items) for x in (1, 2, 3) for r in ix.periodic_index(items.where(~F.col("outlet").eqNullSafe(F.lit(x))), back).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
     assert ix.levels_without(items.limit(0), back).collect() == []
+
+
+def test_masks_of_all_languages(spark, tmp_path):
+    texts = [(1, "fr", "Le 5 mai 2020, hausse de 3,5 % à Paris."), (2, "en", "Up 4 in London."), (3, None, "In 1999"), (4, "de", None)]
+    spark.createDataFrame(texts, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    masked = {1: "Le [NUM] mai [DATA], hausse de [NUM] à [NOME].", 2: "Up [NUM] in [NOME].", 3: "In [DATA]", 4: None}
+    got = {r.doc_id: r.h for r in entry.queries()["mask_level_5"](spark, str(tmp_path)).collect()}
+    assert got == {i: m and hashlib.md5(m.encode()).hexdigest() for i, m in masked.items()}
+
+
+def test_export_ids_of_all_customers(spark):
+    got = rows(spark, "export_ids")
+    assert got == without("export_ids", " WHERE c_nationkey = 3")
+    assert sorted(int(r[1][5:]) for r in got) == list(range(duckdb.sql(f"select count(*) from read_parquet('{SF}/customer.parquet')").fetchall()[0][0]))
+
+
+def test_export_numbers_over_ranges(spark):
+    values = [(f"n{i * 37 % 50}" if i % 11 else None, i) for i in range(200)]
+    df = spark.createDataFrame(values, "name string, k int")
+    order = sorted(values, key=lambda v: (v[0] is not None, v[0] or "", v[1]))
+    got = {r.k: r.id for r in corpus.with_export_id(df, F.lit("segment"), ["name", "k"], width=2).collect()}
+    assert got == {k: f"segm-{i:02d}" for i, (_, k) in enumerate(order)}
+    assert corpus.with_export_id(df.limit(0), F.lit("s"), ["name", "k"]).collect() == []
+
+
+def test_around_every_day(spark):
+    sf = "/root/testdata/sf0.01"
+    assert rows(spark, "asof_around", sf) == without("asof_around", " WHERE day(day) % 3 <> 0", " WHERE day(day) % 4 = 0", sf=sf)
