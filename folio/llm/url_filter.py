@@ -27,11 +27,27 @@ def _rest(url: Column) -> Column:
     return F.substring(url, F.instr(url, "://") + 3, F.length(url))
 
 
+def _normal(rest: Column) -> Column:
+    """What follows a host, to the end of the query: with / for an empty path, without the path's . and .. segments."""
+
+    def step(done: Column, s: Column) -> Column:
+        return F.when(s == ".", done).when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, s))
+
+    def without_dots(r: Column) -> Column:
+        parts = F.split(F.regexp_extract(r, r"^/?([^?]*)", 1), "/")
+        ended = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+        return F.concat(F.lit("/"), F.array_join(F.aggregate(ended, F.array().cast("array<string>"), step), "/"), F.regexp_extract(r, r"(?s)\?.*$", 0))
+
+    # Lambdas aren't compiled into the stage's code, which else grows by a copy of the text's expression for each use.
+    odd = F.get(F.transform(F.array(rest), without_dots), 0)
+    return F.when(rest == "", "/").when(rest.rlike(r"^\?|^[^?]*/\.\.?([/?]|$)"), odd).otherwise(rest)
+
+
 def node_of(url: Column) -> Column:
-    """The resource that a url names: without its fragment, scheme and host in lower case."""
+    """The resource that a url names: without its fragment and dot segments, scheme and host in lower case, / for an empty path."""
     scheme = ascii_lower(F.substring_index(url, "://", 1))
     rest = F.regexp_extract(_rest(url), r"^[^/?#]*([^#]*)", 1)
-    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), F.when(rest == "", "/").otherwise(rest)))
+    return F.when(url.contains("://"), F.concat(scheme, F.lit("://"), host_of(url), _normal(rest)))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -60,17 +76,19 @@ def _absolute(target: Column, url: Column, scheme: Column, host: Column, path: C
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(site, target))
         .when(target.startswith("#"), url)
+        .when(target.startswith("?"), F.concat(site, path, target))
         .otherwise(F.concat(site, F.when(folder == "", "/").otherwise(folder), target))
     )
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(u, v): the resource of each page, and where its canonical link or its refresh redirect points.
+    """(u, v): the resource of each page, and where its canonical links and its refresh redirects point.
 
     A written table, so that the pages are scanned once; it has a row for each link at most."""
-    tags = F.array(
-        F.regexp_extract(F.regexp_extract(F.col(html), r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", 0), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1),
-        F.regexp_extract(F.regexp_extract(F.col(html), r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", 0), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1),
+    all_of = lambda tag, target: F.transform(F.regexp_extract_all(F.col(html), F.lit(tag), 0), lambda x: F.regexp_extract(x, target, 1))
+    tags = F.concat(
+        all_of(r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"),
+        all_of(r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"),
     )
     found = pages.where(F.col(url).contains("://")).select(F.col(url).alias("url"), F.filter(tags, lambda x: x != "").alias("t")).where(F.size("t") > 0)
     parts = found.select("url", F.explode("t").alias("t")).select("url", F.trim(F.replace("t", F.lit("&amp;"), F.lit("&"))).alias("t"), ascii_lower(F.substring_index("url", "://", 1)).alias("scheme"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))

@@ -19,6 +19,20 @@ def test_blocks_reach_aliases_and_allow_wins(spark):
     }
 
 
+def test_relative_and_repeated_links_carry_blocks(spark):
+    link = '<link rel="canonical" href="{}">'
+    to = {  # a page's html, and the url that it makes an alias of
+        "http://a.info/a/b": (link.format("?id=3"), "http://a.info/a/b?id=3"), "http://b.info/a/b/c": (link.format("../x"), "http://b.info/a/x"),
+        "http://c.info/a/b": (link.format("./x"), "http://c.info/a/x"), "http://d.info/a/b/": (link.format("../../../c/./.."), "http://d.info/"),
+        "http://e.info/1": (link.format("/2") + link.format("/3"), "http://e.info/3"), "http://f.info": (link.format("?q"), "http://f.info/?q"),
+        "http://g.info/1": ('<meta http-equiv="refresh" content="0; url=/2"> <META HTTP-EQUIV=refresh content="1; url=/a/../3">', "http://g.info/3"),
+        "http://h.info/.x/..y/1": (link.format("2?z=/../"), "http://h.info/.x/..y/2?z=/../"),
+    }
+    pages = [(u, html) for u, (html, _) in to.items()] + [(v, link.format("http://bad.net/x")) for _, v in to.values()] + [("http://bad.net/x", "")]
+    got = {r.url: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(pages, "url string, html string"), url_filter.RULES).collect()}
+    assert got == {u: "block" for u, _ in pages}
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     pages = [(1, "http://a/\r\nX: y", big), (2, None, big), (9, "http://c/", big), (4, "http://d/", "small"), (5, "http://e/", "small"), (6, "u", None)]
