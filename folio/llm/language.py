@@ -67,7 +67,7 @@ class TextModel:
         """(log P(text | language) summed over trigrams, number of trigrams) of each text."""
         sums, counts = np.zeros((len(texts), len(self.logs))), np.zeros(len(texts), np.int64)
         for a, b, part in chunks(texts):
-            joined = b"  ".join(part) + b"  "  # two spaces, so no trigram holds letters of two texts
+            joined = b" " + b"  ".join(part) + b" "  # a space on each side, so no trigram that counts holds letters of two texts
             bucket, counted = trigrams(joined)
             begins = np.cumsum([0, *(len(p) + 2 for p in part)])
             bucket = bucket[counted]
