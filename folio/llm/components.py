@@ -25,14 +25,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def components_of_pairs(e: DataFrame) -> DataFrame:
-    """connected_components() of a written table of distinct (u, v) with u > v, which is released if it takes a round."""
+    """connected_components() of a written table of distinct (u, v) with u > v, which is released if it takes a round.
+
+    The result reads written tables, its folio_uses."""
     while not _is_forest_of_stars(e):
         large = _star(e, larger_only=True)
         small = _star(large, larger_only=False)
         release(e, large)
         e = small
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = nodes.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out.folio_uses = [e]
+    return out
 
 
 def joined(parts: DataFrame, links: DataFrame) -> DataFrame:

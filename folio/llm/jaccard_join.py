@@ -1,14 +1,17 @@
 """N-gram Jaccard join: groups of documents linked by the Jaccard similarity of their word shingles. Exact.
 
 A document's shingles are hashed to GROUPS groups; the counts are its point. min(a, b) summed over coordinates bounds the overlap of two
-documents, and an R-tree over points searches by that bound. One tree over everything can't prune: at similarity 0.9 a query's
-radius spans the whole of almost every coordinate. So the tree's directory is by cells that no linked pair can
-miss: for documents of a size class, shingles are dealt to one block more than two linked documents can differ in (and SPARE
-more), so on some block that isn't empty they agree. Equal blocks are a cell. Each cell with two documents or more is
-a tree of its own.
-
-Within a cell documents are first linked to its least one only. Pairs that these links already connect need no look;
-the rest are found by the cell's tree, in blocks of bounded size. All pairs found are verified on the texts.
+documents. A packed R-tree over points, its nodes on COARSE sums of neighbouring coordinates and its leaves on all of them, finds the
+pairs that the bound allows; those are verified on the texts.
+
+One tree over everything can't prune: at similarity 0.9 a query's radius spans the whole of almost every coordinate. So documents are
+routed to trees by cells that no linked pair can miss: for documents of a size class, shingles are dealt to one block more than two
+linked documents can differ in (and SPARE more), so on some block that isn't empty they agree. Equal blocks are a cell, and
+each cell with two documents or more has a tree. Cells only route: every pair comes out of a tree.
+
+Rounds. In the first two a tree is searched for one member at a time, and what is found is taken out of the search, so that a group of
+copies costs and emits about a pair a member; a large cell is dealt to trees at random, each time another way, which connects them.
+The last round searches each cell that still has several components for all pairs between them.
 """
 
 from __future__ import annotations
@@ -25,17 +28,18 @@ from .components import components_of_pairs, joined
 from .kernels import NOT_SPACE, Words, chunks, mix
 from .suffix_dedup import id_key, multikey_order
 
-GROUPS = 64
-#: Groups of the finer points that pairs are screened by before their texts are fetched.
-FINE = 512
+#: Coordinates of a point, and of the nodes above the leaves.
+GROUPS, COARSE = 512, 64
 SPARE = 2
 #: Ratio between the bounds of size classes.
 CLASS = 1.5
-#: Members of a cell that one task compares with as many others.
-TREE_BLOCK = 2048
+#: Members of a cell that one tree holds, about; a cell of more has several.
+TREE_BLOCK = 512
 LEAF = 16
-#: Members that a tree is searched for at a time: what bounds the pairs held in memory.
+#: Members that a tree is searched for at a time in the last round: what bounds the pairs held in memory.
 QUERIES = 128
+#: Pairs of members of small cells that are compared at a time.
+PAIRS_AT_ONCE = 4096
 #: Two sets and the components that they are in so far.
 PAIR = ["a", "b", "label_a", "label_b"]
 PAIRS = ", ".join(f"{c} long" for c in PAIR)
@@ -69,12 +73,30 @@ class Similarity:
 
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     """A hash of each set."""
-    return np.array([mix(np.array([mix(s).sum(dtype=np.uint64) * _A + np.uint64(len(s))], np.uint64))[0] for s in sets], np.uint64)
+    sums = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return mix(sums * _A + np.array([len(s) for s in sets], np.uint64))
 
 
 def points(sets: list[np.ndarray]) -> list[bytes]:
-    """Each set's counts by group."""
-    return [np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes() for s in sets]
+    """Each set's counts by group, a byte each, or four if one is beyond a byte."""
+    counts = [np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=GROUPS) for s in sets]
+    return [c.astype(np.uint8 if c.max() < 256 else "<u4").tobytes() for c in counts]
+
+
+def decoded(found: list[bytes]) -> np.ndarray:
+    """A row for each point."""
+    if all(len(x) == GROUPS for x in found):
+        return np.frombuffer(b"".join(found), np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(x, np.uint8 if len(x) == GROUPS else "<u4").astype(np.uint32) for x in found])
+
+
+def coarse(at: np.ndarray) -> np.ndarray:
+    return at.reshape(len(at), COARSE, GROUPS // COARSE).sum(axis=2, dtype=np.int32)
+
+
+def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """No two sets with the points x and y share more."""
+    return np.minimum(x, y).sum(axis=-1, dtype=np.int64)
 
 
 def cells(sets: list[np.ndarray], like: Similarity) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +130,14 @@ def cells(sets: list[np.ndarray], like: Similarity) -> tuple[np.ndarray, np.ndar
 
 class CountTree:
     """Packed R-tree over points: leaves of LEAF neighbours in the order of size and coordinates, nodes with the maxima of
-    each coordinate and the least size. A search for what may overlap enough with a point goes into the nodes whose summed minima allow it."""
+    each coarse coordinate and the least size. A search goes into the nodes whose summed minima allow an overlap that links, and
+    of the points there gives those that all coordinates allow."""
 
     def __init__(self, at: np.ndarray, size: np.ndarray, like: Similarity):
-        self.order = multikey_order([size // 4, *(at[:, i] // 2 for i in range(4))])
-        self.like = like
-        self.levels = [(at[self.order].astype(np.int64), size[self.order])]
+        rough = coarse(at)
+        self.at, self.size, self.rough, self.like = at, size, rough, like
+        self.order = multikey_order([size // 4, *(rough[:, i] // 2 for i in range(4))])
+        self.levels = [(rough[self.order], size[self.order])]
         while len(self.levels[-1][1]) > LEAF:
             top, least = self.levels[-1]
             starts = np.arange(0, len(least), LEAF)
@@ -121,23 +145,25 @@ class CountTree:
 
     def search(self, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(query, point) pairs that the bound doesn't exclude."""
-        top = len(self.levels) - 1
+        rough, top = coarse(at), len(self.levels) - 1
         query = np.repeat(np.arange(len(size)), len(self.levels[top][1]))
         node = np.tile(np.arange(len(self.levels[top][1])), len(size))
-        at = at.astype(np.int64)
         for level in range(top, -1, -1):
             high, least = self.levels[level]
-            keep = []
-            for a in range(0, len(query), 1 << 16):
-                q, m = query[a : a + (1 << 16)], node[a : a + (1 << 16)]
-                keep.append(np.minimum(at[q], high[m]).sum(axis=1) >= self.like.overlap(size[q] + least[m]))
-            keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+            keep = self._allowed(rough, size, high, least, query, node, 1 << 15)
             query, node = query[keep], node[keep]
             if level:
                 n = len(self.levels[level - 1][1])
                 query, node = np.repeat(query, LEAF), (node[:, None] * LEAF + np.arange(LEAF)).ravel()
                 query, node = query[node < n], node[node < n]
-        return query, self.order[node]
+        point = self.order[node]
+        keep = self._allowed(at, size, self.at, self.size, query, point, 1 << 13)
+        return query[keep], point[keep]
+
+    def _allowed(self, x, size_x, y, size_y, i, j, step) -> np.ndarray:
+        """Which pairs of rows i of x and j of y the bound allows."""
+        keep = [overlap_bound(x[q], y[p]) >= self.like.overlap(size_x[q] + size_y[p]) for a in range(0, len(i), step) for q, p in [(i[a : a + step], j[a : a + step])]]
+        return np.concatenate(keep) if keep else np.zeros(0, bool)
 
 
 def _batch_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -220,26 +246,6 @@ def _rows(cell: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(member)], names=["cell", "set"])
 
 
-def _screened(pairs: DataFrame, fine: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs that the summed minima of their finer points allow to be linked."""
-    one = pairs.hint("merge").join(fine.select(F.col("set").alias("a"), F.col("fine").alias("fa")), "a")
-    both = one.hint("merge").join(fine.select(F.col("set").alias("b"), F.col("fine").alias("fb")), "b").select(*PAIR, "fa", "fb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fa, fb = batch.column("fa").to_pylist(), batch.column("fb").to_pylist()
-            keep = np.ones(batch.num_rows, bool)
-            sized = np.array([i for i, (x, y) in enumerate(zip(fa, fb, strict=True)) if x and y], np.int64)
-            for k in range(0, len(sized), 4096):
-                rows = sized[k : k + 4096]
-                x, y = (np.frombuffer(b"".join(f[i] for i in rows), np.uint8).reshape(-1, FINE) for f in (fa, fb))
-                total = x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
-                keep[rows] = np.minimum(x, y).sum(axis=1, dtype=np.int64) >= like.overlap(total)
-            yield batch.select(PAIR).filter(pa.array(keep))
-
-    return both.mapInArrow(run, PAIRS)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
     """The pairs whose texts are linked."""
     one = pairs.hint("merge").join(texts.select(F.col("set").alias("a"), F.col("text").alias("text_a")), "a")
@@ -270,128 +276,174 @@ def _verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame
 
 
 def _labelled(members: DataFrame, parts: DataFrame | None) -> DataFrame:
-    """members with their component so far, in the cells that have more than one."""
+    """members (cell, set) with their component so far, label, in the cells that have more than one; a written table."""
     if parts is None:
-        return members.withColumn("label", F.col("set"))
-    named = written(members.join(parts.withColumnRenamed("node", "set"), "set", "left").select("cell", "set", "n", "at", F.coalesce("component", "set").alias("label")), "labelled")
-    open_ = named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("cell").alias("open"))
-    return named.join(written(open_, "open"), F.col("cell") == F.col("open"), "left_semi")
+        return written(members.withColumn("label", F.col("set")), "open")
+    named = written(members.join(parts.withColumnRenamed("node", "set"), "set", "left").select("cell", "set", F.coalesce("component", "set").alias("label")), "labelled")
+    open_ = written(named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("cell").alias("open")), "open-cells")
+    out = written(named.join(open_, F.col("cell") == F.col("open"), "left_semi"), "open")
+    release(named, open_)
+    return out
 
 
-def _pairs(x: np.ndarray, y: np.ndarray, label_x: np.ndarray, label_y: np.ndarray) -> pa.RecordBatch:
-    """Rows of PAIRS, the smaller set first."""
+def _pairs(x: np.ndarray, y: np.ndarray, label_x: np.ndarray, label_y: np.ndarray) -> list[pa.Array]:
+    """Columns of PAIRS, the smaller set first."""
     swap = x > y
-    columns = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, label_y, label_x), np.where(swap, label_x, label_y)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=PAIR)
-
-
-def _to_least(members: DataFrame, like: Similarity, one_each: bool) -> DataFrame:
-    """PAIRS: each member of a cell with the least member of its least component, if the bound allows and they aren't connected;
-    one_each: only the least such for each member."""
-    sorted_ = members.select("cell", "label", "set", "n", "at").repartition(n_tasks(members.sparkSession), "cell").sortWithinPartitions("cell", "label", "set")
+    return [pa.array(c) for c in (np.where(swap, y, x), np.where(swap, x, y), np.where(swap, label_y, label_x), np.where(swap, label_x, label_y))]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, where groups of equal keys begin in them and their end): whole groups, those that a batch completes together."""
+    held = None
+    for batch in _then_none(batches):
+        if batch is not None:
+            held = pa.Table.from_batches(([] if held is None else held.to_batches()) + [batch])
+        if held is None or not held.num_rows:
+            continue
+        new = np.ones(held.num_rows, bool)
+        new[1:] = np.any([(k := held.column(c).to_numpy())[1:] != k[:-1] for c in keys], axis=0)
+        starts = np.append(np.flatnonzero(new), held.num_rows)
+        done = starts if batch is None else starts[:-1]
+        if len(done) > 1:
+            yield held.slice(0, int(done[-1])), done
+            held = held.slice(int(done[-1]))
+
+
+def _in_small(starts: np.ndarray, at: np.ndarray, size: np.ndarray, label: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) by j, then i; i before j: pairs of different labels that the bound allows within groups of LEAF rows at most, each a tree
+    of one leaf."""
+    group = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    small = np.diff(starts)[group] <= LEAF
+    rough, found = coarse(at), []
+    for step in range(1, LEAF):
+        i = np.flatnonzero(small[:-step] & (group[step:] == group[:-step]) & (label[step:] != label[:-step]))
+        for a in range(0, len(i), PAIRS_AT_ONCE):
+            x = i[a : a + PAIRS_AT_ONCE]
+            least = like.overlap(size[x] + size[x + step])
+            keep = overlap_bound(rough[x], rough[x + step]) >= least
+            x, least = x[keep], least[keep]
+            x = x[overlap_bound(at[x], at[x + step]) >= least]
+            found.append((x, x + step))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((i, j))
+    return i[order], j[order]
+
+
+def _leaders(at: np.ndarray, size: np.ndarray, label: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """(leader, member) pairs of different labels in one tree: each member that no search has found so far is searched for, and
+    leads all that the search finds for the first time. Of those found before, one of each leader's is paired too."""
+    tree, of = CountTree(at, size, like), np.full(len(size), -1)
+    found = []
+    for x in range(len(size)):
+        if of[x] < 0:
+            _, p = tree.search(at[x : x + 1], size[x : x + 1])
+            free = of[p] < 0
+            before = p[~free]
+            of[p[free]] = x
+            of[x] = x
+            pick = np.concatenate([p[free], before[np.unique(of[before], return_index=True)[1]]])
+            pick = pick[label[pick] != label[x]]
+            found.append((np.full(len(pick), x), pick))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _with_points(rows: DataFrame, at: DataFrame) -> DataFrame:
+    return rows.join(at, "set")
+
+
+def _dealt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with `blocks`, the number of trees of their cell; and the cells of more than one (a written table)."""
+    large = written(rows.groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > TREE_BLOCK).select(F.col("cell").alias("large"), F.ceil(F.col("c") / TREE_BLOCK).alias("n_blocks")), "large-cells")
+    return rows.join(large, F.col("cell") == F.col("large"), "left").drop("large").withColumn("blocks", F.coalesce("n_blocks", F.lit(1))).drop("n_blocks"), large
+
+
+def _by_leaders(members: DataFrame, at: DataFrame, like: Similarity, one_each: bool) -> DataFrame:
+    """PAIRS (a written table) that connect what the trees find similar, about a pair a member; one_each: at most one a member.
+
+    members: (cell, set, label). A cell of more than TREE_BLOCK members is dealt to trees at random, differently in each cell."""
+    spark = members.sparkSession
+    dealt, large = _dealt(members)
+    dealt = _with_points(dealt.withColumn("tree", F.pmod(F.xxhash64("cell", "set"), F.col("blocks"))).drop("blocks"), at)
+    dealt = dealt.repartition(n_tasks(spark), "cell", "tree").sortWithinPartitions("cell", "tree", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head: tuple | None = None
-        for batch in batches:
-            cell, label, key, size = (batch.column(c).to_numpy() for c in ("cell", "label", "set", "n"))
-            if not len(cell):
-                continue
-            at = np.frombuffer(b"".join(batch.column("at").to_pylist()), "<u4").reshape(-1, GROUPS)
-            new = np.ones(len(cell), bool)
-            new[1:] = cell[1:] != cell[:-1]
-            of = np.maximum.accumulate(np.where(new, np.arange(len(cell)), 0))
-            if head is not None and head[0] == cell[0]:
-                goes_on = cell == cell[0]
-            else:
-                goes_on = np.zeros(len(cell), bool)
-            h_key = np.where(goes_on, head[1] if head else 0, key[of])
-            h_label = np.where(goes_on, head[2] if head else 0, label[of])
-            h_size = np.where(goes_on, head[3] if head else 0, size[of])
-            h_at = at[of]
-            if goes_on.any():
-                h_at = np.where(goes_on[:, None], head[4], h_at)
-            fits = (label != h_label) & (np.minimum(at, h_at).sum(axis=1) >= like.overlap(size + h_size))
-            found = _pairs(key[fits], h_key[fits], label[fits], h_label[fits])
-            of_key = pa.array(key[fits])
-            head = (cell[-1], h_key[-1], h_label[-1], h_size[-1], h_at[-1])
-            yield pa.RecordBatch.from_arrays([of_key, *found.columns], names=["of", *PAIR])
-
-    found = sorted_.mapInArrow(run, f"of long, {PAIRS}")
+        for rows, starts in _groups(batches, ["cell", "tree"]):
+            key, label, size = (rows.column(c).to_numpy() for c in ("set", "label", "n"))
+            point = decoded(rows.column("point").to_pylist())
+            i, j = _in_small(starts, point, size, label, like)
+            first = np.unique(j, return_index=True)[1] if one_each else np.arange(len(j))
+            found = [(i[first], j[first])]
+            for k in np.flatnonzero(np.diff(starts) > LEAF).tolist():
+                a, b = int(starts[k]), int(starts[k + 1])
+                if (label[a:b] != label[a]).any():
+                    leader, member = _leaders(point[a:b], size[a:b], label[a:b], like)
+                    found.append((leader + a, member + a))
+            x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(key[y]), *_pairs(key[x], key[y], label[x], label[y])], names=["of", *PAIR])
+
+    found = dealt.mapInArrow(run, f"of long, {PAIRS}")
     if one_each:
-        return found.groupBy("of").agg(F.min(F.struct(*PAIR)).alias("p")).select("p.*").distinct()
-    return found.select(*PAIR).distinct()
+        found = found.groupBy("of").agg(F.min(F.struct(*PAIR)).alias("p")).select("p.*")
+    out = written(found.select(*PAIR).distinct(), "candidates")
+    release(large)
+    return out
 
 
-def _by_tree(members: DataFrame, like: Similarity) -> DataFrame:
-    """PAIRS: all pairs of a cell that aren't connected yet and that the bound doesn't exclude.
+def _by_trees(members: DataFrame, at: DataFrame, like: Similarity) -> DataFrame:
+    """PAIRS (a written table): all pairs of a cell that have different labels and that the bound allows.
 
-    A cell of more than TREE_BLOCK members is dealt to blocks; a task compares two blocks at a time."""
+    Members of a cell's largest component are only searched in, in the one tree that each is dealt to; all others are also searched for, in
+    all trees of their cell."""
     spark = members.sparkSession
-    members = written(members, "open-members")
-    count = written(members.groupBy("cell").agg(F.ceil(F.count("*") / TREE_BLOCK).alias("blocks")), "blocks")
-    blocked = members.join(count.withColumnRenamed("cell", "c"), F.col("cell") == F.col("c")).drop("c")
-    mine = F.pmod(F.xxhash64("set"), F.col("blocks"))
-    blocked = blocked.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = blocked.select("cell", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "label", "set", "n", "at")
-    dealt = dealt.repartition(n_tasks(spark), "cell", "i", "j").sortWithinPartitions("cell", "i", "j")
+    dealt, large = _dealt(members)
+    counts = members.groupBy("cell", "label").count().groupBy("cell").agg(F.max(F.struct("count", "label"))["label"].alias("most"))
+    counts = written(counts.withColumnRenamed("cell", "c"), "largest")
+    rows = dealt.join(counts, F.col("cell") == F.col("c")).drop("c")
+    own = F.array(F.struct(F.pmod(F.xxhash64("cell", "set"), F.col("blocks")).alias("tree"), F.lit(False).alias("asked")))
+    all_ = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: F.struct(k.alias("tree"), F.lit(True).alias("asked")))
+    to = F.when(F.col("label") == F.col("most"), own).otherwise(F.concat(own, all_))
+    rows = rows.select("cell", "set", "label", F.explode(to).alias("to")).select("cell", "set", "label", "to.tree", "to.asked")
+    rows = _with_points(rows, at).repartition(n_tasks(spark), "cell", "tree").sortWithinPartitions("cell", "tree", "asked", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in _then_none(batches):
-            if batch is not None:
-                held = pa.Table.from_batches(([] if held is None else held.to_batches()) + [batch])
-            if held is None or not held.num_rows:
-                continue
-            keys = [held.column(c).to_numpy() for c in ("cell", "i", "j")]
-            new = np.ones(held.num_rows, bool)
-            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            starts = [*np.flatnonzero(new).tolist(), held.num_rows]
-            last = len(starts) - 1 if batch is None else len(starts) - 2
-            for a, b in zip(starts[:last], starts[1 : last + 1], strict=True):
-                yield from _cross_pairs(held.slice(a, b - a), like)
-            held = held.slice(starts[last])
+        for table, starts in _groups(batches, ["cell", "tree"]):
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield from _cross_pairs(table.slice(a, b - a), like)
 
-    return dealt.mapInArrow(run, PAIRS).distinct()
+    out = written(rows.mapInArrow(run, PAIRS).distinct(), "candidates")
+    release(large, counts)
+    return out
 
 
 def _cross_pairs(rows: pa.Table, like: Similarity) -> Iterator[pa.RecordBatch]:
-    """Rows of PAIRS for two blocks, QUERIES members searched for at a time."""
-    label, key, size, mine = (rows.column(c).to_numpy() for c in ("label", "set", "n", "mine"))
-    if label.min() == label.max():
-        return
-    i, j = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-    at = np.frombuffer(b"".join(rows.column("at").to_pylist()), "<u4").reshape(-1, GROUPS)
-    if i == j:  # the largest component is only searched in, not for
-        names, counts = np.unique(label, return_counts=True)
-        asked = np.flatnonzero(label != names[np.argmax(counts)])
-        within = np.arange(len(label))
-    else:
-        asked, within = np.flatnonzero(mine == i), np.flatnonzero(mine == j)
-    if not len(asked) or not len(within):
+    """Rows of PAIRS for one tree, QUERIES members searched for at a time."""
+    key, label, size, asked = (rows.column(c).to_numpy() for c in ("set", "label", "n", "asked"))
+    within, queries = np.flatnonzero(~asked), np.flatnonzero(asked)
+    if not len(within) or not len(queries):
         return
+    at = decoded(rows.column("point").to_pylist())
     tree = CountTree(at[within], size[within], like)
-    for begin in range(0, len(asked), QUERIES):
-        some = asked[begin : begin + QUERIES]
+    for begin in range(0, len(queries), QUERIES):
+        some = queries[begin : begin + QUERIES]
         q, p = tree.search(at[some], size[some])
         q, p = some[q], within[p]
         apart = label[q] != label[p]
         q, p = q[apart], p[apart]
-        yield _pairs(key[q], key[p], label[q], label[p])
+        yield pa.RecordBatch.from_arrays(_pairs(key[q], key[p], label[q], label[p]), names=PAIR)
 
 
 def _points(texts: DataFrame, like: Similarity) -> DataFrame:
-    """(set, n, at, fine): counts by GROUPS groups, and by FINE groups, a byte each; fine is empty for a set with a count beyond a byte."""
+    """(set, n, point) of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, sets in _batch_sets(batch, like.words):
-                keys = set_keys(sets).view(np.int64)
-                counts = [np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=FINE) for h in sets]
-                fine = [c.astype(np.uint8).tobytes() if c.max() < 256 else b"" for c in counts]
+            for _, sets in _batch_sets(batch, like.words):
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(keys), sizes, pa.array(points(sets), pa.binary()), pa.array(fine, pa.binary())], names=["set", "n", "at", "fine"])
+                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets).view(np.int64)), sizes, pa.array(points(sets), pa.binary())], names=["set", "n", "point"])
 
-    return texts.mapInArrow(run, "set long, n long, at binary, fine binary").dropDuplicates(["set"])
+    return texts.mapInArrow(run, "set long, n long, point binary").dropDuplicates(["set"])
 
 
 def _with_set(texts: DataFrame, like: Similarity) -> DataFrame:
@@ -426,31 +478,44 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     inside = written(members.select("set").distinct().join(sets, "set").select(F.col("set"), id_key(F.col("id")).alias("least")), "inside")
     texts = written(_with_set(body.hint("merge").join(inside, id_key(F.col("id")) == F.col("least")).select("set", "text"), like), "texts")
     at = written(_points(texts, like), "points")
-    members = written(members.join(at.drop("fine"), "set"), "members")
+    release(inside)
     parts = None
-    for step in ("first", "star", "tree"):
+    for step in ("first", "second", "last"):
         left = _labelled(members, parts)
-        pairs = _by_tree(left, like) if step == "tree" else _to_least(left, like, one_each=step == "first")
-        pairs = written(_screened(pairs, at.select("set", "fine"), like), "screened")
+        if left.isEmpty():
+            release(left)
+            break
+        pairs = _by_trees(left, at, like) if step == "last" else _by_leaders(left, at, like, one_each=step == "first")
         linked = _verified(pairs, texts, like).select(F.greatest("label_a", "label_b").alias("u"), F.least("label_a", "label_b").alias("v"))
         linked = written(linked.distinct(), "links")
-        if parts is None or not linked.isEmpty():
+        release(left, pairs)
+        if not linked.isEmpty():
             new = components_of_pairs(linked)
-            parts = written(new if parts is None else joined(parts, new), "parts")
-    of_set = sets.join(parts.withColumnRenamed("node", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("part"))
-    of_set = written(of_set, "of-set")
-    least = written(of_set.groupBy("part").agg(F.min("id").alias("component_id")), "least")
-    named = written(of_set.join(least, "part").select("set", "component_id"), "named")
-    out = rows.join(named, (F.col("n") > 0) & (rows["set"] == named["set"]), "left")
+            before, parts = parts, written(new if parts is None else joined(parts, new), "parts")
+            release(*new.folio_uses, *([before] if before is not None else []))
+        else:
+            release(linked)
+    release(members, texts, at)
+    if parts is None:
+        named = sets.select("set", F.col("id").alias("component_id"))
+        used = []
+    else:
+        of_set = sets.join(parts.withColumnRenamed("node", "set"), "set", "left").select("set", "id", F.coalesce("component", "set").alias("part"))
+        of_set = written(of_set, "of-set")
+        least = written(of_set.groupBy("part").agg(F.min("id").alias("component_id")), "least")
+        named = of_set.join(least, "part").select("set", "component_id")
+        used = [parts, of_set, least]
+    out = rows.join(named.withColumnRenamed("set", "named"), (F.col("n") > 0) & (F.col("set") == F.col("named")), "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-    release(inside, texts, at, members)
+    out = written(out, "groups")
+    release(rows, sets, *used)
     return out
 
 
 def one_of_each_group(docs: DataFrame, words: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without the rows that linked_groups links to a row of a smaller doc_id. Exact repeats of a row's id and text are one
     row then; rows with a null doc_id stay only in groups without any other id. Order of rows isn't kept."""
-    groups = written(linked_groups(docs, words, num, den, doc_id, text), "groups")
+    groups = linked_groups(docs, words, num, den, doc_id, text)
     key = free_name(docs, "id__")
     keep = groups.where("doc_id <=> component_id").select(id_key(F.col("doc_id")).alias(key)).distinct()
     out = docs.hint("merge").join(keep, id_key(F.col(doc_id)) == F.col(key), "left_semi")

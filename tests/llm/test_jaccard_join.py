@@ -65,10 +65,10 @@ def test_tree_finds_what_the_bound_allows():
     sets = [np.unique(rng.integers(0, 1 << 63, rng.integers(5, 300)).astype(np.uint64)) for _ in range(40)]
     sets += [np.unique(np.concatenate([s[: len(s) - len(s) // 12], rng.integers(0, 1 << 63, 3).astype(np.uint64)])) for s in sets]
     sets = [J.mix(s) for s in sets]
-    at = np.array([np.frombuffer(p, "<u4") for p in J.points(sets)])
+    at = J.decoded(J.points(sets))
     size = np.array([len(s) for s in sets])
     got = set(zip(*(x.tolist() for x in J.CountTree(at, size, like).search(at, size)), strict=True))
-    want = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if np.minimum(at[i], at[j]).sum() >= like.overlap(size[i] + size[j])}
+    want = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if np.minimum(at[i], at[j]).sum(dtype=int) >= like.overlap(size[i] + size[j])}
     assert got == want
     linked = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))}
     assert linked <= got and len(linked) > len(sets)
