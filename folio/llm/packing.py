@@ -112,7 +112,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int, capacity: int = C
             pieces = pack([len(x) for x in held], capacity)
             doc, start, length, seq, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
             ids = [held[d][a : a + n] for d, a, n, _, _ in pieces]
-            columns = [pa.array([names[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([len(held[d]) for d in doc], pa.int64()), pa.array(sequence + seq), pa.array(offset)]
+            columns = [pa.array([names[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(held[d]) for d in doc], pa.int64()), pa.array(sequence + seq), pa.array(offset)]
             sequence += int(seq.max()) + 1
             names.clear()
             held.clear()
@@ -121,11 +121,10 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int, capacity: int = C
         size = 0
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for i in range(0, len(texts), 64):
-                found = t.encode(texts[i : i + 64], end)
-                names += ids[i : i + 64]
-                held += [x.astype("<u4") for x in found]
-                size += sum(map(len, found))
+            for i, x in enumerate(t.encoded(texts, end)):
+                names.append(ids[i])
+                held.append(x)
+                size += len(x)
                 if size >= WINDOW:
                     yield out()
                     size = 0

@@ -139,18 +139,17 @@ def write_token_files(docs: DataFrame, vocabulary: str, end: int, folder: str |
 
         for batch in batches:
             names, texts, parts = (batch.column(c).to_pylist() for c in ("doc_id", "text", "part"))
-            for i in range(0, len(texts), 64):
-                for d, p, x in zip(names[i : i + 64], parts[i : i + 64], t.encode(texts[i : i + 64], end), strict=True):
-                    if p != at or size + len(x) > SEGMENT_TOKENS:
-                        if ids:
-                            close_segment()
-                        if p != at:
-                            if out:
-                                out.close()
-                            out, at, first = NewFile(folder, f"range-{p:06d}-{TaskContext.get().partitionId():06d}", ".dac"), p, 0
-                    ids.append(d)
-                    held.append(x)
-                    size += len(x)
+            for d, p, x in zip(names, parts, t.encoded(texts, end), strict=True):
+                if p != at or size + len(x) > SEGMENT_TOKENS:
+                    if ids:
+                        close_segment()
+                    if p != at:
+                        if out:
+                            out.close()
+                        out, at, first = NewFile(folder, f"range-{p:06d}-{TaskContext.get().partitionId():06d}", ".dac"), p, 0
+                ids.append(d)
+                held.append(x)
+                size += len(x)
             if index:
                 yield pa.RecordBatch.from_pylist(index, schema=_INDEX)
                 index.clear()
