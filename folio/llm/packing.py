@@ -113,10 +113,12 @@ def pack_documents(docs: DataFrame, vocabulary: str, end: int, capacity: int = C
             doc, start, length, seq, offset = (np.array(c, np.int64) for c in zip(*pieces, strict=True))
             ids = [held[d][a : a + n] for d, a, n, _, _ in pieces]
             columns = [pa.array([names[d] for d in doc], pa.int64()), pa.array(start), pa.array(length), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array([len(held[d]) for d in doc], pa.int64()), pa.array(sequence + seq), pa.array(offset)]
+            if with_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
             sequence += int(seq.max()) + 1
             names.clear()
             held.clear()
-            return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
+            return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids)
 
         size = 0
         for batch in batches:
