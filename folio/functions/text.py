@@ -2,19 +2,59 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Latin letters with marks and the letters without; words of the filters.
-MARKED = "áàâãäåçéèêëíìîïñóòôõöúùûüýÿÁÀÂÃÄÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÖÚÙÛÜÝ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+# Words of the filters, acronyms that a mask of names keeps.
 TRUTHY = ["true", "1", "sim", "x", "verdadeiro"]
+KEPT = ["BC", "BCB", "Copom", "Selic", "IPCA", "IPCA-15", "IGP-M", "PIB", "Focus", "Fed", "Tesouro", "Banco Central", "Banco Central do Brasil", "CMN", "Fazenda", "Congresso", "Planalto", "Executivo", "Bolsa", "Ibovespa", "B3", "DI", "CDI", "FMI", "EUA"]
+
+
+def _one_letter(c: str) -> str | None:
+    """The character that compatibility decomposition without combining marks leaves of c, if it is one."""
+    rest = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
+    return rest[0] if len(rest) == 1 else None
+
+
+#: Characters that built-in functions handle: those of Latin scripts and of punctuation that become one character. Built from the rule.
+_LATIN = [chr(c) for c in (*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2028), 0x20AC) if _one_letter(chr(c))]
+MARKED = "".join(c for c in _LATIN if _one_letter(c) != c)
+PLAIN = "".join(_one_letter(c) for c in MARKED)
+
+
+
+def _ranges(chars: Sequence[str]) -> str:
+    """The inside of a character class: sorted characters as ranges."""
+    out = []
+    for c in map(ord, chars):
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
+
+
+_OTHER = f"[^\\x00-\\x7F{_ranges(_LATIN)}]"
+
+
+@F.pandas_udf(StringType())
+def _decomposed(texts: pd.Series) -> pd.Series:
+    drop = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
+    return texts.map(lambda t: drop(t) if t is not None and not t.isascii() else t)
 
 
 def unmarked(col: Column) -> Column:
-    return F.translate(col, MARKED, PLAIN)
+    """Compatibility decomposition (NFKD) without combining marks.
+
+    Texts of ASCII stay, those of ASCII and Latin letters go by a table; only others are sent to Python, in batches."""
+    other = col.rlike(_OTHER)
+    return F.when(other, _decomposed(F.when(other, col))).when(col.rlike(r"[^\x00-\x7F]"), F.translate(col, MARKED, PLAIN)).otherwise(col)
 
 
 def norm(col: Column) -> Column:
@@ -24,22 +64,33 @@ def norm(col: Column) -> Column:
 
 def title_key(col: Column) -> Column:
     """Anything but letters, digits and spaces becomes a space; spaces stay as they are."""
-    return F.regexp_replace(norm(col), r"[^a-z0-9 ]", " ")
+    return title_key_of(norm(col))
+
+
+def title_key_of(normed: Column) -> Column:
+    return F.regexp_replace(normed, r"[^a-z0-9 ]", " ")
 
 
 def text_key(col: Column) -> Column:
     """As title_key, after dropping what isn't ASCII, with single spaces and none at the ends."""
-    ascii_ = F.regexp_replace(unmarked(col), r"[^\x00-\x7F]", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(ascii_), r"[^a-z0-9 ]", " "), r" +", " "))
+    return text_key_of(unmarked(col))
+
+
+def text_key_of(bare: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(bare, r"[^\x00-\x7F]", "")), r"[^a-z0-9]+", " "))
 
 
 def text_hash(*cols: Column) -> Column:
     """16 hex digits that agree for texts with equal keys; null counts as empty."""
-    return F.substring(F.sha2(F.concat_ws("|", *(text_key(F.coalesce(c, F.lit(""))) for c in cols)), 256), 1, 16)
+    return F.substring(F.sha1(F.concat_ws("|", *(text_key(F.coalesce(c, F.lit(""))) for c in cols))), 1, 16)
 
 
 def slug(col: Column, size: int = 80) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(norm(col), r"[^a-z0-9]+", "-"), r"^-|-$", ""), 1, size)
+    return slug_of(norm(col), size)
+
+
+def slug_of(normed: Column, size: int = 80) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(normed, r"[^a-z0-9]+", "-"), r"^-|-$", ""), 1, size)
 
 
 def has_term(cols: Sequence[Column], terms: Sequence[str]) -> Column:
@@ -58,8 +109,10 @@ def slug_relevant(col: Column, parts: Sequence[str], tokens: Sequence[str]) -> C
 
 
 def number(col: Column) -> Column:
-    """Points group thousands, the comma is decimal; null for anything else."""
-    return F.replace(F.replace(F.trim(col), F.lit("."), F.lit("")), F.lit(","), F.lit(".")).try_cast("double")
+    """Points group thousands, the comma is decimal; with an exponent points are decimal too; null for anything else."""
+    bare = F.trim(col)
+    grouped = F.when(F.upper(bare).contains("E"), bare).otherwise(F.replace(bare, F.lit("."), F.lit("")))
+    return F.replace(grouped, F.lit(","), F.lit(".")).try_cast("double")
 
 
 def truthy(col: Column) -> Column:
@@ -76,6 +129,13 @@ def paragraphs(col: Column, least: int = 60) -> Column:
     return F.filter(F.transform(F.split(col, "\n"), lambda p: F.trim(p)), lambda p: F.length(p) >= least)
 
 
+def without_repeated_lead(items: Column, lead: Column, size: int = 80) -> Column:
+    """Paragraphs without the first, if its normal form begins with the first `size` characters of the lead's."""
+    start = F.substring(norm(lead), 1, size)
+    again = (F.size(items) > 0) & (start != "") & F.substring(norm(F.get(items, 0)), 1, size).eqNullSafe(start)
+    return F.when(again, F.slice(items, 2, F.greatest(F.size(items) - 1, F.lit(1)))).otherwise(items)
+
+
 def regrouped_sentences(col: Column, least: int = 220) -> Column:
     """Sentences put together, in order, to paragraphs of at least so many characters; the last may be shorter."""
     sentences = F.split(col, r"(?<=[.!?]) +")
@@ -112,26 +172,39 @@ def clean_body(col: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-NUMBER = r"\d+(?:[.,]\d+)?(?:\s*%)?"
-
-
-def masked(col: Column, level: int, officials: Sequence[str] = (), politicians: Sequence[str] = (), indicators: Sequence[str] = (), era: Sequence[str] = (), outlets: Sequence[str] = ()) -> Column:
-    """Masks that build on each other: 1 dates, 2 officials, 3 politicians, 4 the levels of indicators, 5 words of an era,
-    outlets, all numbers and capitalised names that don't begin a sentence. Longer names go first. Null stays null."""
-    month = r"(?:janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)"
-    out = F.regexp_replace(col, rf"(?iu)\b\d{{1,2}}\s+de\s+{month}(?:\s+de\s+\d{{4}})?|\b\d{{1,2}}/\d{{4}}\b|\b\d{{1,2}}/\d{{1,2}}(?:/\d{{2,4}})?|\b(?:19|20)\d{{2}}\b", "[DATA]")
-    names = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
-    if level >= 2 and officials:
-        out = F.regexp_replace(out, rf"(?U)\b(?:{names(officials)})\b", "[AUTORIDADE]")
-    if level >= 3 and politicians:
-        out = F.regexp_replace(out, rf"(?U)\b(?:{names(politicians)})\b", "[POLITICO]")
-    if level >= 4:
-        for word in indicators:
-            out = F.regexp_replace(out, rf"(?iU)(\b{word}\b\D{{0,20}}?){NUMBER}", f"$1[{word.upper()}_NIVEL]")
+# Months, what a level's number looks like, the indicators and their marks, any number, a name within a sentence.
+MONTHS = "janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
+LEVEL = r"(?:R\$\s*)?\d{1,3}(?:\.\d{3})*(?:,\d+)?(?:\s*%|\s*pontos?(?:\s*percentuais)?)?"
+INDICATORS = [("selic", "[SELIC_NIVEL]"), ("ipca", "[IPCA_NIVEL]"), ("(?:d[óo]lar|c[âa]mbio)", "[CAMBIO_NIVEL]"), ("(?:pib|produto interno bruto)", "[PIB_NIVEL]")]
+NUMBER = r"(?:R\$\s*)?\d[\d.,]*(?:\s*%|\s*pontos?(?:\s*percentuais)?|\s*p\.p\.)?"
+NAME = r"(?<=[a-zà-ú0-9,;:)\]] )(?:[A-ZÀ-Ú][\wà-ú]+|[A-Z]{2,})(?:\s+(?:de|da|do|dos|das|e)?\s*[A-ZÀ-Ú][\wà-ú]+)*"
+
+
+def _any_of(names: Sequence[str], capitals: bool = False) -> list[str]:
+    """Patterns for the names, longest first: one for all, or one each where one name's end is another's beginning, as then the
+    order of replacing matters. capitals: also in capitals throughout."""
+    ordered = sorted(dict.fromkeys(names), key=lambda n: -len(n))
+    meet = any(a != b and any(b.startswith(a[i:]) for i in range(1, len(a))) for a in ordered for b in ordered)
+    each = ["|".join(dict.fromkeys([re.escape(n), *([re.escape(n.upper())] if capitals else [])])) for n in ordered]
+    return each if meet else ["|".join(each)] if each else []
+
+
+def masked(col: Column, level: int, officials: Sequence[str] = (), politicians: Sequence[str] = (), era: Sequence[str] = ()) -> Column:
+    """Masks that build on each other: 1 dates, 2 officials, 3 politicians, 4 the levels of indicators, 5 words of an era, all numbers,
+    and capitalised names within a sentence but for KEPT. Names match as they are written or in capitals. Null is an empty text."""
+    out = F.regexp_replace(F.coalesce(col, F.lit("")), rf"(?iU)\b(?:19|20)\d{{2}}\b|\b\d{{1,2}} de (?:{MONTHS})\b", "[DATA]")
+    for least, names, mark in ((2, officials, "[AUTORIDADE_BC]"), (3, politicians, "[POLITICO]")):
+        for pattern in _any_of(names, capitals=True) if level >= least else []:
+            out = F.regexp_replace(out, rf"(?U)\b(?:{pattern})\b", mark)
+    for word, mark in INDICATORS if level >= 4 else []:
+        out = F.regexp_replace(out, rf"(?iU)(\b{word}\b\D{{0,20}}?){LEVEL}", f"$1{mark}")
     if level >= 5:
-        for words, mark in ((era, "[EPOCA]"), (outlets, "[VEICULO]")):
-            if words:
-                out = F.regexp_replace(out, rf"(?iU)\b(?:{names(words)})\b", mark)
-        out = F.regexp_replace(out, rf"(?<![\[\w]){NUMBER}", "[NUM]")
-        out = F.regexp_replace(out, r"(?U)(?<=[^.!?\[\]\s] )(?!\[)\p{Lu}\p{Ll}+(?:\s+\p{Lu}\p{Ll}+)*", "[NOME]")
+        if era:
+            ordered = "|".join(re.escape(n) for n in sorted(era, key=lambda n: -len(n)))
+            out = F.regexp_replace(out, rf"(?iU)\b(?:{ordered})\b", "[EPOCA]")
+        out = F.regexp_replace(out, f"(?U){NUMBER}", "[NUM]")
+        # what is a name is set between two characters that no text has, then kept or masked
+        out = F.regexp_replace(F.translate(out, "\x01\x02", ""), f"(?U){NAME}", "\x01$0\x02")
+        out = F.regexp_replace(out, f"\x01({'|'.join(map(re.escape, KEPT))})\x02", "$1")
+        out = F.regexp_replace(out, "\x01[^\x02]*\x02", "[NOME]")
     return out

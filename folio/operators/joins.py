@@ -85,31 +85,55 @@ def aligned(series: dict[str, DataFrame], key: str, value: str) -> DataFrame:
 
 def replications(rows: DataFrame, key: str, outlet: str, day: str, id_: str, days: int = 2) -> DataFrame:
     """rows with group_first, n_copies and is_copy: of equal keys, the earliest row opens a group; rows of other outlets within
-    `days` days join it; what is left opens the next. Greedy and in order, by one fold over each key's rows.
-
-    A fold holds one key's ids and days. Null keys stay alone."""
-    item = F.struct(F.col(day).alias("d"), F.col(id_).alias("i"), F.col(outlet).alias("o"))
-    grouped = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("x__"))
-
-    def run(it):
-        import pandas as pd
-
-        for pdf in it:
-            out = []
-            for xs in pdf["x__"]:
-                left = list(xs)
-                while len(left):
-                    head, rest, group = left[0], [], []
-                    for x in left[1:]:
-                        if x["o"] != head["o"] and (x["d"] - head["d"]).days <= days:
-                            group.append(x)
-                        else:
-                            rest.append(x)
-                    out.append((head["i"], head["i"], len(group), False))
-                    out += [(x["i"], head["i"], len(group), True) for x in group]
-                    left = rest
-            yield pd.DataFrame(out, columns=["i__", "group_first", "n_copies", "is_copy"])
+    `days` days join it; what is left opens the next. Greedy and in order.
+
+    One exchange by key, sorted by day and id; a task holds the rows of a key's last `days` days that a group may still
+    take, not the key. Null keys stay alone."""
+    import numpy as np
+    import pyarrow as pa
 
     kind = rows.schema[id_].dataType.simpleString()
-    marks = grouped.select("x__").mapInPandas(run, f"i__ {kind}, group_first {kind}, n_copies long, is_copy boolean")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = rows.where(F.col(key).isNotNull()).select(F.col(key).alias("k"), F.unix_date(F.col(day).cast("date")).alias("d"), F.col(id_).alias("i"), F.col(outlet).alias("o"))
+    ordered = narrow.repartition(n, "k").sortWithinPartitions("k", "d", "i", "o")
+
+    def run(batches):
+        at, groups, type_ = None, [], None  # open groups of a key: [day, outlet, first id, ids]; the latest group is the last
+        for batch in batches:
+            out: list[tuple] = []
+
+            def close(gs):
+                for _, _, first, ids in gs:
+                    out.append((first, first, len(ids), False))  # noqa: B023
+                    out.extend((i, first, len(ids), True) for i in ids)  # noqa: B023
+
+            for k, d, i, o in zip(*(batch.column(c).to_pylist() for c in "kdio"), strict=True):
+                if k != at:
+                    close(groups)
+                    at, groups = k, []
+                old = [g for g in groups if d - g[0] > days]
+                if old:
+                    close(old)
+                    groups = [g for g in groups if d - g[0] <= days]
+                for g in groups:
+                    if o != g[1]:  # also where one of them is null
+                        g[3].append(i)
+                        break
+                else:
+                    groups.append([d, o, i, []])
+            type_ = batch.schema.field("i").type
+            yield _marks(out, type_)
+        out = []
+        for _, _, first, ids in groups:
+            out.append((first, first, len(ids), False))
+            out += [(i, first, len(ids), True) for i in ids]
+        if out:
+            yield _marks(out, type_)
+
+    def _marks(out, type_):
+        columns = list(zip(*out, strict=True)) if out else [(), (), (), ()]
+        arrays = [pa.array(columns[0], type_), pa.array(columns[1], type_), pa.array(np.array(columns[2], np.int64)), pa.array(columns[3], pa.bool_())]
+        return pa.RecordBatch.from_arrays(arrays, names=["i__", "group_first", "n_copies", "is_copy"])
+
+    marks = ordered.mapInArrow(run, f"i__ {kind}, group_first {kind}, n_copies long, is_copy boolean")
     return rows.join(marks, F.col(id_) == F.col("i__"), "left").drop("i__")

@@ -123,15 +123,25 @@ def threshold(rows: DataFrame, score: str, label: str, sensitivity: float = 0.95
     return rows.crossJoin(F.broadcast(cut)).groupBy("threshold").agg(F.try_divide(F.count_if(keep & (F.col(label) == 1)), F.count_if(F.col(label) == 1)).alias("sensitivity"), F.avg((~keep).cast("int")).alias("discarded"))
 
 
-def alpha(rows: DataFrame, unit: str, rating: str, k: int = 5) -> float:
-    """Krippendorff's ordinal alpha. Units are counted by their pattern of ratings first; the driver gets the patterns."""
-    counts = [F.count_if(F.col(rating) == c).alias(f"c{c}") for c in range(1, k + 1)]
-    patterns = rows.groupBy(unit).agg(*counts).groupBy(*(f"c{c}" for c in range(1, k + 1))).agg(F.count("*").alias("n")).collect()
-    from ..functions.numeric import ordinal_alpha
-
-    units = [[c for c in range(1, k + 1) for _ in range(r[f"c{c}"])] for r in patterns for _ in range(r["n"])]
-    width = max((len(u) for u in units), default=0)
-    return ordinal_alpha(np.array([u + [np.nan] * (width - len(u)) for u in units]).reshape(len(units), width), k)
+def alpha(rows: DataFrame, unit: str, rating: str, k: int = 5) -> DataFrame:
+    """Krippendorff's alpha (one row: alpha) for ratings 1 to k with the ordinal metric; units with one rating don't count, and without
+    two ratings anywhere or without any spread it is null.
+
+    Units are counted by category, and their coincidences summed by the tasks: k * k numbers are left."""
+    c = [F.col(f"c{i}") for i in range(1, k + 1)]
+    units = rows.groupBy(unit).agg(*(F.count_if(F.col(rating) == i).cast("double").alias(f"c{i}") for i in range(1, k + 1)))
+    m = sum(c[1:], c[0])
+    pairs = [(F.sum((c[i] * c[j] - (c[i] if i == j else 0)) / (m - 1))).alias(f"o{i}_{j}") for i in range(k) for j in range(k)]
+    one = units.where(m >= 2).agg(*pairs)
+    o = [[F.coalesce(F.col(f"o{i}_{j}"), F.lit(0.0)) for j in range(k)] for i in range(k)]
+    one = one.select(*(x.alias(f"o{i}_{j}") for i, row in enumerate(o) for j, x in enumerate(row)))
+    one = one.withColumns({f"t{i}": sum((F.col(f"o{i}_{j}") for j in range(k)), F.lit(0.0)) for i in range(k)})
+    one = one.withColumns({f"mid{i}": sum((F.col(f"t{j}") for j in range(i + 1)), F.lit(0.0)) - F.col(f"t{i}") / 2 for i in range(k)})
+    n = sum((F.col(f"t{i}") for i in range(k)), F.lit(0.0))
+    far = lambda i, j: F.pow(F.col(f"mid{i}") - F.col(f"mid{j}"), 2)
+    seen = sum((F.col(f"o{i}_{j}") * far(i, j) for i in range(k) for j in range(k)), F.lit(0.0)) / n
+    chance = sum((F.col(f"t{i}") * F.col(f"t{j}") * far(i, j) for i in range(k) for j in range(k)), F.lit(0.0)) / (n * (n - 1))
+    return one.withColumns({"n__": n}).select(F.when(F.col("n__") > 1, 1 - F.try_divide(seen, F.when(chance > 0, chance))).alias("alpha"))
 
 
 def series_agreement(one: DataFrame, other: DataFrame, key: str, value: str, series: list[str] = (), size: str | None = None) -> DataFrame:

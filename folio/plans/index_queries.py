@@ -241,11 +241,12 @@ def coverage_zero_filled(spark, sf):
 
 
 @query("""
-WITH g AS (SELECT event_type, day FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(range(DATE '2024-01-02', DATE '2024-02-10', INTERVAL 5 DAY))::DATE AS day))
+WITH g AS (SELECT event_type, day FROM (SELECT DISTINCT event_type FROM events), (SELECT unnest(range((SELECT min(ts) FROM events)::DATE::TIMESTAMP, (SELECT max(ts) FROM events)::DATE::TIMESTAMP + INTERVAL 1 DAY, INTERVAL 5 DAY))::DATE AS day))
 SELECT g.event_type, g.day, count(e.event_id) AS n FROM g LEFT JOIN events e ON e.event_type = g.event_type AND e.ts::DATE >= g.day AND e.ts::DATE < g.day + 2 GROUP BY ALL""")
 def meeting_window_counts(spark, sf):
     e = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("at"))
-    grid = e.select("event_type").distinct().withColumn("day", F.explode(F.expr("sequence(date'2024-01-02', date'2024-02-09', interval 5 days)")))
+    ends = e.agg(F.min("at").alias("a"), F.max("at").alias("b")).where("a is not null")
+    grid = e.select("event_type").distinct().crossJoin(F.broadcast(ends)).select("event_type", F.explode(F.expr("sequence(a, b, interval 5 days)")).alias("day"))  # one row of ends
     return jn.range_counts(e, grid, ["event_type"], "at", "day", 2)
 
 
@@ -277,14 +278,13 @@ def asof_next_after(spark, sf):
     return jn.asof_forward(*_clicks(spark, sf), ["user_id"], "ts", ["v"])
 
 
-SERIES = f"{DAILY}, s AS (SELECT day, value FROM daily WHERE day(day) % 3 <> 0), ev AS (SELECT DISTINCT day FROM daily WHERE day(day) % 4 = 0)"
+SERIES = f"{DAILY}, s AS (SELECT day, value FROM daily), ev AS (SELECT DISTINCT day FROM daily)"
 
 
 @query(f"""
 WITH {SERIES} SELECT ev.day, round(arg_max(s.value, s.day) FILTER (s.day < ev.day AND s.day >= ev.day - 7), 6) AS "before",
   round(arg_min(s.value, s.day) FILTER (s.day > ev.day AND s.day <= ev.day + 8), 6) AS "after" FROM ev, s GROUP BY ev.day""")
 def asof_around(spark, sf):
-    # every day is an event, and the series has all days; the SQL above still has filters of days
     d = daily_value(spark, sf)
     return rounded(jn.around(d.select("day"), d, "day", "value"))
 
@@ -306,7 +306,12 @@ def aligned_series(spark, sf):
     return rounded(jn.aligned({s.lower(): o.where(F.col("o_orderstatus") == s) for s in "FOP"}, "month", "v"), 4)
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id AS i, source AS o, sha1(text) AS k, DATE '2024-01-01' + (doc_id % 9)::INT AS d FROM documents), x AS (SELECT k, list_sort(list({'d': d, 'i': i, 'o': o})) AS l FROM d WHERE k IS NOT NULL GROUP BY k),
+r AS (SELECT k, l AS left_, NULL::STRUCT(d DATE, i BIGINT, o VARCHAR) AS h, [] ::STRUCT(d DATE, i BIGINT, o VARCHAR)[] AS g FROM x UNION ALL
+  SELECT k, list_filter(left_[2:], lambda y: NOT (y.o <> left_[1].o AND y.d - left_[1].d <= 2)), left_[1], list_filter(left_[2:], lambda y: y.o <> left_[1].o AND y.d - left_[1].d <= 2) FROM r WHERE len(left_) > 0),
+g AS (SELECT h.i AS doc_id, h.i AS group_first, len(g)::BIGINT AS n_copies, false AS is_copy FROM r WHERE h IS NOT NULL UNION ALL SELECT (unnest(g)).i, h.i, len(g)::BIGINT, true FROM r WHERE h IS NOT NULL)
+SELECT doc_id, group_first, n_copies, is_copy FROM d LEFT JOIN g ON doc_id = i""")
 def replication_groups(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "source", F.sha1("text").alias("key"), F.date_add(F.to_date(F.lit("2024-01-01")), F.pmod("doc_id", F.lit(9)).cast("int")).alias("day"))
     return jn.replications(d, "key", "source", "day", "doc_id").select("doc_id", "group_first", "n_copies", "is_copy")
@@ -348,9 +353,8 @@ def schema_violations(spark, sf):
     return corpus.violations(table(spark, sf, "documents"), "doc_id", ["text"], {"lang": ["en", "fr"]})
 
 
-@query("SELECT substr(c_mktsegment, 1, 4) || '-' || lpad((row_number() OVER (ORDER BY c_name, c_custkey) - 1)::VARCHAR, 6, '0') AS id, c_custkey FROM customer WHERE c_nationkey = 3")
+@query("SELECT substr(c_mktsegment, 1, 4) || '-' || lpad((row_number() OVER (ORDER BY c_name, c_custkey) - 1)::VARCHAR, 6, '0') AS id, c_custkey FROM customer")
 def export_ids(spark, sf):
-    # every customer; the SQL above still has a filter of nations
     return corpus.with_export_id(table(spark, sf, "customer"), F.col("c_mktsegment"), ["c_name", "c_custkey"], "id").select("id", "c_custkey")
 
 

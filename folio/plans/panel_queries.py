@@ -29,41 +29,55 @@ def query(sql: str | None = None):
     return add
 
 
-MARKS = f"translate({{}}, '{text.MARKED}', '{text.PLAIN}')"
-
-
-@query(f"""
-WITH n AS (SELECT doc_id, {MARKS.format('lower(text)')} AS n, {MARKS.format('text')} AS m FROM documents)
-SELECT doc_id, md5(n) AS norm_md5, md5(regexp_replace(n, '[^a-z0-9 ]', ' ', 'g')) AS title_md5, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(m, '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) AS key_md5,
+@query(r"""
+WITH n AS (SELECT doc_id, strip_accents(lower(text)) AS n, strip_accents(text) AS m FROM documents)
+SELECT doc_id, md5(n) AS norm_md5, md5(regexp_replace(n, '[^a-z0-9 ]', ' ', 'g')) AS title_md5, md5(trim(regexp_replace(regexp_replace(lower(regexp_replace(m, '[^\x00-\x7F]', '', 'g')), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g'))) AS key_md5,
        substr(regexp_replace(regexp_replace(n, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g'), 1, 80) AS slug FROM n""")
 def text_normal_forms(spark, sf):
-    t = F.col("text")
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.norm(t)).alias("norm_md5"), F.md5(text.title_key(t)).alias("title_md5"), F.md5(text.text_key(t)).alias("key_md5"), text.slug(t).alias("slug"))
+    t, n = F.col("text"), F.col("n")
+    d = table(spark, sf, "documents").select("doc_id", text.norm(t).alias("n"), F.md5(text.text_key(t)).alias("key_md5"))
+    return d.select("doc_id", F.md5(n).alias("norm_md5"), F.md5(text.title_key_of(n)).alias("title_md5"), "key_md5", text.slug_of(n).alias("slug"))
 
 
-@query(f"""SELECT doc_id, regexp_matches({MARKS.format('lower(text)')}, 'der die|the of|nation') AS has_term, regexp_matches(text, '(?i)the th|une? ') AND NOT regexp_matches(text, '(?i)license|http') AS relevant FROM documents""")
+@query(f"""SELECT doc_id, regexp_matches(strip_accents(lower(text)), 'der die|the of|nation') AS has_term, regexp_matches(text, '(?i)the th|une? ') AND NOT regexp_matches(text, '(?i)license|http') AS relevant FROM documents""")
 def text_relevance(spark, sf):
     t = F.col("text")
     return table(spark, sf, "documents").select("doc_id", text.has_term([t], ["der die", "the of", "nation"]).alias("has_term"), text.relevant(t, "the th|une? ", "license|http").alias("relevant"))
 
 
-SENTENCES = [
-    (1, "Em 12 de março de 2015 o Copom elevou a Selic para 14,25% ao ano."), (2, "Ilan Goldfajn e Henrique Meirelles falaram em 2016."), (3, "A inflação de 10,67% em 01/2016 assustou Dilma."),
-    (4, "Roberto Campos Neto disse que a Selic em 13.75 fica. Depois, Lula criticou."), (5, None), (6, "sem nada a mascarar"),
-]
-OFFICIALS, POLITICIANS, INDICATORS = ["Ilan Goldfajn", "Ilan", "Henrique Meirelles", "Roberto Campos Neto"], ["Dilma", "Lula"], ["selic", "inflação"]
+OFFICIALS, POLITICIANS, ERA = ["Ilan Goldfajn", "Ilan", "Henrique Meirelles", "Roberto Campos Neto", "Campos Neto"], ["Dilma", "Lula", "Temer"], ["pandemia", "plano real"]
+MASKED = """
+WITH o AS (SELECT o_orderkey AS k, o_orderkey % 8 AS c, (o_orderkey % 40 + 1)::VARCHAR AS a, lpad((o_custkey % 100)::VARCHAR, 2, '0') AS b, year(o_orderdate)::VARCHAR AS y, (o_orderkey % 28 + 1)::VARCHAR AS d FROM orders)"""
 
 
-def _sentences(spark):
-    return spark.createDataFrame(SENTENCES, "id int, s string")
+def _news(spark, sf):
+    """(k, s): a sentence for each order, of eight kinds."""
+    k, n = F.col("o_orderkey"), F.col("o_custkey")
+    a, b, y, d = (k % 40 + 1).cast("string"), F.lpad((n % 100).cast("string"), 2, "0"), F.year("o_orderdate").cast("string"), (k % 28 + 1).cast("string")
+    say = lambda *p: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in p))
+    kinds = [
+        say("Em ", d, " de março de ", y, " o Copom elevou a Selic para ", a, ",", b, "% ao ano."), say("PIB de R$ 1.", b, "4,56 e dólar a R$ ", a, ",", b, "; em ", y, " nada."),
+        say("ILAN GOLDFAJN e Henrique Meirelles falaram em ", y, "; temer não é nome, Temer é."), say("O IPCA acumula ", a, ",", b, "% no ano, diz Campos Neto a Lula."),
+        say("CÂMBIO fechou em ", a, " pontos percentuais; Ilanes fica."), say("Produto Interno Bruto sobe, ", a, "% de alta da SELIC"), F.lit(None).cast("string"), say("Sem nada a mascarar, Dilmar."),
+    ]
+    pick = F.element_at(F.array(*kinds), (k % 8 + 1).cast("int"))
+    return table(spark, sf, "orders").select(k.alias("k"), pick.alias("s"))
 
 
-@query("""
-SELECT * FROM (VALUES (1, 'Em [DATA] o Copom elevou a [SELIC_NIVEL] ao ano.'), (2, '[AUTORIDADE] e [AUTORIDADE] falaram em [DATA].'), (3, 'A [INFLAÇÃO_NIVEL] em [DATA] assustou [POLITICO].'),
-  (4, '[AUTORIDADE] disse que a [SELIC_NIVEL] fica. Depois, [POLITICO] criticou.'), (5, NULL), (6, 'sem nada a mascarar')) t(id, masked)""")
+@query(MASKED + """
+SELECT k, CASE c WHEN 0 THEN 'Em [DATA] de [DATA] o Copom elevou a Selic para [SELIC_NIVEL] ao ano.' WHEN 1 THEN 'PIB de [PIB_NIVEL] e dólar a [CAMBIO_NIVEL]; em [DATA] nada.'
+  WHEN 2 THEN '[AUTORIDADE_BC] e [AUTORIDADE_BC] falaram em [DATA]; temer não é nome, [POLITICO] é.' WHEN 3 THEN 'O IPCA acumula [IPCA_NIVEL] no ano, diz [AUTORIDADE_BC] a [POLITICO].'
+  WHEN 4 THEN 'CÂMBIO fechou em [CAMBIO_NIVEL]; Ilanes fica.' WHEN 5 THEN 'Produto Interno Bruto sobe, [PIB_NIVEL] de alta da SELIC' WHEN 6 THEN '' ELSE 'Sem nada a mascarar, Dilmar.' END AS masked FROM o""")
 def mask_level_4(spark, sf):
-    out = _sentences(spark).select("id", text.masked(F.col("s"), 4, OFFICIALS, POLITICIANS, INDICATORS).alias("masked"))
-    return out.withColumn("masked", F.regexp_replace("masked", r"(?iu)\b(selic|inflação)\b\D{0,20}?\[", "["))
+    return _news(spark, sf).select("k", text.masked(F.col("s"), 4, OFFICIALS, POLITICIANS, ERA).alias("masked"))
+
+
+@query(MASKED + """
+SELECT k, CASE c WHEN 0 THEN 'Em ' || d || ' de março de ' || y || ' o Copom elevou a Selic para ' || a || ',' || b || '% ao ano.' ELSE NULL END AS s, CASE c WHEN 0 THEN 'Em [DATA] de [DATA] o Copom elevou a Selic para ' || a || ',' || b || '% ao ano.' WHEN 2 THEN 'ILAN GOLDFAJN e Henrique Meirelles falaram em [DATA]; temer não é nome, Temer é.' END AS dates,
+  CASE c WHEN 2 THEN '[AUTORIDADE_BC] e [AUTORIDADE_BC] falaram em [DATA]; temer não é nome, Temer é.' WHEN 3 THEN 'O IPCA acumula ' || a || ',' || b || '% no ano, diz [AUTORIDADE_BC] a Lula.' END AS officials FROM o""")
+def mask_levels_1_and_2(spark, sf):
+    s, kind = F.col("s"), F.col("k") % 8
+    return _news(spark, sf).select("k", F.when(kind == 0, s).alias("s"), F.when(kind.isin(0, 2), text.masked(s, 1, OFFICIALS)).alias("dates"), F.when(kind.isin(2, 3), text.masked(s, 2, OFFICIALS, POLITICIANS)).alias("officials"))
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '\b(19|20)\d{2}\b', '[DATA]', 'g'), '\d+([.,]\d+)?', '#', 'g')) AS h FROM documents""")
@@ -72,9 +86,14 @@ def mask_numbers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(F.regexp_replace(years, r"\d+([.,]\d+)?", "#")).alias("h"))
 
 
-@query()
+@query(r"""
+WITH a AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '(?i)\b(?:19|20)\d{2}\b|\b\d{1,2} de (?:janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro)\b', '[DATA]', 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\b(?:the|THE)\b', '[AUTORIDADE_BC]', 'g'), '\b(?:Lula|LULA)\b', '[POLITICO]', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?i)\b(?:plano real|pandemia|nation)\b', '[EPOCA]', 'g'), '(?:R\$\s*)?\d[\d.,]*(?:\s*%|\s*pontos?(?:\s*percentuais)?|\s*p\.p\.)?', '[NUM]', 'g') AS t FROM b),
+d AS (SELECT doc_id, regexp_replace(t, '([a-zà-ú0-9,;:)\]] )((?:[A-ZÀ-Ú](?:[\pL\pN\pM_]|[à-ú])+|[A-Z]{2,})(?:\s+(?:de|da|do|dos|das|e)?\s*[A-ZÀ-Ú](?:[\pL\pN\pM_]|[à-ú])+)*)', '\1[NOME]', 'g') AS t FROM c)
+SELECT doc_id, md5(t) AS h FROM d""")
 def mask_level_5(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.masked(F.col("text"), 5, OFFICIALS, POLITICIANS, INDICATORS, ["pandemia"], ["Folha"])).alias("h"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.masked(F.col("text"), 5, ["the"], ["Lula"], ["pandemia", "plano real", "nation"])).alias("h"))
 
 
 @query("""SELECT page_id, lower(rtrim(regexp_replace(url, '[?#].*$', ''), '/')) AS url, 'n' || substr(sha1(url), 1, 10) AS id FROM pages""")
@@ -148,9 +167,12 @@ def json_scores(spark, sf):
     return table(spark, sf, "events").select("event_id", "event_type", raw.alias("raw")).withColumn("d1", scores.parsed_answer(F.col("raw"))["d1"])
 
 
-@query("SELECT * FROM (VALUES ('1.234,56', 1234.56), ('-0,5', -0.5), ('1,5E3', 1500.0), ('x', NULL), (NULL, NULL)) t(s, v)")
+@query("""SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS grouped, round(l_discount / 100, 6) AS scientific, NULL::DOUBLE AS not_a_number FROM lineitem""")
 def local_numbers(spark, sf):
-    return spark.createDataFrame([("1.234,56",), ("-0,5",), ("1,5E3",), ("x",), (None,)], "s string").select("s", text.number(F.col("s")).alias("v"))
+    l = table(spark, sf, "lineitem")
+    swap = lambda c: F.translate(c, ",.", ".,")
+    grouped, scientific = swap(F.format_number("l_extendedprice", 2)), F.concat(swap(F.format_number("l_discount", 4)), F.lit("E-02"))
+    return l.select("l_orderkey", "l_linenumber", text.number(grouped).alias("grouped"), F.round(text.number(scientific), 6).alias("scientific"), text.number(F.concat(F.lit(" n/d "), "l_shipmode" if "l_shipmode" in l.columns else "l_returnflag")).alias("not_a_number"))
 
 
 CALENDAR = """
@@ -188,11 +210,10 @@ def business_days_to_ship(spark, sf):
 
 
 @query(f"""
-WITH {CALENDAR}, m AS (SELECT min(day) AS maturity FROM cal WHERE is_business GROUP BY date_trunc('month', day)), d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders WHERE o_orderkey % 50 = 0),
+WITH {CALENDAR}, m AS (SELECT min(day) AS maturity FROM cal WHERE is_business GROUP BY date_trunc('month', day)), d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders),
 r AS (SELECT day, maturity, row_number() OVER (PARTITION BY day ORDER BY maturity) AS rank FROM d JOIN m ON maturity > day)
 SELECT day, maturity, 'DI1' || substr('FGHJKMNQUVXZ', month(maturity), 1) || lpad((year(maturity) % 100)::VARCHAR, 2, '0') AS code, rank FROM r WHERE rank <= 4""")
 def next_maturities(spark, sf):
-    # every day of the orders; the SQL above still has a filter of keys
     d = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
     return cal.next_maturities(d, _calendar(spark), "day", 4)
 
@@ -207,11 +228,10 @@ def meeting_calendar(spark, sf):
 
 
 @query(f"""
-WITH {DAILY}, s AS (SELECT event_type, ts::DATE AS day FROM events WHERE user_id < 5 GROUP BY ALL),
+WITH {DAILY}, s AS (SELECT event_type, ts::DATE AS day FROM events GROUP BY ALL),
 g AS (SELECT *, coalesce((day - lag(day) OVER w > 2)::INT, 1) AS new FROM s WINDOW w AS (PARTITION BY event_type ORDER BY day))
 SELECT event_type, island, min(day) AS first_day, max(day) AS last_day, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY event_type ORDER BY day)::BIGINT AS island FROM g) GROUP BY ALL""")
 def gaps_and_islands(spark, sf):
-    # every user's events; the SQL above still has a filter of users
     d = table(spark, sf, "events").select("event_type", F.to_date("ts").alias("day")).distinct()
     return cal.islands(d, ["event_type"], "day", 2).groupBy("event_type", "island").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.count("*").alias("n"))
 
@@ -339,10 +359,15 @@ def rater_agreement(spark, sf):
     return rounded(st.quadratic_kappa(o, "a", "b"))
 
 
-@query()
+@query("""
+WITH r AS (SELECT o_custkey AS u, substr(o_orderpriority, 1, 1)::INT AS c, count(*) AS k FROM orders GROUP BY ALL), m AS (SELECT u, sum(k) AS m FROM r GROUP BY 1 HAVING m >= 2),
+o AS (SELECT a.c AS i, b.c AS j, sum((a.k * b.k - CASE WHEN a.c = b.c THEN a.k ELSE 0 END)::DOUBLE / (m - 1)) AS o FROM r a JOIN r b USING (u) JOIN m USING (u) GROUP BY ALL),
+t AS (SELECT i AS c, sum(o) AS n FROM o GROUP BY 1), g AS (SELECT c, n, sum(n) OVER (ORDER BY c) - n / 2 AS mid FROM t), s AS (SELECT sum(n) AS n FROM t),
+d AS (SELECT a.c AS i, b.c AS j, (a.mid - b.mid) ** 2 AS d, a.n * b.n AS e FROM g a, g b)
+SELECT round(1 - (sum(coalesce(o, 0) * d) / any_value(s.n)) / (sum(e * d) / (any_value(s.n) * (any_value(s.n) - 1))), 6) AS alpha FROM d LEFT JOIN o USING (i, j), s""")
 def ordinal_alpha(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_custkey").alias("unit"), F.substring("o_orderpriority", 1, 1).cast("int").alias("rating"))
-    return spark.createDataFrame([(st.alpha(o, "unit", "rating"),)], "alpha double")
+    return rounded(st.alpha(o, "unit", "rating"))
 
 
 PAIRS = "s AS (SELECT o_custkey AS unit, CASE WHEN o_orderstatus = 'F' THEN 'good' ELSE 'bad' END AS arm, substr(o_orderpriority, 1, 1)::INT AS v FROM orders)"
@@ -402,22 +427,22 @@ def filter_threshold(spark, sf):
 
 
 @query(f"""
-WITH {DAILY}, ev AS (SELECT day FROM daily WHERE day(day) % 5 = 0)
+WITH {DAILY}, ev AS (SELECT day FROM daily)
 SELECT ev.day, coalesce(sum(n) FILTER (d.day < ev.day), 0)::BIGINT AS n_before, coalesce(sum(n) FILTER (d.day > ev.day), 0)::BIGINT AS n_after,
   round(CASE WHEN sum(n) FILTER (d.day < ev.day) >= 3 AND sum(n) FILTER (d.day > ev.day) >= 3 THEN sum(value) FILTER (d.day > ev.day) / sum(n) FILTER (d.day > ev.day) - sum(value) FILTER (d.day < ev.day) / sum(n) FILTER (d.day < ev.day) END, 6) AS delta
 FROM ev LEFT JOIN daily d ON d.day BETWEEN ev.day - 7 AND ev.day + 7 GROUP BY ev.day""")
 def event_changes(spark, sf):
     d = daily_value(spark, sf)
-    return rounded(st.window_change(d.where("day(day) % 5 = 0").select("day"), d, "day", "value", 7))
+    return rounded(st.window_change(d.select("day"), d, "day", "value", 7))
 
 
 @query(f"""
 WITH {DAILY}, ch AS (SELECT e.day, sum(d.value) FILTER (d.day > e.day) / sum(d.n) FILTER (d.day > e.day) - sum(d.value) FILTER (d.day < e.day) / sum(d.n) FILTER (d.day < e.day) AS delta FROM daily e JOIN daily d ON d.day BETWEEN e.day - 7 AND e.day + 7 GROUP BY e.day)
-SELECT a.day, round(a.delta, 6) AS delta, round(avg((abs(b.delta) >= abs(a.delta))::INT), 6) AS placebo_share FROM ch a, ch b WHERE day(a.day) = 15 AND day(b.day) % 7 = 0 AND b.delta IS NOT NULL GROUP BY a.day, a.delta""")
+SELECT a.day, round(a.delta, 6) AS delta, round(avg((abs(b.delta) >= abs(a.delta))::INT), 6) AS placebo_share FROM ch a, ch b WHERE b.delta IS NOT NULL GROUP BY a.day, a.delta""")
 def event_placebo(spark, sf):
     d = daily_value(spark, sf)
-    change = lambda c: st.window_change(d.where(c).select("day"), d, "day", "value", 7, least=0)
-    return rounded(st.placebo_share(change("day(day) = 15").select("day", "delta"), change("day(day) % 7 = 0")))
+    change = st.window_change(d.select("day"), d, "day", "value", 7, least=0)
+    return rounded(st.placebo_share(change.select("day", "delta"), change))
 
 
 @query()
@@ -440,11 +465,13 @@ WINDOWS = [1, 3]
 
 
 @query(f"""
-WITH {ITEMS}, rec AS (SELECT unnest([-1, 0, 1, 2]) AS left_out), lv AS (SELECT left_out, date_trunc('month', day)::DATE AS period, wire, kind, avg((d1 - 1) / 4.0) AS c FROM items, rec WHERE outlet <> left_out AND d1 IS NOT NULL GROUP BY ALL),
-s AS (SELECT left_out, period, avg(c) AS level FROM lv GROUP BY ALL), b AS (SELECT period, level AS base FROM s WHERE left_out = -1)
-SELECT left_out, count(*) AS n, round(corr(level, base), 6) AS r, round(avg(level - base), 6) AS mean_diff, round(avg(abs(level - base)), 6) AS mean_abs_diff FROM s JOIN b USING (period) WHERE left_out >= 0 GROUP BY left_out""")
+WITH {ITEMS}, rec AS (SELECT -1 AS left_out UNION ALL SELECT DISTINCT outlet FROM items), win AS (SELECT unnest([1, 3]) AS w),
+lv AS (SELECT left_out, w, (date_trunc('month', day) + to_months(k::INT))::DATE AS period, wire, kind, avg((d1 - 1) / 4.0) AS c FROM items, rec, win, range(3) t(k) WHERE k < w AND outlet <> left_out AND d1 IS NOT NULL GROUP BY ALL),
+ends AS (SELECT left_out, max(date_trunc('month', day))::DATE AS last FROM items, rec WHERE outlet <> left_out GROUP BY 1),
+s AS (SELECT left_out, w, period, avg(c) AS level, count(*) AS m FROM lv JOIN ends USING (left_out) WHERE period <= last GROUP BY ALL), b AS (SELECT w, period, level AS base FROM s WHERE left_out = -1)
+SELECT left_out, median(m)::DOUBLE AS median_n, count(*) AS n, round(corr(level, base), 6) AS r, round(avg(level - base), 6) AS mean_diff, round(avg(abs(level - base)), 6) AS mean_abs_diff, w AS "window"
+FROM s JOIN b USING (w, period) WHERE left_out >= 0 GROUP BY left_out, w""")
 def robustness_table(spark, sf):
-    # every outlet and both windows; the SQL above still has three outlets and one window
     i, out = items(spark, sf), None
     for back in WINDOWS:
         base = ix.periodic_index(i, back).select("period", "level")
@@ -455,10 +482,12 @@ def robustness_table(spark, sf):
 
 @query(f"""
 WITH {ITEMS}, w AS (SELECT date_trunc('month', day)::DATE AS period, wire, kind, avg((d1 - 1) / 4.0) AS c FROM items WHERE d1 IS NOT NULL GROUP BY ALL), a AS (SELECT period, kind, avg(c) AS level FROM w GROUP BY ALL)
-SELECT x.period, round(abs(x.level - y.level), 6) AS gap FROM a x JOIN a y USING (period) WHERE x.kind = 'BUILDING' AND y.kind = 'MACHINERY' ORDER BY abs(x.level - y.level) DESC, period LIMIT 5""")
+SELECT period, round(max(level) - min(level), 6) AS gap FROM a GROUP BY period HAVING count(*) > 1 ORDER BY max(level) - min(level) DESC, period LIMIT 5""")
 def largest_divergence(spark, sf):
-    w = ix.collapsed(ix.in_periods(items(spark, sf))).where("kind in ('BUILDING', 'MACHINERY')").groupBy("period").agg(*(F.avg(F.when(F.col("kind") == k, F.col("c"))).alias(k) for k in ("BUILDING", "MACHINERY")))
-    return rounded(w.select("period", F.abs(F.col("BUILDING") - F.col("MACHINERY")).alias("gap")).where("gap is not null").orderBy(F.desc("gap"), "period").limit(5))
+    # the months in which the kinds' series lie furthest apart
+    by_kind = ix.collapsed(ix.in_periods(items(spark, sf))).groupBy("period", "kind").agg(F.avg("c").alias("level"))
+    gaps = by_kind.groupBy("period").agg((F.max("level") - F.min("level")).alias("gap"), F.count("*").alias("k")).where("k > 1")
+    return rounded(gaps.select("period", "gap").orderBy(F.desc("gap"), "period").limit(5))
 
 
 @query(f"WITH {MONTHLY} SELECT round(quantile_cont(x, 0.05), 6) AS p05, round(quantile_cont(x, 0.5), 6) AS p50, round(quantile_cont(x, 0.95), 6) AS p95, (SELECT mode(o_orderstatus) FROM orders) AS most FROM monthly")

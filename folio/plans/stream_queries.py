@@ -26,7 +26,6 @@ def stream_sliding(spark, sf):
 
 
 def stream_sessions(spark, sf):
-    # every user's sessions; the SQL below still has a filter of users
     return _run(inc.sessions(_events(spark, sf), "at", ["user_id"], "1 day"), "complete").select("user_id", "start", "n")
 
 
@@ -39,6 +38,6 @@ SQL["stream_first_of_key"] = "SELECT DISTINCT event_id, event_type FROM events"
 SQL["stream_sliding"] = """
 SELECT (date_trunc('day', ts) + to_days((k + 1)::INT)) AS "end", event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events, range(7) t(k) GROUP BY ALL"""
 SQL["stream_sessions"] = """
-WITH e AS (SELECT user_id, ts, coalesce((ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 DAY)::INT, 1) AS new FROM events WHERE user_id < 20),
+WITH e AS (SELECT user_id, ts, coalesce((ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 DAY)::INT, 1) AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM e)
 SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, sid"""
