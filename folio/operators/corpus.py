@@ -58,11 +58,11 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return one_of_each(both, keys, [F.col("age__")]).drop("age__")
 
 
-def with_export_id(rows: DataFrame, slug: Column, order: list[str], name: str = "id", width: int = 6) -> DataFrame:
-    """rows with the first letters of the slug and the row's number in the given order (nulls first), which tells all rows apart.
+def with_row_number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their number from 0 in the given order (nulls first); equal keys in any order.
 
     Rows are numbered within ranges of the order, bounded by the keys of least hash, and a range's numbers begin after the
-    rows of those before it. The driver holds a key for each shuffle partition. Numbers of more than `width` digits stay whole."""
+    rows of those before it. The driver holds a key for each shuffle partition."""
     key = F.struct(*order)
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(n).collect()
@@ -71,7 +71,22 @@ def with_export_id(rows: DataFrame, slug: Column, order: list[str], name: str =
     ranged = rows.withColumn("range__", F.size(F.filter(F.array(*literals), lambda b: b <= key)) if bounds else F.lit(0))
     counts = ranged.groupBy("range__").agg(F.count("*").alias("n__"))
     first = counts.select("range__", F.coalesce(F.sum("n__").over(W.orderBy("range__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first__"))  # a row for each range
-    own = ranged.withColumn("row__", F.row_number().over(W.partitionBy("range__").orderBy(*order)) - 1)
-    number = (F.col("first__") + F.col("row__")).cast("string")
+    own = ranged.withColumn("own__", F.row_number().over(W.partitionBy("range__").orderBy(*order)) - 1)
+    return own.join(F.broadcast(first), "range__").withColumn(name, F.col("first__") + F.col("own__")).drop("range__", "own__", "first__")
+
+
+def with_export_id(rows: DataFrame, slug: Column, order: list[str], name: str = "id", width: int = 6) -> DataFrame:
+    """rows with the first letters of the slug and the row's number in the given order (nulls first), which tells all rows apart.
+
+    Numbers of more than `width` digits stay whole."""
+    own = with_row_number(rows, order, "row__")
+    number = F.col("row__").cast("string")
     padded = F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number)
-    return own.join(F.broadcast(first), "range__").withColumn(name, F.concat(F.substring(slug, 1, 4), F.lit("-"), padded)).drop("range__", "row__", "first__")
+    return own.withColumn(name, F.concat(F.substring(slug, 1, 4), F.lit("-"), padded)).drop("row__")
+
+
+def labelled_by(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
+    """rows with their decision; those that no routing has are the ones that were labelled first."""
+    from .relations import left_with_default
+
+    return left_with_default(rows, decisions, key, "decision", "labelled")

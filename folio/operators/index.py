@@ -123,12 +123,14 @@ def daily_with_trailing(items: DataFrame, days: int = 30) -> DataFrame:
 
 
 def hajek(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
-    """Weighted mean by key with the linearised error over days: sqrt(g / (g - 1) * sum of squared day sums)."""
-    total = rows.where(F.col(value).isNotNull()).groupBy(*keys).agg((F.sum(F.col(weight) * F.col(value)) / F.sum(weight)).alias("mean"), F.sum(weight).alias("total"), F.count("*").alias("n"))
-    z = rows.where(F.col(value).isNotNull()).join(total.withColumnRenamed("n", "n_"), keys).withColumn("z", F.col(weight) * (F.col(value) - F.col("mean")) / F.col("total"))
-    days = z.groupBy(*keys, "day").agg(F.sum("z").alias("z")).groupBy(*keys).agg(F.count("*").alias("g"), F.sum(F.col("z") * F.col("z")).alias("q"))
-    error = F.sqrt(F.try_divide(F.col("g").cast("double"), (F.col("g") - 1).cast("double")) * F.col("q"))
-    return total.join(days, keys).select(*keys, "mean", error.alias("se"), "total", "n")
+    """Weighted mean by key with the linearised error over days: sqrt(g / (g - 1) * sum of squared day sums).
+
+    Rows are summed by day once; a day's sum of w * (y - mean) / total needs no more than its sums of w and w * y."""
+    w, y = F.col(weight), F.col(value)
+    days = rows.where(y.isNotNull()).groupBy(*keys, "day").agg(F.sum(w).alias("w"), F.sum(w * y).alias("wy"), F.count("*").alias("m"))
+    total = days.groupBy(*keys).agg((F.sum("wy") / F.sum("w")).alias("mean"), F.sum("w").alias("total"), F.sum("m").alias("n"), F.count("*").cast("double").alias("g"), F.collect_list(F.struct("w", "wy")).alias("days"))
+    square = F.aggregate("days", F.lit(0.0), lambda s, d: s + F.pow((d["wy"] - F.col("mean") * d["w"]) / F.col("total"), F.lit(2)))
+    return total.select(*keys, "mean", F.sqrt(F.try_divide(F.col("g"), F.col("g") - 1) * square).alias("se"), "total", "n")
 
 
 def dimension_levels(items: DataFrame, dims: list[str], weight: str, period: Column) -> DataFrame:
@@ -166,6 +168,23 @@ def funnel(items: DataFrame) -> DataFrame:
     return out.withColumns({"share_sent": F.try_divide("n_sent", "n"), "lost_signal": rate * F.col("n_discarded")}).withColumn("share_lost", F.try_divide(F.col("lost_signal"), F.col("lost_signal") + F.col("sent_signal") + F.col("audited_signal")))
 
 
+def production_counts(items: DataFrame, held_out: str, answered: Column, threshold: float) -> DataFrame:
+    """The counts of a production run in one pass, with the signal that the filter is estimated to have lost.
+
+    items: decision (labelled, sent, audited, discarded), d1 (null without signal), whether held out, whether an answer came."""
+    held, has = F.col(held_out), F.coalesce(answered, F.lit(False))
+    of = lambda *kinds: ~held & F.col("decision").isin(*kinds)
+    api, signal = of("labelled") | (of("sent", "audited") & has), F.col("d1").isNotNull()
+    out = items.agg(
+        F.count("*").alias("corpus"), F.count_if(held).alias("held_out"), F.count_if(~held).alias("production"), F.count_if(of("labelled")).alias("labelled"), F.count_if(of("sent")).alias("sent"),
+        F.count_if(of("discarded", "audited")).alias("below"), F.count_if(of("audited")).alias("audited"), F.count_if(of("discarded")).alias("not_sent"), F.count_if(api & ~signal).alias("without_signal"),
+        F.count_if(api & signal).alias("with_signal"), F.count_if(of("sent", "audited") & ~has).alias("missing"), F.avg(F.when(api & of("audited"), signal.cast("int"))).alias("audit_rate"),
+    )
+    lost = F.when(F.col("not_sent") == 0, 0.0).otherwise(F.col("audit_rate") * F.col("not_sent"))
+    out = out.withColumns({"share_not_sent": F.try_divide("not_sent", "production"), "lost_signal": lost})
+    return out.withColumns({"share_lost": F.try_divide("lost_signal", F.col("lost_signal") + F.col("with_signal")), "threshold": F.lit(float(threshold))})
+
+
 def funnel_by_month(items: DataFrame, audited_weight: float = 10.0) -> DataFrame:
     """By month: counts by decision, the simple mean of scores, and the mean weighted against the audit's share."""
     w = F.when(F.col("decision") == "audited", F.lit(audited_weight)).otherwise(1.0)

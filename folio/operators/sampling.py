@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Hexadecimal digits of the hash by which rows are counted before a sample is cut.
+BUCKET_DIGITS = 4
+
+
 def rank_key(key: Column, seed: str) -> Column:
     return F.sha2(F.concat(F.lit(seed), key.cast("string")), 256)
 
@@ -33,9 +37,21 @@ def proportional(rows: DataFrame, stratum: str, key: str, n: int, seed: str) ->
 
 
 def audit_share(rows: DataFrame, key: str, share: float, seed: str) -> DataFrame:
-    """Exactly round(share * n) rows by least hash."""
-    n = rows.count()
-    return simple_sample(rows, key, round(share * n), seed)
+    """Exactly round(share * n) rows by least hash (then least key), found without sorting them all.
+
+    The rank of a row's hash is known but for its bucket: hashes are even, so rows are counted by its first BUCKET_DIGITS digits, whole
+    buckets are taken, and only the rows of the one in which the sample ends are ranked."""
+    digest = rank_key(F.col(key), seed)
+    marked = rows.withColumn("bucket__", F.conv(F.substring(digest, 1, BUCKET_DIGITS), 16, 10).cast("long"))
+    counts = marked.groupBy("bucket__").agg(F.count("*").alias("n__"))  # at most 16**BUCKET_DIGITS rows
+    w = W.orderBy("bucket__")
+    below = counts.select("bucket__", "n__", F.sum("n__").over(w).alias("upto__"))
+    total = counts.agg(F.coalesce(F.bround(F.lit(share) * F.sum("n__")), F.lit(0)).cast("long").alias("k__"))
+    quota = below.crossJoin(F.broadcast(total)).select(F.col("bucket__").alias("b__"), (F.col("k__") - F.col("upto__") + F.col("n__")).alias("left__"), "n__").where("left__ > 0")
+    kept = marked.join(F.broadcast(quota), F.col("bucket__") == F.col("b__"))
+    whole = kept.where("left__ >= n__").select(*rows.columns)
+    last = kept.where("left__ < n__").withColumn("rn__", F.row_number().over(W.partitionBy("bucket__").orderBy(digest, key))).where("rn__ <= left__").select(*rows.columns)
+    return whole.unionByName(last)
 
 
 def boundary_sample(rows: DataFrame, near: Column, key: str, n: int, seed: str) -> DataFrame:
@@ -59,8 +75,19 @@ def batches(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
 
 
 def time_blocks(rows: DataFrame, day: str, key: str, k: int) -> DataFrame:
-    """rows with block 0 to k - 1: the range of ranks by day cut into k parts of equal width."""
-    n = rows.count()
-    w = W.orderBy(day, key)
-    rank = F.row_number().over(w) - 1
-    return rows.withColumn("block", F.greatest(F.ceil(rank * k / max(n - 1, 1)), F.lit(1)).cast("int") - 1)
+    """rows with block 0 to k - 1: the range of ranks by day, then key, cut into k parts of equal width."""
+    from .corpus import with_row_number
+
+    n = rows.agg(F.count("*").alias("all__"))
+    ranked = with_row_number(rows, [day, key], "rank__").crossJoin(F.broadcast(n))  # one row
+    return ranked.withColumn("block", F.greatest(F.ceil(F.col("rank__") * F.lit(k) / F.greatest(F.col("all__") - 1, F.lit(1))), F.lit(1)).cast("int") - 1).drop("rank__", "all__")
+
+
+def proportional_up_to(rows: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
+    """proportional(), and never more than n rows: of what it takes, the n of least hash."""
+    return simple_sample(proportional(rows, stratum, key, n, seed), key, n, seed)
+
+
+def annotation_sheets(rows: DataFrame, key: str, hidden: list[str], blank: list[str], people: list[str]) -> dict[str, DataFrame]:
+    """A sheet for each person: rows without what they mustn't see, blank columns to fill in, in an order of the person's own."""
+    return {p: rows.drop(*hidden).withColumns({b: F.lit("") for b in blank}).orderBy(rank_key(F.col(key), p), key) for p in people}

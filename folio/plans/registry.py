@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import index_queries, panel_queries, stream_queries
+from . import index_queries, panel_queries, stream_queries, work_queries
 
 FLAGSHIP = "agg_monthly_index"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (index_queries, panel_queries, stream_queries):
+for part in (index_queries, panel_queries, stream_queries, work_queries):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
