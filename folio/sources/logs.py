@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,12 +44,12 @@ def sections(texts: DataFrame, text: str, headers: dict[str, str], sep: str = ";
 
     start = F.struct(name.alias("at"), F.array().cast("array<struct<section:string,line:string>>").alias("rows"))
     rows = F.aggregate(F.split(F.col(text), "\r?\n"), start, step, lambda acc: acc["rows"])
-    return texts.select(F.posexplode(rows).alias("place", "r")).select("r.section", "place", F.split("r.line", sep).alias("fields"))
+    return texts.select(F.posexplode(rows).alias("place", "r")).select("r.section", "place", F.split("r.line", re.escape(sep)).alias("fields"))
 
 
 def separated(lines: DataFrame, names: list[str], sep: str, line: str = "value") -> DataFrame:
     """Lines with as many fields as names, each once; a preamble and repeated lines fall out."""
-    parts = F.split(F.col(line), sep)
+    parts = F.split(F.col(line), re.escape(sep))
     return lines.where(F.size(parts) == len(names)).distinct().select(*(F.trim(parts[i]).alias(n) for i, n in enumerate(names)))
 
 
