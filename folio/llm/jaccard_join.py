@@ -5,13 +5,15 @@ documents. A packed R-tree over points, its nodes on COARSE sums of neighbouring
 pairs that the bound allows; those are verified on the texts.
 
 One tree over everything can't prune: at similarity 0.9 a query's radius spans the whole of almost every coordinate. So documents are
-routed to trees by cells that no linked pair can miss: for documents of a size class, shingles are dealt to one block more than two
-linked documents can differ in (and SPARE more), so on some block that isn't empty they agree. Equal blocks are a cell, and
-each cell with two documents or more has a tree. Cells only route: every pair comes out of a tree.
+routed to trees by cells that no linked pair can miss: in any one order of all shingles, two linked documents share one of
+their first n - ceil(s * n) + 1 (n: shingles, s: the similarity). Each of those is a cell, and each cell with two documents or more has
+a tree. Cells only route: every pair comes out of a tree. The order puts the most frequent shingles last, so a line or passage that many
+documents share is no cell of theirs as long as they have enough else.
 
 Rounds. In the first two a tree is searched for one member at a time, and what is found is taken out of the search, so that a group of
-copies costs and emits about a pair a member; a large cell is dealt to trees at random, each time another way, which connects them.
-The last round searches each cell that still has several components for all pairs between them.
+copies costs and emits about a pair a member; the first takes a document's EARLY first cells only. A large cell is dealt to
+trees at random, each time another way, which connects them. The last round searches each cell that still has several components for
+all pairs between them.
 """
 
 from __future__ import annotations
@@ -30,9 +32,11 @@ from .suffix_dedup import id_key, multikey_order
 
 #: Coordinates of a point, and of the nodes above the leaves.
 GROUPS, COARSE = 512, 64
-SPARE = 2
-#: Ratio between the bounds of size classes.
-CLASS = 1.5
+#: Cells of a document that the first round takes.
+EARLY = 4
+#: Shingles that the order puts last, at most: those that make up 1 / HOT of all shingles each, or more. What else is frequent costs
+#: time, not results. They are sent to all tasks, 12 bytes each. Shingles that are counted at a time to find them.
+HOT, COUNTED = 1 << 18, 1 << 21
 #: Members of a cell that one tree holds, about; a cell of more has several.
 TREE_BLOCK = 512
 LEAF = 16
@@ -51,24 +55,14 @@ class Similarity:
 
     def __init__(self, words: int, num: int, den: int):
         self.words, self.num, self.den = words, num, den
-        self.bounds = [1]
-        while self.bounds[-1] < 1 << 40:
-            self.bounds.append(int(self.bounds[-1] * CLASS) + 1)
-        #: Blocks of each class; 0 where only equal sets can be linked.
-        self.blocks = [0 if self.apart(2 * b) == 0 else self.apart(2 * b) + 1 + SPARE for b in self.bounds]
 
     def overlap(self, total):
         """Least intersection of two linked sets whose sizes sum to total."""
         return -(-self.num * total // (self.den + self.num))
 
-    def apart(self, total: int) -> int:
-        """Most shingles in one, but not both, of two linked sets whose sizes sum to total or less."""
-        return max(t - 2 * self.overlap(t) for t in range(max(0, total - 2 * self.den), total + 1))
-
-    def classes(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Classes of a set's size and of the largest set that it can be linked with."""
-        bounds = np.array(self.bounds)
-        return np.searchsorted(bounds, n), np.searchsorted(bounds, n * self.den // self.num)
+    def prefix(self, n):
+        """How many of the first shingles of a set of n to look at; none where only equal sets can be linked."""
+        return np.where(n * (self.den - self.num) >= self.num, n + (-self.num * n // self.den) + 1, 0)
 
 
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
@@ -78,16 +72,26 @@ def set_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def points(sets: list[np.ndarray]) -> list[bytes]:
-    """Each set's counts by group, a byte each, or four if one is beyond a byte."""
-    counts = [np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=GROUPS) for s in sets]
-    return [c.astype(np.uint8 if c.max() < 256 else "<u4").tobytes() for c in counts]
+    """Each set's counts by group: half a byte each (those of the second half of the groups above those of the first), a byte if
+    one is beyond that, or four."""
+    out = []
+    for s in sets:
+        c = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=GROUPS)
+        most = c.max()
+        out.append((c[: GROUPS // 2] | c[GROUPS // 2 :] << 4).astype(np.uint8).tobytes() if most < 16 else c.astype(np.uint8 if most < 256 else "<u4").tobytes())
+    return out
 
 
 def decoded(found: list[bytes]) -> np.ndarray:
     """A row for each point."""
-    if all(len(x) == GROUPS for x in found):
-        return np.frombuffer(b"".join(found), np.uint8).reshape(-1, GROUPS)
-    return np.stack([np.frombuffer(x, np.uint8 if len(x) == GROUPS else "<u4").astype(np.uint32) for x in found])
+    sizes = np.array([len(x) for x in found])
+    out = np.zeros((len(found), GROUPS), np.uint8 if (sizes <= GROUPS).all() else np.uint32)
+    for size, kind in ((GROUPS // 2, np.uint8), (GROUPS, np.uint8), (4 * GROUPS, "<u4")):
+        rows = np.flatnonzero(sizes == size)
+        if len(rows):
+            raw = np.frombuffer(b"".join([found[i] for i in rows.tolist()]), kind).reshape(len(rows), -1)
+            out[rows] = np.concatenate([raw & 15, raw >> 4], axis=1) if size < GROUPS else raw
+    return out
 
 
 def coarse(at: np.ndarray) -> np.ndarray:
@@ -99,33 +103,21 @@ def overlap_bound(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(x, y).sum(axis=-1, dtype=np.int64)
 
 
-def cells(sets: list[np.ndarray], like: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """(set, cell): the cells of each set."""
+def prefixes(sets: list[np.ndarray], like: Similarity, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, cell, place of the cell in its set's order); hot: the shingles that come last, from the least frequent on, in an order
+    that is the same for all."""
     size = np.array([len(s) for s in sets], np.int64)
-    own, upper = like.classes(size)
-    flat = mix(np.concatenate(sets) * _B) if sets else np.zeros(0, np.uint64)
-    blocks = np.array(like.blocks, np.int64)
-    out_set, out_cell = [], []
-    for level_of in range(int((upper - own).max(initial=0)) + 1):
-        level = own + level_of
-        k = np.where(level <= upper, blocks[np.minimum(level, len(blocks) - 1)], 0)
-        first = np.cumsum(np.concatenate(([0], k)))
-        use = np.repeat(k > 0, size)
-        row = np.repeat(np.arange(len(sets)), size)[use]
-        h = flat[use]
-        block = ((h >> np.uint64(32)) * k[row].astype(np.uint64)) >> np.uint64(32)
-        at = first[row] + block.astype(np.int64)
-        total = np.zeros(first[-1], np.uint64)
-        np.add.at(total, at, mix(h * _A))
-        count = np.bincount(at, minlength=first[-1])
-        of = np.repeat(np.arange(len(sets)), k)
-        empties = np.bincount(of, weights=count == 0, minlength=len(sets))
-        emit = (count > 0) | (empties[of] > SPARE)
-        place = np.arange(first[-1]) - first[of]
-        cell = mix(mix(total + _B) + (level[of] * (1 << 40) + place).astype(np.uint64) * _A)
-        out_set.append(of[emit])
-        out_cell.append(cell[emit])
-    return np.concatenate(out_set), np.concatenate(out_cell)
+    row = np.repeat(np.arange(len(sets)), size)
+    flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    rank = np.zeros(len(flat), np.int64)
+    if len(hot):
+        by = np.argsort(hot)
+        at = np.minimum(np.searchsorted(hot[by], flat), len(hot) - 1)
+        rank = np.where(hot[by][at] == flat, by[at] + 1, 0)
+    order = np.argsort(row * (2 * HOT) + rank, kind="stable")  # equal ranks stay in the order of their hashes
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+    keep = place < like.prefix(size)[row]
+    return row[keep], flat[order][keep], place[keep]
 
 
 class CountTree:
@@ -172,18 +164,50 @@ def _batch_sets(batch: pa.RecordBatch, words: int) -> Iterator[tuple[int, list[n
 
 
 def _features(docs: DataFrame, like: Similarity) -> DataFrame:
-    """id, set (hash of the shingles), n (their number) of each row."""
+    """id, set (hash of the shingles), n (their number) of each row; and rows (set: a shingle, seen: how often) of frequent shingles.
+
+    A shingle that makes up 1 / HOT of all does so in some lot of COUNTED shingles, so in each lot those alone are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot: dict[int, np.ndarray] = {}  # distinct sets
+        size = 0
         for batch in batches:
             for a, sets in _batch_sets(batch, like.words):
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, len(sets)), pa.array(set_keys(sets).view(np.int64)), pa.array([len(s) for s in sets], pa.int64())], names=["id", "set", "n"])
-
-    return docs.mapInArrow(run, "id long, set long, n long")
-
-
-def _members(docs: DataFrame, like: Similarity) -> DataFrame:
-    """(cell, set) of the cells with two sets or more; cells of the same sets are one."""
+                keys = set_keys(sets).view(np.int64)
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, len(sets)), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), none], names=["id", "set", "n", "seen"])
+                lot.update(zip(keys.tolist(), sets, strict=True))
+                size += sum(map(len, sets))
+                if size >= COUNTED:
+                    yield _frequent(lot)
+                    lot, size = {}, 0
+        if lot:
+            yield _frequent(lot)
+
+    return docs.mapInArrow(run, "id long, set long, n long, seen long")
+
+
+def _frequent(lot: dict[int, np.ndarray]) -> pa.RecordBatch:
+    flat = np.sort(np.concatenate(list(lot.values())))
+    starts = np.flatnonzero(np.concatenate(([True], flat[1:] != flat[:-1]))) if len(flat) else np.zeros(0, np.int64)
+    seen = np.diff(np.append(starts, len(flat)))
+    often = (seen > 1) & (seen * HOT >= len(flat))
+    found, none = flat[starts][often].view(np.int64), pa.nulls(int(often.sum()), pa.int64())
+    return pa.RecordBatch.from_arrays([none, pa.array(found), none, pa.array(seen[often].astype(np.int64))], names=["id", "set", "n", "seen"])
+
+
+def _hot(rows: DataFrame) -> np.ndarray:
+    """The shingles that come last in the order, from the least frequent on; HOT at most, as their counts sum to no more than all."""
+    total = rows.where("seen is null").agg(F.sum("n")).first()[0] or 0
+    counts = rows.where("seen is not null").groupBy("set").agg(F.sum("seen").alias("seen")).where(F.col("seen") * HOT >= total)
+    found = counts.toArrow()
+    seen, hashes = found.column("seen").to_numpy(), found.column("set").to_numpy()
+    return hashes[np.lexsort((hashes, seen))].view(np.uint64)
+
+
+def _members(docs: DataFrame, like: Similarity, hot: np.ndarray) -> DataFrame:
+    """(cell, set, early) of the cells with two sets or more; cells of the same sets are one; early: among a set's EARLY first."""
+    sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,45 +220,52 @@ def _members(docs: DataFrame, like: Similarity) -> DataFrame:
                         seen.add(key)
                         new.append(i)
                 if new:
-                    of, cell = cells([sets[i] for i in new], like)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(keys[new][of].view(np.int64))], names=["cell", "set"])
+                    of, cell, place = prefixes([sets[i] for i in new], like, sent.value)
+                    yield _rows(cell.view(np.int64), keys[new][of].view(np.int64), place < EARLY)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, member = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cell, member, early = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         open_long = None  # a cell so large that it is passed on in parts, under its own name
         for batch in _then_none(batches):
             if batch is not None:
                 cell, member = np.concatenate([cell, batch.column("cell").to_numpy()]), np.concatenate([member, batch.column("set").to_numpy()])
+                early = np.concatenate([early, batch.column("early").to_numpy(zero_copy_only=False)])
             if not len(cell):
                 continue
             done = len(cell) if batch is None else int(np.searchsorted(cell, cell[-1]))
             if batch is not None and len(cell) - done > 1 << 20:
-                yield _rows(cell[done:], member[done:])
+                yield _rows(cell[done:], member[done:], early[done:])
                 open_long = int(cell[-1])
-                cell, member = cell[:done], member[:done]
-            c, m = cell[:done], member[:done]
-            cell, member = cell[done:], member[done:]
+                cell, member, early = cell[:done], member[:done], early[:done]
+            c, m, e = cell[:done], member[:done], early[:done]
+            cell, member, early = cell[done:], member[done:], early[done:]
             if open_long is not None and len(c) and c[0] == open_long:
-                yield _rows(c[c == open_long], m[c == open_long])
-                c, m = c[c != open_long], m[c != open_long]
+                of = c == open_long
+                yield _rows(c[of], m[of], e[of])
+                c, m, e = c[~of], m[~of], e[~of]
             if len(c) < 2:
                 continue
             first = np.ones(len(c), bool)
             first[1:] = (c[1:] != c[:-1]) | (m[1:] != m[:-1])
-            c, m = c[first], m[first]
+            c, m, e = c[first], m[first], np.logical_or.reduceat(e, np.flatnonzero(first))
             starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
             size = np.diff(np.append(starts, len(c)))
             name = mix(np.add.reduceat(mix(m.view(np.uint64)), starts) * _A + size.astype(np.uint64))
             many = np.repeat(size > 1, size)
-            name, m = np.repeat(name, size)[many], m[many]
+            name, m, e = np.repeat(name, size)[many], m[many], e[many]
+            if not len(m):
+                continue
             order = np.lexsort((m, name))
-            name, m = name[order], m[order]
+            name, m, e = name[order], m[order], e[order]
             new = np.ones(len(m), bool)
             new[1:] = (name[1:] != name[:-1]) | (m[1:] != m[:-1])
-            yield _rows(name[new].view(np.int64), m[new])
+            yield _rows(name[new].view(np.int64), m[new], np.logical_or.reduceat(e, np.flatnonzero(new)))
+
+    rows = docs.select("text").mapInArrow(emit, _MEMBERS).repartition(n_tasks(docs.sparkSession), "cell").sortWithinPartitions("cell", "set")
+    return rows.mapInArrow(shared, _MEMBERS).groupBy("cell", "set").agg(F.max("early").alias("early"))
+
 
-    rows = docs.select("text").mapInArrow(emit, "cell long, set long").repartition(n_tasks(docs.sparkSession), "cell").sortWithinPartitions("cell", "set")
-    return rows.mapInArrow(shared, "cell long, set long").distinct()
+_MEMBERS = "cell long, set long, early boolean"
 
 
 def _then_none(batches):
@@ -242,8 +273,8 @@ def _then_none(batches):
     yield None
 
 
-def _rows(cell: np.ndarray, member: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(member)], names=["cell", "set"])
+def _rows(cell: np.ndarray, member: np.ndarray, early: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(member), pa.array(early)], names=["cell", "set", "early"])
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame:
@@ -278,7 +309,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, like: Similarity) -> DataFrame
 def _labelled(members: DataFrame, parts: DataFrame | None) -> DataFrame:
     """members (cell, set) with their component so far, label, in the cells that have more than one; a written table."""
     if parts is None:
-        return written(members.withColumn("label", F.col("set")), "open")
+        return written(members.where("early").select("cell", "set", F.col("set").alias("label")), "open")
     named = written(members.join(parts.withColumnRenamed("node", "set"), "set", "left").select("cell", "set", F.coalesce("component", "set").alias("label")), "labelled")
     open_ = written(named.groupBy("cell").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select(F.col("cell").alias("open")), "open-cells")
     out = written(named.join(open_, F.col("cell") == F.col("open"), "left_semi"), "open")
@@ -466,15 +497,17 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     null. Rows that share an id are told apart by their text. No rows give no rows.
 
     Sets are compared as sets of 64-bit hashes and named by one; at 10**9 distinct sets the chance that any two share a name is 3 %.
-    Exchanges: (cell, set), 16 bytes, for about 0.2 (at 0.9) or 0.5 (at 0.8) of the distinct shingles; the texts once, to
-    keep those of documents that share a cell; two texts a pair to verify. Copies in a batch are one before the
-    first exchange. Each round's tables are written to the shared folder.
+    Exchanges: (cell, set), 17 bytes, for about 0.1 (at 0.9) or 0.2 (at 0.8) of the distinct shingles; the texts once, to
+    keep those of documents that share a cell; points of the members of cells, 256 bytes mostly; two texts a pair to verify. Copies in a
+    batch are one before the first exchange. A text is handled whole, however long: its shingles are held once by a task. Each
+    round's tables are written to the shared folder and deleted after it.
     """
     like = Similarity(words, num, den)
     body = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = written(_features(body, like), "features")
+    features = written(_features(body, like), "features")
+    rows = features.where("seen is null").drop("seen")
     sets = written(rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id")), "sets")
-    members = written(_members(body, like), "cells")
+    members = written(_members(body, like, _hot(features)), "cells")
     inside = written(members.select("set").distinct().join(sets, "set").select(F.col("set"), id_key(F.col("id")).alias("least")), "inside")
     texts = written(_with_set(body.hint("merge").join(inside, id_key(F.col("id")) == F.col("least")).select("set", "text"), like), "texts")
     at = written(_points(texts, like), "points")
@@ -482,7 +515,7 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     parts = None
     for step in ("first", "second", "last"):
         left = _labelled(members, parts)
-        if left.isEmpty():
+        if step != "first" and left.isEmpty():
             release(left)
             break
         pairs = _by_trees(left, at, like) if step == "last" else _by_leaders(left, at, like, one_each=step == "first")
@@ -508,7 +541,7 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     out = rows.join(named.withColumnRenamed("set", "named"), (F.col("n") > 0) & (F.col("set") == F.col("named")), "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
     out = written(out, "groups")
-    release(rows, sets, *used)
+    release(features, sets, *used)
     return out
 
 

@@ -77,15 +77,37 @@ def test_tree_finds_what_the_bound_allows():
 def test_linked_sets_share_a_cell():
     rng = np.random.default_rng(1)
     like = J.Similarity(3, 90, 100)
-    for n in (10, 19, 20, 40, 99, 300):
+    for n in (9, 10, 19, 20, 40, 99, 300):
         for _ in range(30):
             a = rng.integers(0, 1 << 63, n).astype(np.uint64)
             cut = int(rng.integers(0, n // 9 + 1))
             b = np.concatenate([a[cut:], rng.integers(0, 1 << 63, int(rng.integers(0, n // 9 + 1))).astype(np.uint64)])
             both = len(np.intersect1d(a, b))
+            hot = rng.permutation(np.concatenate([a[: n // 2], b[: n // 3]]))
             if 100 * both >= 90 * (len(a) + len(b) - both) and set(a.tolist()) != set(b.tolist()):
-                of, cell = J.cells([np.sort(a), np.sort(b)], like)
-                assert set(cell[of == 0].tolist()) & set(cell[of == 1].tolist())
+                for last in (np.zeros(0, np.uint64), np.unique(hot)):
+                    of, cell, place = J.prefixes([np.sort(a), np.sort(b)], like, last)
+                    assert set(cell[of == 0].tolist()) & set(cell[of == 1].tolist())
+                    assert place[of == 0].tolist() == list(range((of == 0).sum()))
+
+
+def test_frequent_shingles_come_last():
+    like = J.Similarity(3, 8, 10)
+    s = np.arange(1, 21, dtype=np.uint64)
+    hot = np.array([3, 1, 17], np.uint64)
+    _, cell, _ = J.prefixes([s], like, hot)
+    assert cell.tolist() == [2, 4, 5, 6, 7]
+    _, cell, _ = J.prefixes([np.array([1, 3, 5, 17], np.uint64)], J.Similarity(3, 1, 2), hot)
+    assert cell.tolist() == [5, 3, 1]
+    lot = {i: np.array([7, 8 + i], np.uint64) for i in range(5)}
+    assert J._frequent(lot).to_pylist() == [{"id": None, "set": 7, "n": None, "seen": 5}]
+
+
+def test_points_of_any_count():
+    sets = [np.arange(n, dtype=np.uint64) << np.uint64(k) for n, k in ((0, 0), (20, 50), (300, 2), (40, 55))]
+    got = J.decoded(J.points(sets))
+    assert [row.tolist() for row in got] == [np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=J.GROUPS).tolist() for s in sets]
+    assert J.decoded(J.points(sets[:2])).dtype == np.uint8
 
 
 def test_shingles_are_those_of_the_rule():
