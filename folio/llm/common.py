@@ -6,24 +6,34 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests), a folder of this machine."""
+    """The folder in spark.checkpoint.dir, with its file system. Where that is unset, a session of one machine (tests) gets a folder of its
+    own, and a cluster an error."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if base:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(base)
-        return base.rstrip("/")
+        return _qualified(spark, base)
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         own = tempfile.mkdtemp(prefix="folio-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         sc.setCheckpointDir(own)
-    return sc.getCheckpointDir().rstrip("/")
+    return _qualified(spark, sc.getCheckpointDir())
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme and host that Spark reads it by, so that Python files in the tasks go to the same place."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -83,5 +93,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain(df: DataFrame, *used: str) -> tuple[DataFrame, list[str], Callable[[DataFrame], DataFrame]]:
+    """df with other names for columns that Python functions over batches can't take (dots, backticks), the names of the used ones
+    now, and a function that gives a result's columns their names back."""
+    new: dict[str, str] = {}
+    for c in df.columns:
+        if "." in c or "`" in c:
+            new[c] = free_name(df, f"column{len(new)}__")
+    if not new:
+        return df, list(used), lambda out: out
+    back = {v: k for k, v in new.items()}
+    return df.toDF(*(new.get(c, c) for c in df.columns)), [new.get(u, u) for u in used], lambda out: out.toDF(*(back.get(c, c) for c in out.columns))
+
+
 def n_tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,16 +2,15 @@
 
 Of every window of `length` bytes the gram of GRAM bytes with the least hash is its anchor, so equal windows have equal anchors at
 the same offset, and a suffix has to be kept only for each anchor: about one in 35 bytes. The windows that share an
-anchor are one segment. Suffixes go to buckets between splitters that are sampled from the keys (leading bytes, then
-hashes of the anchor and of the whole segment); a bucket is sorted by multikey quicksort, equal segments are neighbours, and what
+anchor are one segment. Suffixes go to buckets between splitters that are sampled from the keys: the suffix's leading text, then
+what tells the rest apart. A bucket is sorted by multikey quicksort, equal segments are neighbours, and what
 meets a bucket's edge is compared with the neighbouring buckets'. Equal segments are settled there; segments that share only their
-anchor are compared window by window.
+anchor are compared window by window, on their bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import free_name, n_tasks, release, written
+from .common import free_name, n_tasks, plain, release, written
 from .kernels import mix, runs
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text whose segments are found at once; a place in them and a hash share 64 bits, so below 2**PLACE_BITS.
 BLOCK, PLACE_BITS = 1 << 18, 20
-#: Suffixes in a bucket, about: a task sorts one in memory.
-BUCKET = 1 << 20
+#: Suffixes that a task sorts at once, about, and the most buckets that they are dealt to; of a larger bucket, whole runs of equal
+#: leading text at a time.
+BUCKET, MOST_BUCKETS = 1 << 20, 1 << 16
 #: Distinct segments of one anchor from which their windows are compared by hash in many tasks, instead of in one.
 HOT_ANCHOR = 2_000
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -59,11 +59,12 @@ def _window_hash(grams: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, begins: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(document, first window, windows, key of the anchor, key of the segment) of each segment of the documents in data,
-    that begin at begins[:-1] and end at begins[1:]. data: fewer than 2**PLACE_BITS bytes."""
+    """(document, first window, windows, lead, gram, digest in two halves) of each segment of the documents in data, that begin
+    at begins[:-1] and end at begins[1:]. lead: the first eight bytes of the suffix from the anchor on, as a number of the same
+    order; gram: a hash of all bytes of the anchor; digest: BLAKE2 of all bytes of the segment. data: fewer than 2**PLACE_BITS bytes."""
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.zeros(0, k) for k in (np.int64,) * 3 + (np.uint64,) * 4)
     grams = _grams(data)
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
@@ -84,12 +85,12 @@ def segments(data: np.ndarray, begins: np.ndarray, length: int = LENGTH) -> tupl
     stops = np.append(np.flatnonzero(new | ~whole), len(anchor))
     end = stops[np.searchsorted(stops, first, side="right")]
     at = anchor[first]
-    lead = data[at].astype(np.uint64) << np.uint64(24) | data[at + 1].astype(np.uint64) << np.uint64(16) | data[at + 2].astype(np.uint64) << np.uint64(8) | data[at + 3]
-    of_anchor = lead << np.uint64(32) | mix(grams[at]) >> np.uint64(32)
-    shape = ((end - first) * length + at - first).astype(np.uint64)
-    of_segment = mix(_window_hash(grams, first, length) * _A + _window_hash(grams, end - 1, length) * _C + shape)
+    lead = np.ndarray((n - 7,), ">u8", buffer=data, strides=(1,))[at].astype(np.uint64)
+    raw = data.tobytes()
+    digests = b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(first.tolist(), (end + length - 1).tolist(), strict=True)])
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
     doc = np.searchsorted(begins, first, side="right") - 1
-    return doc, first - begins[doc], end - first, of_anchor, of_segment
+    return doc, first - begins[doc], end - first, lead, mix(grams[at]), halves[:, 0], halves[:, 1]
 
 
 def blocks(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,11 +148,12 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-_SUFFIXES = "anchor long, segment long, doc long, place long, known boolean"
+_KEYS = ["lead", "gram", "d0", "d1"]
+_SUFFIXES = ", ".join(f"{c} long" for c in [*_KEYS, "doc", "place"]) + ", known boolean"
 
 
 def _suffixes(docs: DataFrame, length: int) -> DataFrame:
-    """A row for each segment; place: first window << 7 ... windows. Of equal ones in a batch all but the first are known duplicates."""
+    """A row for each segment; place: first window << 12 ... windows. Of equal ones in a batch all but the first are known duplicates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,31 +161,33 @@ def _suffixes(docs: DataFrame, length: int) -> DataFrame:
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
             found = []
             for data, begins, numbers, before in blocks(texts, length):
-                doc, first, n, anchor, segment = segments(data, begins, length)
-                found.append((anchor, segment, ids[numbers[doc]], (first + before[doc]) * (1 << 12) + n))
+                doc, first, n, *keys = segments(data, begins, length)
+                found.append((*keys, ids[numbers[doc]], (first + before[doc]) * (1 << 12) + n))
             if not found:
                 continue
-            anchor, segment, doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = multikey_order([segment, anchor, doc, place])
-            anchor, segment, doc, place = anchor[order], segment[order], doc[order], place[order]
-            known = np.zeros(len(order), bool)
-            known[1:] = (segment[1:] == segment[:-1]) & (anchor[1:] == anchor[:-1]) & ((doc[1:] != doc[:-1]) | (place[1:] != place[:-1]))
-            # A repeated row of one document isn't earlier than itself: only its first occurrence counts as first.
-            known = _not_first(known, segment, anchor, doc, place)
-            anchor[known] = 0
-            segment[known] = 0
-            yield pa.RecordBatch.from_arrays([_signed(anchor), _signed(segment), pa.array(doc), pa.array(place), pa.array(known)], names=["anchor", "segment", "doc", "place", "known"])
+            columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+            order = multikey_order([columns[2], columns[3], *columns[4:]])  # equal digests are equal in all keys
+            columns = [c[order] for c in columns]
+            # A repeated row of one document isn't earlier than itself: only another place is a duplicate.
+            known = _not_first(_changes(columns[2:4]), *columns[4:])
+            for c in columns[:4]:
+                c[known] = 0
+            yield pa.RecordBatch.from_arrays([*map(_signed, columns), pa.array(known)], names=[*_KEYS, "doc", "place", "known"])
 
     return docs.mapInArrow(run, _SUFFIXES)
 
 
-def _not_first(differs: np.ndarray, segment: np.ndarray, anchor: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """For rows sorted by segment, anchor, doc and place: which are at another place than the first of their segment."""
-    n = len(segment)
-    if not n:
-        return differs
-    new = np.ones(n, bool)
-    new[1:] = (segment[1:] != segment[:-1]) | (anchor[1:] != anchor[:-1])
+def _changes(keys: list[np.ndarray]) -> np.ndarray:
+    """Which rows differ in a key from the row before; the first does."""
+    out = np.ones(len(keys[0]), bool)
+    out[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return out
+
+
+def _not_first(new: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For rows of runs that begin at `new`, sorted by doc and place: which are at another place than the first of their run."""
+    if not len(new):
+        return new
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     return (doc != doc[head]) | (place != place[head])
 
@@ -192,44 +196,69 @@ _MARKS = "state int, anchor long, doc long, place long"
 
 
 def _sorted_buckets(suffixes: DataFrame, n: int, hot: int) -> DataFrame:
-    """Marks of the suffixes: duplicates, those to compare, those at an edge; and a summary of each bucket's edges."""
-    ranged = suffixes.where("not known").select("anchor", "segment", "doc", "place").repartitionByRange(n, "anchor", "segment")
+    """Marks of the suffixes: duplicates, those to compare, those at an edge; and a summary of each bucket's edges.
+
+    anchor: a hash of lead and gram; if two anchors share it, more is compared, nothing else."""
+    ranged = suffixes.where("not known").select(*_KEYS, "doc", "place").repartitionByRange(n, "lead", "gram", "d0").sortWithinPartitions("lead")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches), schema=_BUCKET)
-        if not table.num_rows:
-            return
-        keys = [table.column(c).to_numpy() for c in ("anchor", "segment", "doc", "place")]
-        order = multikey_order(keys)
-        anchor, segment, doc, place = (k[order] for k in keys)
-        later = _not_first(np.zeros(len(order), bool), segment, anchor, doc, place)
-        new_segment = np.ones(len(order), bool)
-        new_segment[1:] = (segment[1:] != segment[:-1]) | (anchor[1:] != anchor[:-1])
-        new_anchor = np.ones(len(order), bool)
-        new_anchor[1:] = anchor[1:] != anchor[:-1]
-        group = np.cumsum(new_anchor) - 1
-        distinct = np.bincount(group, weights=new_segment).astype(np.int64)[group]
-        state = np.where(distinct >= hot, COMPARE_HOT, np.where(distinct > 1, COMPARE, -1))
-        edge = (group == 0) | (group == group[-1])
-        state[edge] = EDGE
-        state[~new_segment] = -1
-        state[later] = DUPLICATE
-        out = state >= 0
-        ends = {int(anchor[0]): int(distinct[0]), int(anchor[-1]): int(distinct[-1])}
-        yield pa.RecordBatch.from_arrays([pa.array([SUMMARY] * len(ends), pa.int32()), pa.array(list(ends), pa.int64()), pa.array(list(ends.values()), pa.int64()), pa.array([0] * len(ends), pa.int64())], names=["state", "anchor", "doc", "place"])
-        yield pa.RecordBatch.from_arrays([pa.array(state[out].astype(np.int32)), pa.array(anchor[out]), pa.array(doc[out]), pa.array(place[out])], names=["state", "anchor", "doc", "place"])
+        opened, before = False, None
+        for table, last in _runs_of_lead(batches):
+            keys = [table.column(c).to_numpy() for c in [*_KEYS, "doc", "place"]]
+            order = multikey_order(keys)
+            lead, gram, d0, d1, doc, place = (k[order] for k in keys)
+            new_anchor = _changes([lead, gram])
+            new = _changes([lead, gram, d0, d1])
+            anchor = mix(lead.view(np.uint64) * _A + gram.view(np.uint64)).view(np.int64)
+            group = np.cumsum(new_anchor) - 1
+            distinct = np.bincount(group, weights=new).astype(np.int64)[group]
+            state = np.where(distinct >= hot, COMPARE_HOT, np.where(distinct > 1, COMPARE, -1))
+            edge = np.zeros(len(order), bool)
+            if not opened:
+                edge |= group == 0
+            if last:
+                edge |= group == group[-1]
+            opened = True
+            state[edge] = EDGE
+            state[~new] = -1
+            state[_not_first(new, doc, place)] = DUPLICATE
+            out = state >= 0
+            ends = edge & new_anchor
+            yield _marks(np.full(int(ends.sum()), SUMMARY), anchor[ends], distinct[ends], np.zeros(int(ends.sum()), np.int64))
+            yield _marks(state[out], anchor[out], doc[out], place[out])
 
     return ranged.mapInArrow(run, _MARKS)
 
 
-_BUCKET = pa.schema([("anchor", pa.int64()), ("segment", pa.int64()), ("doc", pa.int64()), ("place", pa.int64())])
+def _marks(state: np.ndarray, anchor: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(state.astype(np.int32)), pa.array(anchor), pa.array(doc), pa.array(place)], names=["state", "anchor", "doc", "place"])
 
 
-def _compared(docs: DataFrame, marks: DataFrame, edges: dict[int, int], length: int, hot: int) -> DataFrame:
+def _runs_of_lead(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
+    """(rows, whether they are the last), for rows sorted by lead: about BUCKET rows at a time, whole runs of equal leads."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= BUCKET:
+            table = pa.Table.from_batches(held)
+            lead = table.column("lead").to_numpy()
+            done = int(np.flatnonzero(lead[1:] != lead[:-1])[-1]) + 1 if (lead[1:] != lead[:-1]).any() else 0
+            if done:
+                yield table.slice(0, done), False
+            held, size = table.slice(done).to_batches(), table.num_rows - done
+    if size:
+        yield pa.Table.from_batches(held), True
+
+
+def _compared(docs: DataFrame, marks: DataFrame, length: int, hot: int) -> DataFrame:
     """(doc, start, end): runs of windows, of the segments to compare, that occur earlier."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(edges)  # two anchors a bucket at most
-    asked = marks.where(f"state in ({COMPARE}, {COMPARE_HOT}, {EDGE})").groupBy("doc").agg(F.collect_list(F.struct("state", "anchor", "place")).alias("asked"))
+    edges = F.broadcast(marks.where(f"state = {SUMMARY}").groupBy(F.col("anchor").alias("met")).agg(F.sum("doc").alias("total")))  # two anchors a bucket
+    kind = F.when(F.col("state") != EDGE, F.col("state")).when(F.col("total") >= hot, COMPARE_HOT).otherwise(COMPARE)
+    asked = marks.where(f"state in ({COMPARE}, {COMPARE_HOT}, {EDGE})").join(edges, (F.col("state") == EDGE) & (F.col("anchor") == F.col("met")), "left").where(f"state <> {EDGE} or total > 1")
+    asked = asked.groupBy("doc").agg(F.collect_list(F.struct(kind.alias("state"), "anchor", "place")).alias("asked"))
     rows = docs.hint("merge").join(asked, "doc").select("doc", "text", "asked")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,16 +269,10 @@ def _compared(docs: DataFrame, marks: DataFrame, edges: dict[int, int], length:
                 data = text.encode("utf-8", "surrogatepass")
                 for a in asked:
                     first, n = a["place"] >> 12, a["place"] & 4095
-                    state, anchor = a["state"], a["anchor"]
-                    if state == EDGE:
-                        total = sent.value[anchor]
-                        if total == 1:
-                            continue
-                        state = COMPARE_HOT if total >= hot else COMPARE
                     if first + n + length - 1 > len(data):
                         continue  # another row's segment, if rows share an id
-                    if state == COMPARE:
-                        out.append((anchor, doc, first, n, data[first : first + n + length - 1]))
+                    if a["state"] == COMPARE:
+                        out.append((a["anchor"], doc, first, n, data[first : first + n + length - 1]))
                         continue
                     for p in range(first, first + n):
                         w = data[p : p + length]
@@ -316,11 +339,19 @@ def _later_windows(batches: list[pa.RecordBatch], length: int) -> Iterator[pa.Re
         count = n[a:b]
         row = np.repeat(np.arange(b - a), count)
         inside = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-        hashes = _window_hash(grams, begins[row] + inside, length)
+        at = begins[row] + inside
+        hashes = _window_hash(grams, at, length)
         g, d, p = group[a:b][row], doc[a:b][row], first[a:b][row] + inside
         order = multikey_order([hashes, g, d, p])
+        new = _changes([hashes[order], g[order]])
+        if not _same_bytes(data, at[order], new, length):  # a hash of two strings: by the strings themselves
+            raw = data.tobytes()
+            numbers: dict[bytes, int] = {}
+            hashes = np.array([numbers.setdefault(raw[x : x + length], len(numbers)) for x in at.tolist()])
+            order = multikey_order([hashes, g, d, p])
+            new = _changes([hashes[order], g[order]])
         later = np.zeros(len(order), bool)
-        later[order] = _not_first(np.zeros(len(order), bool), hashes[order], g[order].astype(np.uint64), d[order], p[order])
+        later[order] = _not_first(new, d[order], p[order])
         # runs of windows of one string
         joined = later & np.concatenate(([False], later[:-1] & (row[1:] == row[:-1])))
         start = np.flatnonzero(later & ~joined)
@@ -330,6 +361,17 @@ def _later_windows(batches: list[pa.RecordBatch], length: int) -> Iterator[pa.Re
         yield pa.RecordBatch.from_arrays([pa.array(d[start]), pa.array(p[start]), pa.array(p[start] + size)], names=["doc", "start", "end"])
 
 
+def _same_bytes(data: np.ndarray, at: np.ndarray, new: np.ndarray, length: int) -> bool:
+    """Whether the `length` bytes from each place on are those from the place at which its run, marked by `new`, begins."""
+    rest = np.flatnonzero(~new)
+    head = at[np.flatnonzero(new)[np.cumsum(new)[rest] - 1]]
+    for i in range(0, len(rest), 4096):
+        reach = np.arange(length)
+        if (data[at[rest[i : i + 4096], None] + reach] != data[head[i : i + 4096, None] + reach]).any():
+            return False
+    return True
+
+
 def id_key(col: Column) -> Column:
     """A document's place in the order: its id, null before all."""
     return F.coalesce(col.cast("long"), F.lit(-(1 << 63)))
@@ -343,36 +385,45 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first. Rows that share a doc_id are at the same place: they don't remove each other's text, and a span found for one is
     taken from all, clipped to each. length: GRAM + 1 to 2000. Texts shorter than that have no spans; no rows give none.
 
-    Equality is that of 128 bits of hashes. Exchanges: 24 bytes for each of about 1 in 35 bytes of text; twice the texts, to
-    cut out strings and to hand out spans; strings of the segments that share only their anchor. A batch's equal segments, and a
-    hot anchor's windows, are combined before they are sent. Between these, tables are written to the shared folder.
+    Segments are equal if 128 bits of BLAKE2 are; windows that are compared, if their bytes are. Exchanges: 48 bytes for each of
+    about 1 in 35 bytes of text; twice the texts, to cut out strings and to hand out spans; strings of the segments that share only
+    their anchor. A batch's equal segments, and a hot anchor's windows, are combined before they are sent. Between these, tables are
+    written to the shared folder.
     """
+    docs, [doc_id, text], restored = plain(docs, doc_id, text)
+    kept = docs.drop(spans) if spans != text else docs
+    schema = StructType([*kept.schema.fields, StructField(spans, ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))])
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def add(batch: pa.RecordBatch, texts: list, found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        column = pa.array([[{"start": a, "end": b} for a, b in x] for x in found], kind)
+        return pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, spans])
+
+    return restored(_with_spans(kept, doc_id, text, length, hot, add, schema))
+
+
+def _with_spans(rows: DataFrame, doc_id: str, text: str, length: int, hot: int, finish, schema) -> DataFrame:
+    """finish(batch, texts, spans of each) of all rows, of the given schema: in the task that puts the spans together."""
     if not GRAM < length <= 2000:
         raise ValueError(f"length must be over {GRAM} and at most 2000")
-    spark = docs.sparkSession
-    doc_key, found_key = free_name(docs, "doc__"), free_name(docs, "found__")
-    body = docs.select(id_key(F.col(doc_id)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    spark = rows.sparkSession
+    doc_key, found_key = free_name(rows, "doc__"), free_name(rows, "found__")
+    body = rows.select(id_key(F.col(doc_id)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     suffixes = written(_suffixes(body, length), "suffixes")
-    n = max(n_tasks(spark), -(-suffixes.count() // BUCKET))
+    n = max(n_tasks(spark), min(MOST_BUCKETS, -(-suffixes.count() // BUCKET)))
     marks = written(_sorted_buckets(suffixes, n, hot), "marks")
-    edges: Counter = Counter()
-    for anchor, distinct in marks.where(f"state = {SUMMARY}").select("anchor", "doc").collect():
-        edges[anchor] += distinct
     whole = F.shiftright("place", 12).alias("start"), (F.shiftright("place", 12) + F.col("place").bitwiseAND(4095)).alias("end")
     sure = marks.where(f"state = {DUPLICATE}").select("doc", *whole).union(suffixes.where("known").select("doc", *whole))
-    compared = written(_compared(body, marks, dict(edges), length, hot), "compared")
+    compared = written(_compared(body, marks, length, hot), "compared")
     lists = sure.unionByName(compared).groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias(found_key)).withColumnRenamed("doc", doc_key)
     lists = written(lists, "spans")
     release(suffixes, marks, compared)
-    rows = docs.drop(spans) if spans != text else docs
     joined = rows.hint("merge").join(lists, id_key(F.col(doc_id)) == F.col(doc_key), "left").drop(doc_key)
-    schema = StructType([*rows.schema.fields, StructField(spans, ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())])))])
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for t, found in zip(batch.column(text).to_pylist(), batch.column(found_key).to_pylist(), strict=True):
+            texts, out = batch.column(text).to_pylist(), []
+            for t, found in zip(texts, batch.column(found_key).to_pylist(), strict=True):
                 if not found or not t:
                     out.append([])
                     continue
@@ -382,18 +433,17 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     if f["start"] < size:
                         cover[f["start"]] += 1
                         cover[min(f["end"] + length - 1, size)] -= 1
-                out.append([{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in runs(np.cumsum(cover[:-1]) > 0)), strict=True)])
-            kept = batch.drop_columns([found_key])
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, kind)], names=[*kept.schema.names, spans])
+                out.append(list(zip(*(x.tolist() for x in runs(np.cumsum(cover[:-1]) > 0)), strict=True)))
+            yield finish(batch.drop_columns([found_key]), texts, out)
 
     return joined.mapInArrow(merge, schema)
 
 
-def without_spans(data: bytes, spans: list[dict]) -> bytes:
+def without_spans(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     keep, at = [], 0
-    for s in spans:
-        keep.append(data[at : s["start"]])
-        at = s["end"]
+    for a, b in spans:
+        keep.append(data[at:a])
+        at = b
     return b"".join([*keep, data[at:]])
 
 
@@ -402,33 +452,27 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Spans are bytes: of a character that a span cuts through, the rest goes too. Null and untouched texts stay as they are.
     """
-    spans = free_name(docs, "spans")
-    found = repeated_spans(docs, doc_id, text, length, spans)
+    docs, [doc_id, text], restored = plain(docs, doc_id, text)
     names, at = docs.columns, docs.columns.index(text)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, keep = batch.column(text).to_pylist(), np.ones(batch.num_rows, bool)
-            for i, s in enumerate(batch.column(spans).to_pylist()):
-                if s:
-                    texts[i] = without_spans(texts[i].encode("utf-8", "surrogatepass"), s).decode("utf-8", "ignore")
-                    keep[i] = bool(texts[i].strip())
-            out = batch.drop_columns([spans])
-            yield out.set_column(at, names[at], pa.array(texts, out.column(at).type)).filter(pa.array(keep))
+    def cut(batch: pa.RecordBatch, texts: list, found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        keep = np.ones(batch.num_rows, bool)
+        for i, spans in enumerate(found):
+            if spans:
+                texts[i] = without_spans(texts[i].encode("utf-8", "surrogatepass"), spans).decode("utf-8", "ignore")
+                keep[i] = bool(texts[i].strip())
+        return batch.set_column(at, names[at], pa.array(texts, batch.column(at).type)).filter(pa.array(keep))
 
-    return found.mapInArrow(cut, docs.schema)
+    return restored(_with_spans(docs, doc_id, text, length, HOT_ANCHOR, cut, docs.schema))
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc, t, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans")), strict=True):
-                data = (t or "").encode("utf-8", "surrogatepass")
-                rows.append((doc, len(data), sum(s["end"] - s["start"] for s in spans), len(spans), hashlib.sha256(without_spans(data, spans)).hexdigest()))
-            columns = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(),) * 4 + (pa.string(),), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return repeated_spans(docs).mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    def digest(batch: pa.RecordBatch, texts: list, found: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        data = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        kept = [hashlib.sha256(without_spans(b, spans)).hexdigest() for b, spans in zip(data, found, strict=True)]
+        counts = [len(b) for b in data], [sum(b - a for a, b in spans) for spans in found], [len(spans) for spans in found]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c, pa.int64()) for c in counts), pa.array(kept, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return _with_spans(docs, "doc_id", "text", LENGTH, HOT_ANCHOR, digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folio.llm import suffix_dedup as S
@@ -15,8 +16,8 @@ def rows(spark, docs, **kw):
         data = (r.text or "").encode()
         import hashlib
 
-        spans = [{"start": s.start, "end": s.end} for s in r.spans]
-        out[r.doc_id] = (len(data), sum(s["end"] - s["start"] for s in spans), len(spans), hashlib.sha256(S.without_spans(data, spans)).hexdigest())
+        spans = [(s.start, s.end) for s in r.spans]
+        out[r.doc_id] = (len(data), sum(b - a for a, b in spans), len(spans), hashlib.sha256(S.without_spans(data, spans)).hexdigest())
     return out
 
 
@@ -37,12 +38,32 @@ def corpus(seed=3):
     return docs
 
 
-@pytest.mark.parametrize("hot", [S.HOT_ANCHOR, 3])
-def test_against_brute_force(spark, hot):
+@pytest.mark.parametrize(("hot", "bucket"), [(S.HOT_ANCHOR, S.BUCKET), (3, 50)])
+def test_against_brute_force(spark, hot, bucket, monkeypatch):
+    monkeypatch.setattr(S, "MOST_BUCKETS", 4)
+    monkeypatch.setattr(S, "BUCKET", bucket)
     docs = corpus()
     assert rows(spark, docs, hot=hot) == repeated(docs)
 
 
+def test_windows_of_one_hash_are_told_apart_by_their_bytes(monkeypatch):
+    strings = [b"a" * 100 + b"b", b"a" * 100 + b"c", b"x" * 101]
+    monkeypatch.setattr(S, "_window_hash", lambda grams, at, length: np.zeros(len(at), np.uint64))
+    batch = pa.RecordBatch.from_arrays([pa.array([5] * 3), pa.array([1, 2, 3]), pa.array([0, 10, 0]), pa.array([2] * 3), pa.array(strings)], names=["key", "doc", "first", "n", "data"])
+    got = [tuple(r.values()) for b in S._later_windows([batch], 100) for r in b.to_pylist()]
+    assert got == [(2, 10, 11), (3, 1, 2)]
+
+
+def test_a_removal_that_cuts_through_a_character(spark):
+    rnd = random.Random(2)
+    body = "".join(rnd.choice("abcdefgh ") for _ in range(120))
+    docs = [(1, "é" + body, "s"), (2, "z©" + body, None), (3, None, "s"), (4, "é" + body, "t")]  # é and © end in the same byte
+    df = spark.createDataFrame(docs, "doc_id long, text string, doc__ string")
+    assert sorted((r.doc_id, r.text, r.doc__) for r in S.remove_repeats(df).collect()) == [(1, "é" + body, "s"), (2, "z", None), (3, None, "s")]
+    plain = [(i, t) for i, t, _ in docs]
+    assert rows(spark, plain) == repeated(plain)
+
+
 def test_long_text_over_many_blocks(spark, monkeypatch):
     rnd = random.Random(1)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(300_000))
