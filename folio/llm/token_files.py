@@ -2,7 +2,8 @@
 
 Ids are split into chunks of 8 bits. Level 0 holds the lowest chunk of every id, and a bitmap that tells which ids
 go on; level 1 holds the next chunk of those that do, and so on. A rank directory counts the bitmap's ones
-before each RANK_BITS, so the place of an id's next chunk is one lookup and one popcount away.
+before each RANK_BITS, so the place of an id's next chunk is one lookup and one popcount away. A file is read by byte
+ranges: a token costs its chunks, a few bytes of bitmap and one rank a level, whatever the segment's size.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from .files import NewFile, Ranges
 from .ranges import by_ranges
 from .tokens import tokenizer
 
-MAGIC = b"DACTOK01"
+MAGIC = b"DACTOK02"
 RANK_BITS = 512
 #: Ids after which a segment is closed; a longer document has a segment of its own.
 SEGMENT_TOKENS = 1 << 21
@@ -53,59 +54,99 @@ def encode_segment(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
         at += len(p)
     body = b"".join(parts)
     head = json.dumps({"docs": len(ids), "levels": levels, "places": places, "crc32": zlib.crc32(body)}).encode()
-    return MAGIC + struct.pack("<I", len(head)) + head + body
+    return MAGIC + struct.pack("<II", len(head), zlib.crc32(head)) + head + body
 
 
 class Segment:
-    """Reads a segment from its bytes."""
+    """Reads a segment by byte ranges: fetch(offset, length) gives bytes from where the segment begins.
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    The header is checked as it is read. A whole read (documents) checks the body too; reads of single tokens don't."""
+
+    def __init__(self, fetch: Callable[[int, int], bytes]):
+        self.fetch = fetch
+        start = fetch(0, len(MAGIC) + 8)
+        if start[: len(MAGIC)] != MAGIC:
             raise ValueError("not a segment of token ids")
-        n = struct.unpack_from("<I", data, 8)[0]
-        head = json.loads(data[12 : 12 + n])
-        body = memoryview(data)[12 + n :]
-        if zlib.crc32(body) != head["crc32"]:
+        n, check = struct.unpack_from("<II", start, len(MAGIC))
+        raw = fetch(len(start), n)
+        if zlib.crc32(raw) != check:
+            raise ValueError("the segment's header is damaged")
+        self.head = json.loads(raw)
+        self.body = len(start) + n
+
+    @classmethod
+    def of_bytes(cls, data: bytes) -> Segment:
+        """A segment that is in memory whole."""
+
+        def fetch(offset: int, length: int) -> bytes:
+            if offset + length > len(data):
+                raise ValueError("the segment is cut off")
+            return data[offset : offset + length]
+
+        return cls(fetch)
+
+    def _part(self, i: int, first: int = 0, count: int | None = None, kind=np.uint8) -> np.ndarray:
+        """Elements first to first + count of the body's i-th part."""
+        at, size = self.head["places"][i]
+        width = np.dtype(kind).itemsize
+        count = size // width - first if count is None else count
+        return np.frombuffer(self.fetch(self.body + at + first * width, count * width), kind)
+
+    def check(self) -> None:
+        """Reads the whole body; a ValueError if it isn't what was written."""
+        at, size = self.head["places"][-1]
+        if zlib.crc32(self.fetch(self.body, at + size)) != self.head["crc32"]:
             raise ValueError("the segment is damaged")
-        part = lambda i, kind: np.frombuffer(body, kind, offset=head["places"][i][0], count=head["places"][i][1] // np.dtype(kind).itemsize)
-        null = np.unpackbits(part(1, np.uint8), count=head["docs"], bitorder="little")
-        self.doc_ids = [None if m else i for i, m in zip(part(0, "<i8").tolist(), null.tolist(), strict=True)]
-        self.starts = part(2, "<i8")
-        self.levels = [(part(3 + 3 * k, np.uint8), part(4 + 3 * k, np.uint8), part(5 + 3 * k, "<u4")) for k in range(len(head["levels"]))]
+
+    def doc_ids(self) -> list[int | None]:
+        null = np.unpackbits(self._part(1), count=self.head["docs"], bitorder="little")
+        return [None if m else i for i, m in zip(self._part(0, kind="<i8").tolist(), null.tolist(), strict=True)]
+
+    def starts(self) -> np.ndarray:
+        """The number of ids before each document, and of all."""
+        return self._part(2, kind="<i8")
 
     def rank(self, level: int, i: int) -> int:
         """How many of the first i ids of a level go on to the next."""
-        _, bits, ranks = self.levels[level]
-        block = i // RANK_BITS
-        from_, to = block * RANK_BITS // 8, i // 8
-        n = int(ranks[block]) + int(np.bitwise_count(bits[from_:to]).sum())
-        return n + (int(bits[to]) & ((1 << i % 8) - 1)).bit_count() if i % 8 else n
+        block, bits = i // RANK_BITS, i % RANK_BITS
+        known = int(self._part(5 + 3 * level, block, 1, "<u4")[0])
+        if not bits:
+            return known
+        some = self._part(4 + 3 * level, block * RANK_BITS // 8, (bits + 7) // 8)
+        return known + int(np.unpackbits(some, count=bits, bitorder="little").sum())
 
     def token(self, i: int) -> int:
         """Id at place i."""
-        out, shift = 0, 0
-        for level, (chunks, bits, _) in enumerate(self.levels):
-            out |= int(chunks[i]) << shift
-            if not bits[i // 8] >> (i % 8) & 1:
+        out = 0
+        for level in range(len(self.head["levels"])):
+            out |= int(self._part(3 + 3 * level, i, 1)[0]) << 8 * level
+            if not int(self._part(4 + 3 * level, i // 8, 1)[0]) >> i % 8 & 1:
                 break
-            i, shift = self.rank(level, i), shift + 8
+            i = self.rank(level, i)
         return out
 
     def tokens(self, a: int, b: int) -> np.ndarray:
         """Ids at places a to b: on each level a contiguous range."""
         out = np.zeros(b - a, np.uint32)
         where = np.arange(b - a)
-        for level, (chunks, bits, _) in enumerate(self.levels):
+        for level in range(len(self.head["levels"])):
             if a == b:
                 break
-            out[where] |= chunks[a:b].astype(np.uint32) << np.uint32(8 * level)
-            on = np.unpackbits(bits[a // 8 : (b + 7) // 8], bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
-            where, a = where[on], self.rank(level, a)
+            out[where] |= self._part(3 + 3 * level, a, b - a).astype(np.uint32) << np.uint32(8 * level)
+            bits = self._part(4 + 3 * level, a // 8, (b + 7) // 8 - a // 8)
+            on = np.unpackbits(bits, bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
+            where, a = where[on], self.rank(level, a) if on.any() else 0
             b = a + len(where)
         return out
 
     def document(self, k: int) -> np.ndarray:
-        return self.tokens(int(self.starts[k]), int(self.starts[k + 1]))
+        a, b = self._part(2, k, 2, "<i8").tolist()
+        return self.tokens(a, b)
+
+
+def open_segment(files: Ranges, uri: str, offset: int) -> Segment:
+    """A segment of a file in the shared store, for reads of single tokens and documents."""
+    return Segment(lambda at, n: files.read(uri, offset + at, n))
 
 
 INDEX = "part int, file string, offset long, length long, first long, n_tokens long, n_docs long"
@@ -182,13 +223,13 @@ def read_token_files(index: DataFrame) -> DataFrame:
         files = Ranges()
         for batch in batches:
             for s in batch.to_pylist():
-                seg = Segment(files.read(s["file"], s["offset"], s["length"]))
-                begin = base[s["part"]] + s["first"]
-                rows = [seg.document(k) for k in range(len(seg.doc_ids))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seg.doc_ids, pa.int64()), pa.array(begin + seg.starts[:-1]), pa.array([len(x) for x in rows], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in rows], pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                seg = Segment.of_bytes(files.read(s["file"], s["offset"], s["length"]))  # all of it is asked for
+                seg.check()
+                starts = seg.starts()
+                ids = seg.tokens(0, int(starts[-1])).astype("<u4")
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                columns = [pa.array(seg.doc_ids(), pa.int64()), pa.array(base[s["part"]] + s["first"] + starts[:-1]), pa.array(np.diff(starts)), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
         files.close()
 
     return segments.mapInArrow(read, DOCUMENTS)
