@@ -1,6 +1,9 @@
 import hashlib
+import random
+import re
 
 import numpy as np
+import pytest
 
 from folio.llm import decontaminate, shards, url_filter, warc
 
@@ -64,3 +67,49 @@ def test_permutation_and_shards(spark):
         by.setdefault(r.shard, []).append(r.slot)
     assert len(rows) == 102 and all(sorted(s) == list(range(len(s))) for s in by.values()) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
     assert shards.shard_rows(df.limit(0), ["doc_id", "v"], 24).collect() == []
+
+
+def plain_decontamination(docs, bench, window=13):
+    """docs: (doc_id, text), bench: (item_id, text) -> {doc_id: (n_words, n_hit, n_items, item_ids)}"""
+    words = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").encode().lower())
+    windows = {}
+    for i, t in bench:
+        w = words(t)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + window]), set()).add(i)
+    out = {}
+    for d, t in docs:
+        w, hit, items = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for k in range(len(w) - n + 1):
+                if found := windows.get(tuple(w[k : k + n])):
+                    hit |= set(range(k, k + n))
+                    items |= found
+        out[d] = (len(w), len(hit), len(items), sorted(str(i) for i in items if i is not None))
+    return out
+
+
+@pytest.mark.parametrize("most", [decontaminate.MOST_BYTES, 400])
+def test_decontamination_whole_and_in_parts(spark, most):
+    rnd = random.Random(6)
+    vocabulary = ["é" if i == 0 else f"v{i}" for i in range(12)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    shared = text(40)
+    bench = [(i, text(rnd.choice([0, 1, 2, 5, 13, 14, 30]))) for i in range(25)] + [(100, shared), (101, shared), (None, shared), (None, text(3)), (102, None), (103, "...")]
+    docs = [(i, text(rnd.choice([0, 1, 3, 12, 40, 200])) + (" " + shared[3 * (i % 5) :].title() if i % 3 == 0 else "")) for i in range(40)] + [(50, None), (51, "")]
+    docs += [(60, ("long " * 20_000) + shared), (61, docs[3][1])]
+    df = spark.createDataFrame([(*d, "x", True) for d in docs], "doc_id long, text string, `a``b` string, scan__ boolean").repartition(3)
+    b = spark.createDataFrame(bench, "item_id long, text string")
+    assert (decontaminate.benchmark_parts(b, most=most)[0] > 3) == (most == 400)
+    got = decontaminate.scan_documents(df, b, most=most)
+    assert {"a`b", "scan__"} <= set(got.columns)
+    assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.item_ids) for r in got.collect()} == plain_decontamination(docs, bench)
+    assert decontaminate.scan_documents(df.limit(0), b, most=most).collect() == []
+    clean = decontaminate.scan_documents(df, b.limit(0), most=most).collect()
+    assert len(clean) == len(docs) and not any(r.n_hit or r.n_items or r.contaminated for r in clean)
+
+
+def test_a_window_set_is_small():
+    items = [(i, " ".join(f"word{(i * 7 + k * k) % 5000}" for k in range(200))) for i in range(300)]
+    size = sum(len(t) for _, t in items)
+    assert decontaminate.WindowSet(items).nbytes() < 7 * size
