@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, free_name, written
+from .common import ascii_lower, free_name, release, written
 from .components import connected_components
 
 Rule = tuple[str, str, str]  # action (allow or block), host, path
@@ -93,8 +93,12 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     found = pages.where(F.col(url).contains("://")).select(F.col(url).alias("url"), F.filter(tags, lambda x: x != "").alias("t")).where(F.size("t") > 0)
     parts = found.select("url", F.explode("t").alias("t")).select("url", F.trim(F.replace("t", F.lit("&amp;"), F.lit("&"))).alias("t"), ascii_lower(F.substring_index("url", "://", 1)).alias("scheme"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = written(parts, "links")
+    if parts.isEmpty():
+        return parts.select(F.col("url").alias("u"), F.col("t").alias("v"))
     ends = written(parts.select("url", _absolute(*(F.col(c) for c in ("t", "url", "scheme", "host", "path"))).alias("to")), "targets")
-    return ends.select(node_of(F.col("url")).alias("u"), node_of(F.col("to")).alias("v")).where("u is not null and v is not null")
+    edges = written(ends.select(node_of(F.col("url")).alias("u"), node_of(F.col("to")).alias("v")).where("u is not null and v is not null"), "links")
+    release(parts, ends)
+    return edges
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html: str = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -110,16 +114,20 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", html:
     edges = link_edges(pages, url, html)
     if redirects is not None:
         edges = edges.union(redirects.select(node_of(F.col("u")), node_of(F.col("v"))))
-    parts = connected_components(edges)
-    named = written(parts.select("component", host_of(F.col("node")).alias("h"), path_of(F.col("node")).alias("p")), "nodes")
-    of_node = rule_of(F.col("h"), F.col("p"), rules)
-    blocked = named.groupBy("component").agg(F.max(F.coalesce(of_node["action"] == "block", F.lit(False))).alias("blocked"))
-    node, aliases, hit = (free_name(pages, n) for n in ("node__", "alias_of", "blocked__"))
-    marks = parts.join(blocked, "component").select(F.col("node").alias(node), F.col("component").alias("alias_of"), F.col("blocked").alias(hit))
-    out = pages.drop("host", "path", "rule", "verdict", "alias_of")
+    node, hit = (free_name(pages, n) for n in ("node__", "blocked__"))
+    out = pages.drop(*(c for c in ("host", "path", "rule", "verdict", "alias_of") if c not in (url, html)))
     out = out.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url)), node: node_of(F.col(url))})
     out = out.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
-    out = out.join(marks, node, "left")
+    if edges.isEmpty():  # nobody has an alias
+        out = out.withColumns({"alias_of": F.lit(None).cast("string"), hit: F.lit(False)})
+    else:
+        parts = written(connected_components(edges), "aliases")
+        named = written(parts.select("component", host_of(F.col("node")).alias("h"), path_of(F.col("node")).alias("p")), "nodes")
+        of_node = rule_of(F.col("h"), F.col("p"), rules)
+        blocked = named.groupBy("component").agg(F.max(F.coalesce(of_node["action"] == "block", F.lit(False))).alias("blocked"))
+        marks = written(parts.join(blocked, "component").select(F.col("node").alias(node), F.col("component").alias("alias_of"), F.col("blocked").alias(hit)), "marks")
+        release(parts, named)
+        out = out.join(marks, node, "left")
     method = F.when(F.coalesce(F.col(hit), F.lit(False)), "block").otherwise("allow")
     return out.withColumns({"verdict": F.coalesce(F.col("rule")["action"], method), "rule": F.col("rule")["name"]}).drop(node, hit)
 
