@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import text_or_empty
+from .common import plain, text_or_empty
 from .kernels import NOT_SPACE, Words, chunks
 from .ranges import by_ranges
 
@@ -68,6 +68,7 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", k
     have the empty sketch. Equal texts have equal fingerprints. A column of that name is replaced.
     """
     df = df.drop(name) if name != text else df
+    df, [text], restored = plain(df, text)
     schema = StructType([*df.schema.fields, StructField(name, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,7 +76,7 @@ def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", k
             found = [encode(s) for s in sketches(batch.column(text).to_pylist(), k, words)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return restored(df.mapInArrow(run, schema))
 
 
 def merged_fingerprints(df: DataFrame, by: str, name: str = "fingerprint", k: int = K) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import ascii_lower, free_name, written
+from .common import ascii_lower, free_name, plain, release, written
 from .kernels import chunks
 
 #: Hash buckets of byte trigrams.
@@ -168,8 +168,9 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: Co
     probabilities go to the first language by name. Repeated rows each get a row; columns of these names are replaced.
     """
     languages = list(model.languages)
+    docs, [text], restored = plain(docs, text)
     if not languages:
-        return docs.withColumns({"language": F.lit(UNKNOWN), "probability": F.lit(1.0), "n_trigrams": F.lit(0).cast("long")})
+        return restored(docs).withColumns({"language": F.lit(UNKNOWN), "probability": F.lit(1.0), "n_trigrams": F.lit(0).cast("long")})
     logs, h, d, prior = (free_name(docs, x) for x in ("text_logs", "host__", "domain__", "prior__"))
     declared_, suffix_ = free_name(docs, "declared__"), free_name(docs, "suffix__")
     null = F.lit(None).cast("string")
@@ -190,7 +191,7 @@ def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: Co
     share = 1 / F.aggregate(F.col(logs), F.lit(0.0), lambda s, x: s + F.exp(x - F.col(top)))
     some = F.col("n_trigrams") > 0
     out = scored.withColumns({"language": F.when(some, best).otherwise(UNKNOWN), "probability": F.when(some, share).otherwise(1.0)})
-    return out.drop(logs, h, d, prior, top, declared_, suffix_)
+    return restored(out.drop(logs, h, d, prior, top, declared_, suffix_))
 
 
 #: A document stays if its language is one of the model's with at least this probability.

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from .common import free_name, n_tasks, shared_dir, text_or_empty
+from .common import free_name, n_tasks, plain, shared_dir, text_or_empty
 from .kernels import mix
 
 SEED, ROUNDS = 20_240_229, 4
@@ -71,7 +71,8 @@ def shard_rows(df: DataFrame, order: list[str], n_shards: int, seed: int = SEED)
     apart. The row at place p of the permutation goes to shard p % n_shards, slot p // n_shards; a shard's slots are
     0 to its count - 1. Null keys come first; an empty table gives an empty one; columns of these names are replaced.
     """
-    rows, n = numbered(df.drop("row_number", "shard", "slot"), order)
+    df, order, restored = plain(df.drop("row_number", "shard", "slot"), *order)
+    rows, n = numbered(df, order)
     schema = StructType([*rows.schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +80,7 @@ def shard_rows(df: DataFrame, order: list[str], n_shards: int, seed: int = SEED)
             p = permute(batch.column("row_number").to_numpy(), n, seed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((p % n_shards).astype(np.int32)), pa.array(p // n_shards)], names=[*batch.schema.names, "shard", "slot"])
 
-    return rows.mapInArrow(deal, schema)
+    return restored(rows.mapInArrow(deal, schema))
 
 
 def op2_shards(spark, sf_dir: str) -> DataFrame:
