@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import written
+from folio.llm.common import release, written
 from folio.llm.decontaminate import scan_documents
 from folio.llm.jaccard_join import one_of_each_group
 from folio.llm.language import with_language
@@ -41,12 +41,16 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeats", repeats), ("benchmark", benchmark), ("packing", packing)]
-#: SQL has no tokenizer and no trained language model; tests hold run() against a plain version.
+#: SQL has no tokenizer and no trained language model; tests/llm/test_pipeline.py holds run() against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Null texts and texts without letters go with the language; an empty table gives no rows; other columns
+    are carried through all stages but the last, whatever their names."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        if k:
+            release(before)  # no later stage reads it
     return docs
