@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,8 +59,6 @@ def paired_and_welch(rows: DataFrame, unit: str, arm: str, value: str, arms: tup
 
 def with_p_values(result: DataFrame, t: str, df: str) -> DataFrame:
     """A result of few rows with the two-sided Student p-value of t."""
-    import pandas as pd
-
     from ..functions.numeric import student_tail
 
     @F.pandas_udf("double")

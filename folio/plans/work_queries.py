@@ -14,7 +14,7 @@ from ..operators import stats as st
 from ..shared import shared_folder
 from ..sinks import files as sink
 from ..sources import logs, paged, readers
-from .index_queries import HASH32, ROUTED, _routed
+from .index_queries import HASH32, HASH60, ROUTED, _routed
 from .tables import DAILY, ITEMS, MONTHLY, daily_value, items, monthly_price, rounded, table
 
 QUERIES: dict = {}
@@ -491,6 +491,15 @@ def without_repeated_lead(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(text.without_repeated_lead(F.array(first, F.lit("Segundo.")), lead)).alias("n"))
 
 
+@query(f"""
+WITH {DAILY}, m AS (SELECT day, value AS x, n::DOUBLE AS y FROM daily), f AS (SELECT count(*) AS n, corr(x, y) AS r FROM m)
+SELECT n, round(r, 6) AS r, round(r * sqrt(n - 2) / sqrt(1 - r * r), 4) AS t FROM f""")
+def outcome_leak(spark, sf):
+    d = daily_value(spark, sf).withColumn("n", F.col("n").cast("double"))
+    found = probe.outcome_leak(d, "value", "n")
+    return found.select("n", F.round("r", 6).alias("r"), F.round("t", 4).alias("t"))
+
+
 # Production
 
 
@@ -584,3 +593,81 @@ def correlation_intervals(spark, sf):
 
     c = st.correlations(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", ["l_returnflag"])
     return rounded(c.select("l_returnflag", "n", fisher_z_interval(F.col("r"), F.col("n")).alias("i")).select("l_returnflag", "n", "i.*"))
+
+
+# Text, answers and formulas
+
+
+@query("""SELECT page_id, regexp_matches(regexp_replace(url, '^.*/', ''), '1|doc') OR list_has_any(string_split(regexp_replace(url, '^.*/', ''), '-'), ['page', 'post']) AS relevant FROM pages""")
+def slug_relevance(spark, sf):
+    slug = F.regexp_replace("url", "^.*/", "")
+    return table(spark, sf, "pages").select("page_id", text.slug_relevant(slug, ["1", "doc"], ["page", "post"]).alias("relevant"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_orderkey % 6 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true ELSE false END AS flag FROM lineitem""")
+def truthy_flags(spark, sf):
+    said = F.element_at(F.array(*(F.lit(x) for x in (" Sim ", "TRUE", "x", "não", "0")), F.lit(None)), (F.col("l_orderkey") % 6 + 1).cast("int"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", text.truthy(said).alias("flag"))
+
+
+@query(r"""SELECT doc_id, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS h FROM documents""")
+def clean_bodies(spark, sf):
+    with_credit = F.concat(F.lit("Agência X - \nFOTO: alguém\n"), F.col("text"), F.lit("\n  crédito : outro"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(text.clean_body(text.without_prefix(with_credit, r"ag[êe]ncia x\s*-\s*"))).alias("h"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN year(o_orderdate) WHEN 1 THEN year(o_orderdate) WHEN 2 THEN NULL ELSE NULL END AS y FROM orders""")
+def guessed_years(spark, sf):
+    y = F.year("o_orderdate").cast("string")
+    said = [F.concat(F.lit('```json {"ano_estimado": '), y, F.lit("} ```")), F.concat(F.lit("talvez em "), y, F.lit(" ou 2050")), F.lit('{"ano_estimado": 3000}'), F.lit("sem data")]
+    from ..functions import scores
+
+    return table(spark, sf, "orders").select("o_orderkey", scores.parsed_year(F.element_at(F.array(*said), (F.col("o_orderkey") % 4 + 1).cast("int"))).alias("y"))
+
+
+@query("""SELECT c_custkey, 'Título: ' || c_name || CASE WHEN c_custkey % 2 = 0 THEN chr(10) || 'Texto: ' || c_mktsegment ELSE '' END AS message, sha1(c_custkey || '|' || c_name) AS key, c_name || '[SEP]' || c_mktsegment AS pair FROM customer""")
+def score_messages(spark, sf):
+    from ..functions import ids, scores
+
+    c = table(spark, sf, "customer")
+    body = F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("  ")
+    message = scores.score_message(**{"Título": F.col("c_name"), "Texto": body})
+    return c.select("c_custkey", message.alias("message"), ids.cache_key(F.col("c_custkey"), F.col("c_name")).alias("key"), text.joined_blocks(F.col("c_name"), F.lit(None).cast("string"), F.col("c_mktsegment"), sep="[SEP]").alias("pair"))
+
+
+@query("SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN p_retailprice WHEN 1 THEN (p_retailprice + p_size) / 2 ELSE p_size END AS mid, round(ln(least(greatest(p_size / 50.0, 1e-6), 1 - 1e-6) / (1 - least(greatest(p_size / 50.0, 1e-6), 1 - 1e-6))), 6) AS logit FROM part")
+def bid_ask_means(spark, sf):
+    from ..functions import formulas as fm
+
+    k, bid, ask = F.col("p_size") % 3, F.col("p_retailprice"), F.col("p_size").cast("double")
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", fm.row_mean(F.when(k < 2, bid), F.when(k > 0, ask)).alias("mid"), F.round(fm.logit(F.col("p_size") / 50.0), 6).alias("logit"))
+
+
+@query("""WITH s AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, sum(o_totalprice) / 1e6 AS d, avg(o_totalprice) / 1e5 AS gain, stddev_samp(o_totalprice) / 1e5 AS smoothed_se FROM orders GROUP BY 1)
+SELECT round(avg((abs(d) < 25)::INT), 6) AS share_weak, round(avg(abs(gain)) FILTER (abs(d) < 25), 6) AS gain_weak, round(avg(smoothed_se) FILTER (abs(d) < 25), 6) AS se_weak, round(avg(abs(gain)) FILTER (abs(d) >= 25), 6) AS gain_strong, round(avg(smoothed_se) FILTER (abs(d) >= 25), 6) AS se_strong FROM s""")
+def weak_periods(spark, sf):
+    o = table(spark, sf, "orders").groupBy(F.trunc("o_orderdate", "MONTH").alias("month"))
+    s = o.agg((F.sum("o_totalprice") / 1e6).alias("d"), (F.avg("o_totalprice") / 1e5).alias("gain"), (F.stddev_samp("o_totalprice") / 1e5).alias("smoothed_se"))
+    return rounded(st.identification(s, "d", 25.0))
+
+
+@query(f"""
+WITH s AS (SELECT lang, quality AS y, 0.6 * {HASH60.format(chr(39) + 'm' + chr(39) + ' || doc_id')} + 0.4 * quality >= 0.45 AS keep FROM labels JOIN documents USING (doc_id))
+SELECT lang, count_if(y = 1) AS positives, count_if(y = 1 AND keep) AS kept, round(avg((NOT keep)::INT), 6) AS discarded, round(count_if(y = 1 AND keep) / nullif(count_if(y = 1), 0), 6) AS sensitivity, CASE WHEN count_if(y = 1) > 0 THEN true END AS bounded FROM s GROUP BY 1""")
+def filter_reports(spark, sf):
+    from ..functions import ids
+    from ..operators.ordinal_model import filter_report
+
+    d, l = table(spark, sf, "documents").select("doc_id", "lang"), table(spark, sf, "labels")
+    scored = l.join(d, "doc_id").select("lang", "quality", (0.6 * ids.salted_fraction(F.col("doc_id"), "m") + 0.4 * F.col("quality")).alias("p"))
+    return rounded(filter_report(scored, "p", "quality", 0.45, ["lang"]).withColumn("bounded", F.col("lower").between(0, F.col("sensitivity"))).drop("lower"))
+
+
+@query()
+def ordinal_head(spark, sf):
+    """Levels of all vectors by a head that is fitted on all of them."""
+    from ..operators.ordinal_model import fit_ordinal, ordinal_scores
+
+    e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") % 5 + 1).alias("y"))
+    return rounded(ordinal_scores(e, fit_ordinal(e, "x", "y"), "x").select("vec_id", "y", "level", "mean"))

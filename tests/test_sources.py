@@ -225,3 +225,32 @@ def test_series_side_by_side(spark):
     a, b = spark.createDataFrame([(1, 5.0)], "k int, x double"), spark.createDataFrame([(2, 6.0)], "k int, X double")
     out = rl.with_series(panel, {"a": a, "b": b}, "k")
     assert out.columns == ["k", "x", "x_right", "X_right_right"] and sorted(map(tuple, out.collect())) == [(1, 1.0, 5.0, None), (2, 2.0, None, 6.0)]
+
+
+def test_ordinal_head_finds_the_direction(spark):
+    from folio.operators.ordinal_model import filter_report, fit_ordinal, ordinal_scores
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 3))
+    level = x @ np.array([2.0, -1.0, 0.0]) + rng.logistic(size=600)
+    y = 1 + (level[:, None] > np.array([-2.0, -0.5, 0.5, 2.0])).sum(axis=1)
+    rows = [(i, x[i].tolist(), int(y[i])) for i in range(600)] + [(600, None, 3), (601, [0.0, 0.0, 0.0], None)]
+    df = spark.createDataFrame(rows, "i int, x array<double>, y int").repartition(5)
+    head = fit_ordinal(df, "x", "y")
+    assert head.weights == pytest.approx([2, -1, 0], abs=0.3) and head.biases == pytest.approx([2, 0.5, -0.5, -2], abs=0.4)
+    assert (np.diff(head.biases) < 0).all()
+    got = {r.i: r for r in ordinal_scores(df, head, "x").collect()}
+    assert got[600].level is None and got[601].level == 3 and np.mean([abs(got[i].level - y[i]) for i in range(600)]) < 0.9
+    with pytest.raises(ValueError):
+        fit_ordinal(df.limit(0), "x", "y")
+    s = spark.createDataFrame([(0.9, 1)] * 95 + [(0.1, 1)] * 5 + [(0.2, 0)] * 100, "p double, y int")
+    r = filter_report(s, "p", "y", 0.5).first()
+    assert (r.positives, r.kept, r.sensitivity, r.discarded) == (100, 95, 0.95, 0.525) and r.lower == pytest.approx(0.887165, abs=1e-5)
+
+
+def test_a_leak_is_significant_and_not_small(spark):
+    rng = np.random.default_rng(3)
+    a = rng.normal(size=200)
+    df = spark.createDataFrame([(float(x), float(0.5 * x + e)) for x, e in zip(a, rng.normal(size=200))], "a double, b double")
+    r = probe.outcome_leak(df, "a", "b").first()
+    assert r.failed and r.significant and r.p < 1e-6 and r.n == 200
