@@ -31,11 +31,11 @@ def by_ranges(df: DataFrame, id_: str, then: list[str], part: str, tail: str | N
     The ranges' bounds are percentiles of the ids, as many as the session has shuffle partitions; the driver holds
     these and, with `tail`, the least id of each range. One exchange. With `tail` the rows of the least id of the next
     range that has rows (after the last: of the first) follow in each task, with that column true. Rows of equal id
-    are in one task.
+    are in one task, whatever their number: ids are meant to tell rows apart, and so few may share one or have none.
     """
     key = F.coalesce(F.col(id_), F.lit(NULL_ID)).cast("long")
     n = n_tasks(df.sparkSession)
-    found = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], 10_000)).first()[0] if n > 1 else None
+    found = df.select(F.percentile_approx(key, [i / n for i in range(1, n)], max(10_000, 10 * n))).first()[0] if n > 1 else None
     bounds = sorted({int(x) for x in found or []})
     of = _range_of(key, bounds)
     if tail is None:

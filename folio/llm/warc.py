@@ -28,8 +28,9 @@ INDEX = "page_id long, url string, archive string, offset long, length long, pay
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
 
 
-def record_id(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_id(archive: str, offset: int) -> str:
+    """Of the record at that place: no other has it, also if rows are repeated or have no page_id."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{archive}#{offset}')}>"
 
 
 def _header_text(s: str) -> str:
@@ -37,16 +38,19 @@ def _header_text(s: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in s)
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
-    """One record as a gzip member of its own. Of a revisit, the HTTP header is stored without the payload."""
+def encode_record(own_id: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
+    """One record as a gzip member of its own. Of a revisit, the HTTP header is stored without the payload; the response that it
+    refers to is named by its page and url. A url that a header can't hold as it is goes along in base64."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {DATE}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if refers_to is not None else 'response'}", f"WARC-Record-ID: {own_id}", f"WARC-Date: {DATE}"]
     if url is not None:
         lines.append(f"WARC-Target-URI: {_header_text(url)}")
+        if _header_text(url) != url:
+            lines.append(f"X-Target-URI: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}")
     lines.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page: {refers_to}"]
         if refers_url is not None:
             lines.append(f"WARC-Refers-To-Target-URI: {_header_text(refers_url)}")
     if page_id is not None:
@@ -69,9 +73,12 @@ def decode_record(data: bytes) -> dict:
         raise ValueError("block length differs from Content-Length")
     page, refers = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page")
     body = rest[:n].partition(b"\r\n\r\n")[2]
+    url = fields.get("WARC-Target-URI")
+    if "X-Target-URI" in fields:
+        url = base64.b64decode(fields["X-Target-URI"]).decode("utf-8", "surrogatepass")
     return {
         "page_id": None if page is None else int(page),
-        "url": fields.get("WARC-Target-URI"),
+        "url": url,
         "record_type": fields["WARC-Type"],
         "refers_to": None if refers is None else int(refers),
         "payload_digest": base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex(),
@@ -114,7 +121,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, page_id: str = "page
                     info = b"software: folio\r\nformat: WARC File Format 1.1\r\n"
                     head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid4()}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n"
                     out.write(c.compress(head.encode() + info + b"\r\n\r\n") + c.flush())
-                record = encode_record(page, u, payload, digest, to, to_url)
+                record = encode_record(record_id(out.uri, out.size), page, u, payload, digest, to, to_url)
                 index.append({"page_id": page, "url": u, "archive": out.uri, "offset": out.write(record), "length": len(record), "payload_digest": digest, "payload_bytes": len(payload), "record_type": "response" if to is None else "revisit", "refers_to": to})
             yield pa.RecordBatch.from_pylist(index, schema=_INDEX)
         if out:

@@ -117,3 +117,32 @@ def test_shingles_are_those_of_the_rule():
     for k in (1, 3, 5):
         got = [len(s) for s in Words([t.encode() for t in texts], NOT_SPACE).shingle_sets(k)]
         assert got == [len(shingle_set(t, k)) for t in texts]
+
+
+def test_very_long_texts_and_large_cells(spark, monkeypatch):
+    """Texts longer than a chunk of the kernels, with counts beyond half a byte; and a group larger than a tree."""
+    monkeypatch.setattr(J, "TREE_BLOCK", 20)
+    rnd = random.Random(9)
+    long_ = [f"word{i}" for i in range(60_000)]
+    near = list(long_)
+    for _ in range(500):
+        near[rnd.randrange(len(near))] = "other"
+    far = long_[:40_000] + [f"new{i}" for i in range(20_000)]
+    base = [f"b{i}" for i in range(60)]
+    docs = [(1, " ".join(long_)), (2, " ".join(near)), (3, " ".join(far))]
+    for k in range(150):
+        copy = list(base)
+        copy[rnd.randrange(60)] = f"x{k}"
+        docs.append((10 + k, " ".join(copy)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked_groups(df, 3, 90, 100).collect()}
+    assert got == joined(docs, 3, 90, 100)
+
+
+def test_one_document_of_each_group_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = [(5, text, "a", 1), (3, text + " more", "b", 2), (3, text + " more", "b", 2), (None, text, "c", 3), (7, "alone " * 3, None, 4), (8, None, "d", 5), (9, "", "e", 6)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, `set` string, id__ int")
+    got = sorted((str(r.doc_id), r.id__) for r in J.one_of_each_group(df, 5, 8, 10).collect())
+    assert got == [("3", 2), ("7", 4), ("8", 5), ("9", 6)]
+    assert J.one_of_each_group(df.limit(0), 5, 8, 10).collect() == []

@@ -1,11 +1,13 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
 
 from folio.llm import decontaminate, shards, url_filter, warc
+from folio.llm.files import Ranges
 
 
 def test_blocks_reach_aliases_and_allow_wins(spark):
@@ -46,6 +48,81 @@ def test_warc_round_trip(spark):
         assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
         assert got[i].record_type == ("revisit" if i in (1, 2) else "response") and got[i].refers_to == (9 if i in (1, 2) else None)
         assert got[i].payload == (None if i in (1, 2) else data)
+    assert got[1].url == "http://a/\r\nX: y" and got[2].url is None
+
+
+def test_warc_of_odd_rows(spark):
+    big = "x" * 1000
+    pages = [(None, "http://a b/ü", big, 1), (None, "http://a b/ü", big, 2), (3, "u", big, 3), (3, "u", big, 4), (2, "v", big, 5), (7, "w", "short", 6), (8, "z", "y" * 300_000, 7), (None, None, None, 8)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, digest int")
+    index = warc.write_warc(df)
+    rows = warc.read_warc(index).collect()
+    assert sorted((str(r.page_id), r.record_type, r.refers_to) for r in rows) == sorted([("None", "response", None)] * 3 + [("3", "response", None)] * 2 + [("2", "revisit", 3), ("7", "response", None), ("8", "response", None)])
+    assert sorted(str(r.url) for r in rows) == sorted(str(p[1]) for p in pages) and max(len(r.payload or b"") for r in rows) == 300_000
+    ids = set()
+    files = Ranges()
+    for r in index.collect():
+        raw = zlib.decompress(files.read(r.archive, r.offset, r.length), 31)
+        ids.add(re.search(rb"WARC-Record-ID: (\S+)", raw)[1])
+    assert len(ids) == len(pages)
+    assert warc.read_warc(warc.write_warc(df.limit(0))).collect() == []
+    some = index.where("page_id = 3 or page_id = 8")
+    assert sorted(r.page_id for r in warc.read_warc(some).collect()) == [3, 3, 8]
+
+
+def plain_verdicts(pages):
+    """(url, targets) of each page -> verdict by rules, else by aliases reached over links in either direction."""
+    def rule(u):
+        m = re.match(r"[a-z]+://([^/?#]*)([^?#]*)", u.lower())
+        fits = [(len(h + p), a == "allow", a) for a, h, p in url_filter.RULES if m and (m[1] == h or m[1].endswith("." + h)) and m[2].startswith(p)]
+        return max(fits)[2] if fits else None
+
+    near = {}
+    for u, targets in pages:
+        for t in targets:
+            near.setdefault(u, set()).add(t)
+            near.setdefault(t, set()).add(u)
+    out = []
+    for u, _ in pages:
+        seen, todo = {u}, [u]
+        while todo:
+            todo += [x for x in near.get(todo.pop(), ()) if x not in seen and not seen.add(x)]
+        out.append((u, rule(u) or ("block" if any(rule(x) == "block" for x in seen) else "allow")))
+    return sorted(out)
+
+
+def test_aliases_against_brute_force(spark):
+    rnd = random.Random(8)
+    hosts = ["a.info", "b.info", "c.org", "bad.net", "example.net", "d.example.com"]
+    urls = [f"http://{rnd.choice(hosts)}/{rnd.choice(['en', 'de', 'fr', 'x'])}/{i}" for i in range(60)]
+    pages = [(u, [rnd.choice(urls) for _ in range(rnd.choice([0, 0, 1, 1, 2, 3]))]) for u in urls]
+    pages += [("http://a.info/y/1", ["http://a.info/y/2"]), ("http://a.info/y/2", ["http://a.info/y/3"]), ("http://a.info/y/3", ["http://a.info/y/1"]), pages[0], pages[1]]
+    link = lambda t, i: f'<LINK REL="canonical" class=x href="{t}">' if i % 2 else f"<meta content='0; URL={t}' http-equiv='Refresh'>"
+    rows = [(u, "<p>" * (50_000 if n == 3 else 3) + "".join(link(t, i) for i, t in enumerate(ts)), "mine", "x") for n, (u, ts) in enumerate(pages)]
+    df = spark.createDataFrame(rows, "url string, html string, host string, node__ string")
+    out = url_filter.filter_urls(df, url_filter.RULES)
+    assert sorted((r.url, r.verdict) for r in out.collect()) == plain_verdicts(pages) and out.columns.count("host") == 1 and "node__" in out.columns
+    empty = url_filter.filter_urls(df.limit(0), url_filter.RULES)
+    assert empty.collect() == [] and set(out.columns) == set(empty.columns)
+    more = url_filter.filter_urls(spark.createDataFrame([("http://q.info/", None)], "url string, html string"), url_filter.RULES, redirects=spark.createDataFrame([("http://q.info/", "http://bad.net/")], "u string, v string"))
+    assert more.first().verdict == "block"
+
+
+def test_shards_of_the_query(spark, tmp_path):
+    docs = [(i * 7 % 50, f"text {i} é", "s") for i in range(100)] + [(1000, None, "s"), (1001, "l" * 300_000, None), (None, "no id", "s"), (3, "text 9 é", "t"), (3, "text 9 é", "t")]
+    df = spark.createDataFrame([(*d, 7, "k") for d in docs], "doc_id long, text string, source string, shard int, `place.__` string").repartition(3)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = shards.op2_shards(spark, str(tmp_path)).collect()
+    plain = lambda t: (len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == sorted((str(i), *plain(t)) for i, t, _ in docs)
+    by = {}
+    for r in rows:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in by.values()) and set(by) <= set(range(24)) and max(map(len, by.values())) - min(map(len, by.values())) <= 1
+    again = {(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in shards.op2_shards(spark, str(tmp_path)).collect()}
+    assert again == {(r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in rows}
+    wide = shards.shard_rows(spark.read.parquet(f"{tmp_path}/documents.parquet"), ["doc_id", "text"], 5)
+    assert "place.__" in wide.columns and wide.count() == len(docs)
 
 
 def test_short_items_and_overlaps(spark):
