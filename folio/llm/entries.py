@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP9_SQL, op9_decontaminate
-from .fingerprint import op4_fingerprints
+from .fingerprint import op4_fingerprints, source_fingerprints
 from .jaccard_join import op1_jaccard_join
 from .language import op7_language_id, page_language
 from .packing import op5_packing
@@ -25,5 +25,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_warc": op10_warc,
     "page_language": page_language,
+    "source_fingerprints": source_fingerprints,
 }
 SQL = {"op8_url_filter": OP8_SQL, "op9_decontaminate": OP9_SQL, "op10_warc": OP10_SQL}

@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import plain, text_or_empty
+from .common import plain, text_or_empty, written
 from .kernels import NOT_SPACE, Words, chunks
 from .ranges import by_ranges
 
@@ -55,10 +55,15 @@ def distinct(a: np.ndarray, k: int = K) -> float:
 
 
 def containment(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
-    """Estimate of the share of a's shingles that b has too. An empty a is contained in all."""
+    """Estimate of the share of a's shingles that b has too: among those of a up to the hash to which both sketches are complete. An
+    empty a is contained in all."""
     if not len(a):
         return 1.0
-    return min(1.0, resemblance(a, b, k) * distinct(merge((a, b), k), k) / distinct(a, k))
+    upto = min((s[-1] for s in (a, b) if len(s) >= k), default=np.uint64(2**64 - 1))
+    own = a[a <= upto]
+    if not len(own):  # a's least hash is beyond b's sketch
+        return min(1.0, resemblance(a, b, k) * distinct(merge((a, b), k), k) / distinct(a, k))
+    return float(np.isin(own, b, assume_unique=True).mean())
 
 
 def fingerprints(df: DataFrame, text: str = "text", name: str = "fingerprint", k: int = K, words: int = SHINGLE) -> DataFrame:
@@ -113,6 +118,24 @@ def merged_fingerprints(df: DataFrame, by: str, name: str = "fingerprint", k: in
     return df.select(by, name).mapInArrow(partial, schema).groupBy(by).applyInArrow(final, schema)
 
 
+COMPARED = "distinct double, resemblance double, containment double"
+
+
+def compared_fingerprints(df: DataFrame, with_: str, name: str = "fingerprint", k: int = K) -> DataFrame:
+    """df with estimates from two columns of fingerprints: distinct shingles of `name`, its resemblance to the other, and the share of
+    its shingles that the other has. Null fingerprints count as empty. Columns of these names are replaced."""
+    df = df.drop("distinct", "resemblance", "containment")
+    schema = StructType([*df.schema.fields, *(StructField(c.split()[0], DoubleType()) for c in COMPARED.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = [(decode(x or ""), decode(y or "")) for x, y in zip(batch.column(name).to_pylist(), batch.column(with_).to_pylist(), strict=True)]
+            columns = [pa.array([f(a, b) for a, b in pairs], pa.float64()) for f in (lambda a, b: distinct(a, k), lambda a, b: resemblance(a, b, k), lambda a, b: containment(a, b, k))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -165,3 +188,13 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
 def op4_fingerprints(spark, sf_dir: str) -> DataFrame:
     return edited_fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def source_fingerprints(spark, sf_dir: str) -> DataFrame:
+    """Each source's documents as one fingerprint, merged from theirs, against that of all documents: source, distinct (estimate of its
+    distinct shingles), resemblance and containment (in the whole), rounded."""
+    docs = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", "text")).select("source", "fingerprint")
+    by_source = written(merged_fingerprints(docs, "source"), "sources")
+    whole = merged_fingerprints(by_source.withColumn("all__", F.lit(1)), "all__").select(F.col("fingerprint").alias("whole"))
+    out = compared_fingerprints(by_source.crossJoin(F.broadcast(whole)), "whole")  # one row of K hashes
+    return out.select("source", F.round("distinct", 1).alias("distinct"), F.round("resemblance", 6).alias("resemblance"), F.round("containment", 6).alias("containment"))

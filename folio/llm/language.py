@@ -156,7 +156,9 @@ def host_priors(scored: DataFrame, model: TextModel, host: str, domain: str, sco
     size = sum((F.col(f"n{k}") for k in range(n)), F.lit(0.0))
     domains = counts.groupBy("domain").agg(*of).select("domain", F.array(*((F.col(f"n{k}") + BORROWED * whole[k]) / (size + BORROWED) for k in range(n))).alias("of_domain"))
     hosts = counts.groupBy("host", "domain").agg(*of).join(domains.withColumnRenamed("domain", "d"), F.col("domain").eqNullSafe(F.col("d")))
-    return written(hosts.select("host", "domain", F.array(*((F.col(f"n{k}") + BORROWED * F.col("of_domain")[k]) / (size + BORROWED) for k in range(n))).alias("prior")), "host-priors")
+    out = written(hosts.select("host", "domain", F.array(*((F.col(f"n{k}") + BORROWED * F.col("of_domain")[k]) / (size + BORROWED) for k in range(n))).alias("prior")), "host-priors")
+    release(counts)
+    return out
 
 
 def identify(docs: DataFrame, model: TextModel, text: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, domain: Column | None = None) -> DataFrame:
