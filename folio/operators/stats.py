@@ -175,10 +175,10 @@ def latent_weight(panel: DataFrame, order: str, y: str, d: str, link: str = "log
     def solve(pdf):
         import pandas as pd
 
-        from ..functions.numeric import LatentWeight
+        from ..functions import numeric
 
         pdf = pdf.sort_values(order)
-        e = LatentWeight(link).estimate(pdf[y].to_numpy(float), pdf[d].to_numpy(float))
+        e = numeric.latent_weight(pdf[y].to_numpy(float), pdf[d].to_numpy(float), link == "logistic")
         return pd.DataFrame({order: pdf[order].to_numpy(), **{k: e[k] for k in ("filtered", "smoothed", "filtered_se", "smoothed_se", "gain", "innovation", "noise", "drift", "loglik")}})
 
     kind = panel.schema[order].dataType.simpleString()

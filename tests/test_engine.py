@@ -123,10 +123,35 @@ def test_newey_west_and_latent_weight():
     d = rng.normal(0, 3, 200)
     y = w * d + rng.normal(0, 0.3, 200)
     y[50:55] = np.nan
-    e = N.LatentWeight().estimate(y, d)
+    e = N.latent_weight(y, d)
     assert np.mean(np.abs(e["smoothed"] - w)) < 0.12 and np.nanmean(e["smoothed_se"]) <= np.nanmean(e["filtered_se"])
 
 
+def test_filter_of_a_linear_model_is_that_of_the_joint_normal():
+    """With the identity, filter and smoother are conditional expectations of a joint normal distribution, and so is the likelihood."""
+    y, d = np.array([1.0, np.nan, 0.4, 2.0]), np.array([1.0, 2.0, -0.5, 1.5])
+    noise, drift, spread = 0.3, 0.2, 10.0
+    states, loglik = N.filtered_states(y, d, noise, drift, curved=False, spread=spread)
+    mean, var = N.smoothed_states(states)
+    k = np.arange(1, 5)
+    prior = spread + drift**2 * np.minimum.outer(k, k)
+    seen = np.isfinite(y)
+    h = np.diag(d)[seen]
+    cov = h @ prior @ h.T + noise**2 * np.eye(seen.sum())
+    gap = y[seen] - h @ np.full(4, 0.5)
+    gain = prior @ h.T @ np.linalg.inv(cov)
+    assert mean == pytest.approx(0.5 + gain @ gap) and var == pytest.approx(np.diag(prior - gain @ h @ prior))
+    assert states[-1, 5] == pytest.approx(mean[-1])
+    assert loglik == pytest.approx(-0.5 * (gap @ np.linalg.inv(cov) @ gap + np.linalg.slogdet(2 * np.pi * cov)[1]))
+
+
+def test_deviations_are_found_again():
+    y, d, weight = N.simulated_weight(400, 0.4, 0.15, seed=5)
+    e = N.latent_weight(y, d)
+    assert e["noise"] == pytest.approx(0.4, rel=0.15) and 0.05 < e["drift"] < 0.35
+    assert np.mean(np.abs(e["smoothed"] - weight)) < 0.1 and e["loglik"] >= N.filtered_states(y, d, 0.4, 0.15)[1] - 1e-6
+
+
 def test_text_forms(spark):
     df = spark.createDataFrame([("Ação, já!  É  isso",), (None,)], "s string")
     r = df.select(text.norm(F.col("s")).alias("n"), text.text_key(F.col("s")).alias("k"), text.slug(F.col("s")).alias("g")).collect()
