@@ -671,3 +671,97 @@ def ordinal_head(spark, sf):
 
     e = table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"), (F.col("label") % 5 + 1).alias("y"))
     return rounded(ordinal_scores(e, fit_ordinal(e, "x", "y"), "x").select("vec_id", "y", "level", "mean"))
+
+
+# Whole runs
+
+
+@query("""WITH p AS (SELECT event_type AS outlet, event_type || '|' || ts::DATE AS unit, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL),
+s AS (SELECT *, CASE WHEN day(day) % 7 = 3 THEN 'gap' ELSE 'done' END AS state FROM p)
+SELECT outlet, sum(CASE state WHEN 'done' THEN day(day) % 4 ELSE 0 END)::BIGINT AS records, count(*) AS units, count_if(state = 'gap') AS gaps FROM s GROUP BY outlet""")
+def collection_run(spark, sf):
+    from ..operators import procedures as pr
+
+    def fetch(unit):
+        day = int(unit[-2:])
+        if day % 7 == 3:
+            raise ValueError("no such page")
+        if day % 5 == 0 and first:
+            raise ConnectionError("later")
+        return [{"unit": unit, "k": i} for i in range(day % 4)]
+
+    e = table(spark, sf, "events")
+    plan = e.select(F.col("event_type").alias("outlet"), work.unit_key(F.col("event_type"), _day("ts")).alias("unit")).distinct()
+    folder = shared_folder(spark, "collection")
+    for first, writer in ((True, "ana"), (False, "rui")):  # the second run does what the first left open
+        pr.collected(spark, plan, fetch, folder, writer, "unit string, k int")
+    lines = spark.read.schema("outlet string, writer string, unit string, k int").json(f"{folder}/lines").groupBy("outlet").agg(F.count("*").alias("records"))
+    ledger = spark.read.schema("unit string, outlet string").json(f"{folder}/ledger")
+    gaps = spark.read.schema("unit string").json(f"{folder}/gaps").select("unit", F.lit(1).alias("gap"))
+    units = ledger.join(gaps, "unit", "left").groupBy("outlet").agg(F.count("*").alias("units"), F.sum(F.coalesce("gap", F.lit(0))).alias("gaps"))
+    return units.join(lines, "outlet").select("outlet", "records", "units", "gaps")
+
+
+STORIES = """raw AS (SELECT c.c_mktsegment AS outlet, o.o_orderdate::DATE AS day, 'https://x.org/' || (o.o_orderkey // 2) || CASE WHEN o.o_orderkey % 2 = 1 THEN '/?a=1' ELSE '' END AS url, 'Título ' || (o.o_custkey % 40) || '!' AS title,
+  CASE WHEN o.o_orderkey % 3 = 0 THEN 'sub' END AS subtitle, CASE WHEN o.o_orderkey % 50 > 0 THEN 'p' || o.o_orderkey END AS p1, CASE WHEN o.o_orderkey % 9 > 0 THEN 'q' END AS p2 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey),
+one AS (SELECT *, rtrim(regexp_replace(url, '[?#].*$', ''), '/') AS k FROM raw QUALIFY row_number() OVER (PARTITION BY rtrim(regexp_replace(url, '[?#].*$', ''), '/') ORDER BY day, outlet, title, url) = 1),
+kept AS (SELECT * FROM one WHERE p1 IS NOT NULL AND p2 IS NOT NULL)"""
+
+
+def _stories(spark, sf):
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    k = F.col("o_orderkey")
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(
+        F.col("c_mktsegment").alias("outlet"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), F.concat(F.lit("https://x.org/"), F.floor(k / 2), F.when(k % 2 == 1, "/?a=1").otherwise("")).alias("url"),
+        F.concat(F.lit("Título "), F.col("o_custkey") % 40, F.lit("!")).alias("title"), F.when(k % 3 == 0, "sub").alias("subtitle"), F.when(k % 50 > 0, F.concat(F.lit("p"), k)).alias("p1"), F.when(k % 9 > 0, "q").alias("p2"),
+    )
+
+
+@query(f"""WITH RECURSIVE {STORIES}, x AS (SELECT 't' || title AS t, list_sort(list({{'d': day, 'k': k, 'o': outlet}})) AS l FROM kept GROUP BY 1),
+r AS (SELECT l AS left_, NULL::STRUCT(d DATE, k VARCHAR, o VARCHAR) AS h, []::STRUCT(d DATE, k VARCHAR, o VARCHAR)[] AS g FROM x UNION ALL
+  SELECT list_filter(left_[2:], lambda y: NOT (y.o <> left_[1].o AND y.d - left_[1].d <= 2)), left_[1], list_filter(left_[2:], lambda y: y.o <> left_[1].o AND y.d - left_[1].d <= 2) FROM r WHERE len(left_) > 0),
+g AS (SELECT h.k AS k, len(g) + 1 AS n, false AS rep FROM r WHERE h IS NOT NULL UNION ALL SELECT (unnest(g)).k, len(g) + 1, true FROM r WHERE h IS NOT NULL)
+SELECT url, outlet, day, n::BIGINT AS n_replicas, rep AS is_replica, md5('TÍTULO: ' || title || chr(10) || chr(10) || CASE WHEN subtitle IS NOT NULL THEN 'SUBTÍTULO: ' || subtitle || chr(10) || chr(10) ELSE '' END || 'TEXTO: ' || p1 || chr(10) || chr(10) || p2) AS h FROM kept JOIN g USING (k)""")
+def consolidated_stories(spark, sf):
+    from ..operators import procedures as pr
+
+    return pr.consolidated(_stories(spark, sf)).select("url", "outlet", F.to_date("day").alias("day"), "n_replicas", "is_replica", F.md5("model_text").alias("h"))
+
+
+@query(f"""WITH {STORIES}, i AS (SELECT DISTINCT ON (url) 'n' || substr(sha1(url), 1, 10) AS item_id, day, outlet, title, coalesce(subtitle, '') AS lead, coalesce(p1, '') AS paragraph FROM raw ORDER BY url, day, title, p1 NULLS FIRST),
+p AS (SELECT *, item_id < 'n8' AS known FROM i WHERE outlet <> 'FURNITURE')
+SELECT item_id, day, outlet, CASE outlet WHEN 'BUILDING' THEN 'market' ELSE 'press' END AS kind, title, lead FROM p QUALIFY row_number() OVER (PARTITION BY outlet, title, day ORDER BY known DESC, item_id) = 1""")
+def corpus_of_stories(spark, sf):
+    from ..operators import procedures as pr
+
+    raw = _stories(spark, sf)
+    known = raw.select(F.concat(F.lit("n"), F.substring(F.sha1("url"), 1, 10)).alias("item_id")).where("item_id < 'n8'")
+    outlets = [r[0] for r in raw.select("outlet").distinct().collect() if r[0] != "FURNITURE"]  # five at any size
+    return pr.built_corpus(raw, {"BUILDING": "market"}, outlets, known).select("item_id", "day", "outlet", "kind", "title", "lead")
+
+
+@query(f"""WITH {ITEMS}, h AS (SELECT * FROM items WHERE {HASH32.format('item_id::VARCHAR')} >= 0.10),
+r AS (SELECT *, CASE WHEN {HASH60.format("'label' || item_id")} < 0.05 THEN 'sent' WHEN price / 500000 >= 0.4 THEN 'sent' WHEN {HASH60.format("'audit' || item_id")} < 0.10 THEN 'audited' ELSE 'discarded' END AS decision, CASE WHEN item_id % 8 > 0 THEN item_id % 5 + 1 END AS s FROM h),
+c AS (SELECT *, CASE WHEN decision <> 'discarded' THEN (s - 1) / 4.0::DOUBLE END AS c, CASE decision WHEN 'audited' THEN 10.0::DOUBLE ELSE 1 END AS w FROM r)
+SELECT {"date_trunc('month', day)::DATE"} AS period, count_if(decision = 'sent') AS n_sent, count_if(decision = 'audited') AS n_audited, count_if(decision = 'discarded') AS n_discarded, round(avg(c), 6) AS simple, round(sum(w * c) / nullif(sum(w) FILTER (c IS NOT NULL), 0), 6) AS weighted FROM c GROUP BY 1""")
+def production_run(spark, sf):
+    from ..operators import procedures as pr
+
+    def complete(message):
+        k = int(message)
+        if k % 6 == 0 and k not in asked:
+            raise TimeoutError("busy")
+        return '```json\n{"d1": ' + (str(k % 5 + 1) if k % 8 else "null") + "}\n```"
+
+    i = items(spark, sf).select("item_id", "day", F.col("item_id").cast("string").alias("message"), (F.col("price") / 500000).alias("p"))
+    folder = shared_folder(spark, "production")
+    early = F.col("day") < "1998-01-01"
+    asked: set = set()
+    pr.production(spark, i.where(early), folder, complete, "p", 0.4)  # some answers fail, and later items haven't come
+    asked = _Everything()
+    return rounded(pr.production(spark, i, folder, complete, "p", 0.4))
+
+
+class _Everything:
+    def __contains__(self, x):
+        return True
