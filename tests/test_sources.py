@@ -254,3 +254,51 @@ def test_a_leak_is_significant_and_not_small(spark):
     df = spark.createDataFrame([(float(x), float(0.5 * x + e)) for x, e in zip(a, rng.normal(size=200))], "a double, b double")
     r = probe.outcome_leak(df, "a", "b").first()
     assert r.failed and r.significant and r.p < 1e-6 and r.n == 200
+
+
+def test_services(spark):
+    from folio.sources import services as sv
+
+    assert [(r["first"], r["end"]) for r in sv.series_requests(11, D(2000, 1, 1), D(2020, 1, 1), True)] == [("2000-01-01", "2009-01-01"), ("2009-01-01", "2018-01-01"), ("2018-01-01", "2020-01-01")]
+    assert len(sv.series_requests(11, D(2000, 1, 1), D(2020, 1, 1), False)) == 1
+    q = sv.entity_query("Rates", {"Indicador": "IPCA d'or", "baseCalculo": 0}, ["Data", "Mediana"], "Data", ("Data", "2001-11-01"))
+    assert q == "Rates?%24filter=x".replace("%24filter=x", "$filter=Indicador%20eq%20%27IPCA%20d%27%27or%27%20and%20baseCalculo%20eq%200%20and%20Data%20ge%20%272001-11-01%27&$select=Data,Mediana&$orderby=Data&$format=json")
+    assert list(sv.entity_rows(lambda r: list(range(7))[r["$skip"] : r["$skip"] + r["$top"]], q, 3)) == list(range(7))
+    hits = [{"day": f"2020-01-{d:02d}", "kind": k} for d in range(20, 0, -1) for k in ("Matéria", "Vídeo")]
+    got = list(sv.search_scan(lambda r: hits[r["$skip"] : r["$skip"] + r["$top"]], "copom", "x", "2020-01-10", "2020-01-12"))
+    assert got == [{"day": d, "kind": "Matéria", "outlet": "x", "query": "copom"} for d in ("2020-01-11", "2020-01-10")]
+    posts, gaps, unit = sv.posts_of_year(lambda r: list(range(r["$skip"], r["$skip"] + r["$top"])), "x", 2020, D(2019, 6, 1), D(2020, 3, 1), 200)
+    assert posts == list(range(200)) and gaps == [] and unit == "x|2020|2020-01-01|2020-03-01"
+    assert sv.posts_of_year(lambda r: [], "x", 2020, D(2019, 6, 1), D(2022, 3, 1), 0)[2] == "x|2020"
+    index = "<loc>https://x/2020-01-02/a.xml?p=1&amp;q=2</loc><loc>https://x/2020-02-02/b.xml</loc><loc>https://x/c.xml</loc>"
+    assert sv.site_map_days(index, "2020-01-01", "2020-02-01") == [("2020-01-02", "https://x/2020-01-02/a.xml?p=1&q=2")] and len(sv.site_map_urls(index)) == 3
+    page = 'x; Site.data = {"a": "};", "headlines": {"basic": "T &amp; U"}, "content_elements": [{"type": "text", "content": "<b>' + "w " * 40 + '</b>"}, {"type": "text", "content": "short"}], "display_date": "2020-01-01"}; Site.x = 1'
+    found = sv.script_object(page, "Site.data")
+    s = sv.story(found, "x", "u")
+    assert (s["title"], s["day"], s["n_paragraphs"], s["p2"], s["subtitle"]) == ("T & U", "2020-01-01", 1, None, None) and s["p1"] == ("w " * 40).strip()
+    assert sv.script_object("none", "Site.data") is None and sv.script_object("Site.data = {bad", "Site.data") is None and sv.story({}, "x", "u") is None
+    rows = [("IPCA", "S", 0, "2020-01-02", 4.0), ("IPCA", "N", 0, "2020-01-02", 5.0), ("IPCA", "S", 1, "2020-01-02", 6.0), ("IGP", "S", 0, "2020-01-02", 7.0)]
+    df = spark.createDataFrame(rows, "Indicador string, Suavizada string, baseCalculo int, Data string, Mediana double")
+    for c in ("Media", "DesvioPadrao", "Minimo", "Maximo", "numeroRespondentes"):
+        df = df.withColumn(c, F.lit(1.0))
+    assert [(r.day, r.median) for r in sv.expectations(df, "IPCA").collect()] == [(D(2020, 1, 2), 4.0)]
+    m = spark.createDataFrame([(0, "2020-01-02", "R5/2028", 9.0), (0, "2020-01-02", "x", 1.0)], "baseCalculo int, Data string, Reuniao string, Mediana double")
+    assert [(r.number, r.year, r.median) for r in sv.expectations_by_meeting(m).collect()] == [(5, 2028, 9.0)]
+    links = spark.createDataFrame([('<a href="/n/1">x</a><A class=b HREF="/n/2"><a href="/n/1"><a href="/o">',)], "h string")
+    assert links.select(sv.listed_links(F.col("h"), "^/n/").alias("u")).first().u == ["/n/1", "/n/2"]
+    urls = spark.createDataFrame([("https://x/a/copom-eleva-juros/",), ("https://x/copom/outra",)], "u string")
+    assert [r.u for r in sv.relevant_urls(urls, "u", ["copom"], []).collect()] == ["https://x/a/copom-eleva-juros/"]
+
+
+def test_cut_runs_go_on(spark, tmp_path):
+    from folio.operators import procedures as pr
+
+    plan = spark.createDataFrame([(f"a|{i}", "a") for i in range(6)] + [("b|0", "b"), ("b|0", "b")], "unit string, outlet string")
+    broken = lambda u: [] if u == "a|1" else [{"u": u}] if u < "a|4" else (_ for _ in ()).throw(ConnectionError("gone"))
+    one = {r.outlet: (r.found, r.units) for r in pr.collected(spark, plan, broken, str(tmp_path), "ana", "u string").collect()}
+    assert one == {"a": (3, 4)}
+    two = {r.outlet: (r.found, r.units) for r in pr.collected(spark, plan, lambda u: [{"u": u}], str(tmp_path), "rui", "u string").collect()}
+    assert two == {"a": (2, 2), "b": (1, 1)}
+    assert pr.collected(spark, plan, broken, str(tmp_path), "eva", "u string").collect() == []
+    lines = spark.read.schema("u string, outlet string, writer string").json(f"{tmp_path}/lines")
+    assert sorted((r.u, r.writer) for r in lines.collect()) == [("a|0", "ana"), ("a|2", "ana"), ("a|3", "ana"), ("a|4", "rui"), ("a|5", "rui"), ("b|0", "rui")]
