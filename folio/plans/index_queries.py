@@ -63,7 +63,14 @@ def agg_quarterly_index(spark, sf):
     return rounded(ix.periodic_index(items(spark, sf), unit="QUARTER"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {ITEMS}, w AS (SELECT {MONTH} AS period, wire, kind, avg((d1 - 1) / 4.0) AS c, min(day) AS day FROM items WHERE d1 IS NOT NULL GROUP BY ALL), cells AS (SELECT period, kind, count(*)::DOUBLE AS n, sum(c) AS s FROM w GROUP BY ALL),
+r AS (SELECT 0 AS it, kind, 0.0::DOUBLE AS gamma FROM (SELECT DISTINCT kind FROM cells) UNION ALL
+  SELECT it + 1, kind, g - sum(g * n) OVER () / sum(n) OVER () FROM (SELECT it, kind, sum(s - n * alpha) / sum(n) AS g, sum(n) AS n FROM cells JOIN (SELECT it, period, sum(s - n * gamma) / sum(n) AS alpha FROM cells JOIN r USING (kind) WHERE it < 60 GROUP BY ALL) USING (period) GROUP BY ALL)),
+a AS (SELECT w.period, w.day, c - gamma AS c FROM w JOIN r USING (kind) WHERE it = 60), days AS (SELECT period, day, avg(c) AS m FROM a GROUP BY ALL),
+err AS (SELECT period, stddev_samp(m) / sqrt(count(*)) AS se_day, count(*) AS n_days FROM days GROUP BY period),
+lev AS (SELECT period, avg(c) AS level, median(c) AS level_median, count(*) AS n_items, stddev_samp(c) / sqrt(count(*)) AS se_iid FROM a GROUP BY period)
+SELECT period, round(level, 6) AS level, round(level_median, 6) AS level_median, n_items, round(se_iid, 6) AS se_iid, round(se_day, 6) AS se_day, n_days FROM lev JOIN err USING (period)""")
 def agg_effect_adjusted(spark, sf):
     return rounded(ix.adjusted_index(spark, items(spark, sf)))
 

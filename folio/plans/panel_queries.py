@@ -221,10 +221,19 @@ def next_maturities(spark, sf):
 MEETINGS = [(1, "1999-03-04", 45.0, None, False), (2, "1999-04-14", 39.5, None, False), (3, "1999-04-28", 34.0, "1999-04-30", True), (4, "1999-05-19", 23.5, None, False), (5, "2000-01-19", 19.0, None, False)]
 
 
-@query()
+@query(f"""
+WITH {CALENDAR}, c AS (SELECT day, is_business, n, max(CASE WHEN is_business THEN day END) OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev, min(CASE WHEN is_business THEN day END) OVER (ORDER BY day ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt FROM cal),
+m AS (SELECT * FROM (VALUES (1, DATE '1999-03-04', 45.0::DOUBLE, NULL::DATE, false), (2, DATE '1999-04-14', 39.5, NULL, false), (3, DATE '1999-04-28', 34.0, DATE '1999-04-30', true), (4, DATE '1999-05-19', 23.5, NULL, false), (5, DATE '2000-01-19', 19.0, NULL, false)) t(number, day, rate, eff, extraordinary)),
+k AS (SELECT m.*, coalesce(eff, nxt) AS effective, is_business, prev AS session_before, CASE WHEN is_business THEN m.day ELSE prev END AS session_day, nxt AS session_after, lag(rate) OVER (ORDER BY m.day) AS previous_rate, lead(m.day) OVER (ORDER BY m.day) AS next_meeting,
+  CASE WHEN extraordinary THEN '' ELSE 'R' || row_number() OVER (PARTITION BY year(m.day), extraordinary ORDER BY m.day) || '/' || year(m.day) END AS code FROM m JOIN c USING (day)),
+f AS (SELECT min(day) AS maturity FROM cal WHERE is_business GROUP BY date_trunc('month', day)),
+s AS (SELECT k.*, (SELECT min(maturity) FROM f WHERE maturity > k.effective) AS short_maturity FROM k),
+d AS (SELECT s.*, cm.n - ca.n AS days_after, cm.n - ce.n AS days_effective, (SELECT count(*) FROM m x WHERE x.day > s.day AND x.day < s.short_maturity) AS meetings_before_maturity FROM s JOIN cal cm ON cm.day = short_maturity JOIN cal ca ON ca.day = session_after JOIN cal ce ON ce.day = effective)
+SELECT number, day, rate, extraordinary, previous_rate, is_business, next_meeting, session_before, session_day, session_after, effective, round(100 * (rate - previous_rate), 1) AS change_bps, code, short_maturity,
+  'DI1' || substr('FGHJKMNQUVXZ', month(short_maturity), 1) || lpad((year(short_maturity) % 100)::VARCHAR, 2, '0') AS short_code, days_after, days_effective, meetings_before_maturity, CASE WHEN days_effective > 0 THEN days_after / days_effective END AS factor, (next_meeting < short_maturity)::INT AS crosses_next, days_effective < 5 AS too_short FROM d""")
 def meeting_calendar(spark, sf):
     m = spark.createDataFrame(MEETINGS, "number int, day string, rate double, effective string, extraordinary boolean").withColumns({"day": F.to_date("day"), "effective": F.to_date("effective")})
-    return cal.meeting_calendar(m, _calendar(spark))
+    return cal.meeting_calendar(m, _calendar(spark)).withColumn("crosses_next", F.col("crosses_next").cast("int"))
 
 
 @query(f"""
