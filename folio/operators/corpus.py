@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranks import with_row_number
+
 
 def one_of_each(rows: DataFrame, keys: list[str | Column], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order."""
@@ -58,23 +60,6 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return one_of_each(both, keys, [F.col("age__")]).drop("age__")
 
 
-def with_row_number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
-    """rows with their number from 0 in the given order (nulls first); equal keys in any order.
-
-    Rows are numbered within ranges of the order, bounded by the keys of least hash, and a range's numbers begin after the
-    rows of those before it. The driver holds a key for each shuffle partition."""
-    key = F.struct(*order)
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = rows.select(*order).orderBy(F.xxhash64(*order), *order).limit(n).collect()
-    types = [rows.schema[c].dataType for c in order]
-    literals = [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(b, types, order, strict=True))) for b in bounds]
-    ranged = rows.withColumn("range__", F.size(F.filter(F.array(*literals), lambda b: b <= key)) if bounds else F.lit(0))
-    counts = ranged.groupBy("range__").agg(F.count("*").alias("n__"))
-    first = counts.select("range__", F.coalesce(F.sum("n__").over(W.orderBy("range__").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("first__"))  # a row for each range
-    own = ranged.withColumn("own__", F.row_number().over(W.partitionBy("range__").orderBy(*order)) - 1)
-    return own.join(F.broadcast(first), "range__").withColumn(name, F.col("first__") + F.col("own__")).drop("range__", "own__", "first__")
-
-
 def with_export_id(rows: DataFrame, slug: Column, order: list[str], name: str = "id", width: int = 6) -> DataFrame:
     """rows with the first letters of the slug and the row's number in the given order (nulls first), which tells all rows apart.
 

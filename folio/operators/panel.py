@@ -1,8 +1,8 @@
-"""Monthly panels: lags, leads, compounding, targets ahead, standard scores."""
+"""Monthly panels: lags, leads, compounding, targets ahead."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -36,11 +36,6 @@ def target_ahead(months: DataFrame, targets: DataFrame, month: str = "month", ye
     return rows.withColumn(name, (12 - F.month(month)) / 12.0 * v0 + F.month(month) / 12.0 * v1).drop("y__", "v0", "v1", "ly", "lv")
 
 
-def z_score(value: Column, over=None, ddof: int = 0) -> Column:
-    w = over if over is not None else W.partitionBy()
-    return (value - F.avg(value).over(w)) / (F.stddev_pop(value) if ddof == 0 else F.stddev_samp(value)).over(w)
-
-
 def last_of_month(rows: DataFrame, day: str, value: str) -> DataFrame:
     """Monthly mean, last non-null value, and number of values."""
     known = F.when(F.col(value).isNotNull(), F.col(day))

@@ -17,7 +17,7 @@ def with_false_dates(rows: DataFrame, day: str, order: list[str], today: Column,
     """rows with false_day: the day moved forward in every other row, back in the others, within the regime and the past.
 
     Rows alternate in the given order; they are numbered within ranges of it, so that no single task sees them all."""
-    from .corpus import with_row_number
+    from .ranks import with_row_number
 
     numbered = with_row_number(rows, order, "row__")
     return numbered.withColumn("false_day", shifted_date(F.col(day), F.col("row__") % 2 == 0, today, years)).drop("row__")

@@ -15,9 +15,10 @@ from ..functions.scores import parsed_answer
 from ..sinks.files import append_ledger, append_lines
 from ..sources.logs import json_lines, scored
 from ..sources.readers import exists
-from .corpus import latest_valid, one_of_each, preferred_first, validated, with_row_number
+from .corpus import latest_valid, one_of_each, preferred_first, validated
 from .index import funnel_by_month
 from .joins import replications
+from .ranks import with_row_number
 from .work import open_units
 
 

@@ -76,7 +76,7 @@ def batches(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
 
 def time_blocks(rows: DataFrame, day: str, key: str, k: int) -> DataFrame:
     """rows with block 0 to k - 1: the range of ranks by day, then key, cut into k parts of equal width."""
-    from .corpus import with_row_number
+    from .ranks import with_row_number
 
     n = rows.agg(F.count("*").alias("all__"))
     ranked = with_row_number(rows, [day, key], "rank__").crossJoin(F.broadcast(n))  # one row

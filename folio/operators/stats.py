@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranks import running_total
+
 
 def correlations(rows: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataFrame:
     """r, its t, n, slope and intercept of y on x, by key; null without spread."""
@@ -16,18 +18,14 @@ def correlations(rows: DataFrame, x: str, y: str, keys: list[str] = ()) -> DataF
     return out.withColumns({"r": r}).withColumn("t", F.try_divide(F.col("r") * F.sqrt(F.col("n") - 2), F.sqrt(1 - F.col("r") * F.col("r"))))
 
 
-def mean_rank(value: str, keys: list[str] = ()) -> Column:
-    """Rank of a value among its key's, ties sharing their mean rank."""
-    return F.rank().over(W.partitionBy(*keys).orderBy(value)) + (F.count("*").over(W.partitionBy(*keys, value)) - 1) / 2.0
-
-
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
-    """Rank correlation. Values are counted first, so ranks are windows over distinct values."""
+    """Rank correlation, ties sharing their mean rank. Values are counted first; ranks are running counts over distinct values, summed
+    within ranges of them."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).count()
 
     def ranks(c: str) -> DataFrame:
-        by = both.groupBy(c).agg(F.sum("count").alias("m"))
-        return by.withColumn(f"rank_{c}", F.sum("m").over(W.orderBy(c)) - (F.col("m") - 1) / 2.0).drop("m")
+        by = running_total(both.groupBy(c).agg(F.sum("count").alias("m")), [c], "m", "upto")
+        return by.select(c, (F.col("upto") - (F.col("m") - 1) / 2.0).alias(f"rank_{c}"))
 
     r = both.join(ranks(x), x).join(ranks(y), y)
     n, a, b = F.col("count"), F.col(f"rank_{x}"), F.col(f"rank_{y}")
@@ -104,19 +102,19 @@ def holm(rows: DataFrame, p: str, family: list[str] = ()) -> DataFrame:
 
 
 def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
-    """Area under the curve from counts by distinct score; ties count half."""
+    """Area under the curve from counts by distinct score, summed within ranges of it; ties count half."""
     by = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(score).agg(F.sum(label).alias("pos"), (F.count("*") - F.sum(label)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    s = by.withColumn("wins", F.col("pos") * (below + F.col("neg") / 2.0)).agg(F.sum("wins").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
+    upto = running_total(by, [score], "neg", "upto")
+    s = upto.withColumn("wins", F.col("pos") * (F.col("upto") - F.col("neg") / 2.0)).agg(F.sum("wins").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return s.select("n_pos", "n_neg", F.try_divide("w", F.col("n_pos") * F.col("n_neg").cast("double")).alias("auc"))
 
 
 def threshold(rows: DataFrame, score: str, label: str, sensitivity: float = 0.95) -> DataFrame:
-    """The largest threshold that keeps the share of positives at or above it, and what it discards."""
-    positive = rows.where(F.col(label) == 1)
-    n = positive.count()
-    k = int((1 - sensitivity) * n + 1e-9) + 1
-    cut = positive.orderBy(score).limit(k).agg(F.max(score).alias("threshold"))  # the k-th least
+    """The largest threshold that keeps the share of positives at or above it, and what it discards. The k-th least score of the
+    positives is found by running counts over distinct scores."""
+    by = rows.where((F.col(label) == 1) & F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("m"))
+    k = by.agg((F.floor(F.sum("m") * F.lit(1 - sensitivity) + F.lit(1e-9)) + 1).alias("k"))
+    cut = running_total(by, [score], "m", "upto").crossJoin(F.broadcast(k)).where("upto >= k").agg(F.min(score).alias("threshold"))
     keep = F.col(score) >= F.col("threshold")
     return rows.crossJoin(F.broadcast(cut)).groupBy("threshold").agg(F.try_divide(F.count_if(keep & (F.col(label) == 1)), F.count_if(F.col(label) == 1)).alias("sensitivity"), F.avg((~keep).cast("int")).alias("discarded"))
 

@@ -83,7 +83,7 @@ def to_send(items: DataFrame, scored: DataFrame, job_items: DataFrame, log: Data
 
 def into_jobs(items: DataFrame, key: str, size: int, name: str) -> DataFrame:
     """items dealt to jobs of at most `size`, by number in the order of the key; each job's lines have one destination."""
-    from .corpus import with_row_number
+    from .ranks import with_row_number
 
     numbered = with_row_number(items, [key], "row__")
     return numbered.withColumn("job", F.concat(F.lit(f"{name}-"), F.floor(F.col("row__") / size).cast("string"))).drop("row__")

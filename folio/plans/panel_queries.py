@@ -12,6 +12,7 @@ from ..operators import curves as cv
 from ..operators import index as ix
 from ..operators import panel as pn
 from ..operators import stats as st
+from ..operators.ranks import with_standard_score
 from .index_queries import HASH60
 from .tables import DAILY, ITEMS, MONTHLY, daily_value, items, monthly_price, rounded, table
 
@@ -341,8 +342,8 @@ def monthly_resampled(spark, sf):
 
 @query(f"WITH {MONTHLY} SELECT month, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 6) AS z0, round((x - avg(x) OVER ()) / stddev_samp(x) OVER (), 6) AS z1 FROM monthly")
 def standard_scores(spark, sf):
-    x = F.col("x")
-    return rounded(monthly_price(spark, sf).select("month", pn.z_score(x).alias("z0"), pn.z_score(x, ddof=1).alias("z1")))
+    both = with_standard_score(with_standard_score(monthly_price(spark, sf), "x", "z0"), "x", "z1", ddof=1)
+    return rounded(both.select("month", "z0", "z1"))
 
 
 @query("""

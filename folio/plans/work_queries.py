@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as dt
 from ..functions import text
 from ..functions.ids import in_holdout
-from ..operators import corpus, probe, sampling, validation, work
+from ..operators import corpus, probe, ranks, sampling, validation, work
 from ..operators import index as ix
 from ..operators import relations as rl
 from ..operators import stats as st
@@ -528,7 +528,7 @@ def annotation_sheets(spark, sf):
     d, out = table(spark, sf, "documents").select("doc_id", "lang", "source"), None
     for who, sheet in sampling.annotation_sheets(d, "doc_id", ["source"], ["d1"], ["ana", "rui"]).items():
         path = shared_folder(spark, f"sheet-{who}")
-        corpus.with_row_number(sheet.withColumn("o__", sampling.rank_key(F.col("doc_id"), who)), ["o__", "doc_id"], "place").drop("o__").write.option("header", True).csv(path)
+        ranks.with_row_number(sheet.withColumn("o__", sampling.rank_key(F.col("doc_id"), who)), ["o__", "doc_id"], "place").drop("o__").write.option("header", True).csv(path)
         back = spark.read.option("header", True).csv(path).select(F.lit(who).alias("who"), F.col("doc_id").cast("long").alias("doc_id"), "lang", F.coalesce("d1", F.lit("")).alias("d1"), (F.col("place").cast("long") + 1).alias("place"))
         out = back if out is None else out.union(back)
     return out
