@@ -110,26 +110,27 @@ def url_unwrapped(spark, sf):
 
 
 @query(r"""
-WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '<p[^>]*>((?s:.*?))</p>', 1)) AS p FROM pages),
-q AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS p FROM p)
-SELECT page_id, count(*) AS n, sum(length(p))::BIGINT AS chars FROM q WHERE length(p) >= 60 GROUP BY page_id""")
+WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '<p[^>]*>((?s:.*?))</p>', 1)) AS p, generate_subscripts(regexp_extract_all(html, '<p[^>]*>((?s:.*?))</p>', 1), 1) AS k FROM pages),
+q AS (SELECT page_id, k, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(p, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) AS p FROM p)
+SELECT page_id, count(*) AS n, md5(string_agg(p, chr(10) ORDER BY k)) AS h FROM q WHERE length(p) >= 60 GROUP BY page_id""")
 def html_paragraphs(spark, sf):
-    found = table(spark, sf, "pages").select("page_id", F.explode(text.html_paragraphs(F.col("html"))).alias("p"))
-    return found.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("p")).alias("chars"))
+    found = table(spark, sf, "pages").select("page_id", text.html_paragraphs(F.col("html")).alias("ps")).where(F.size("ps") > 0)
+    return found.select("page_id", F.size("ps").cast("long").alias("n"), F.md5(F.array_join("ps", "\n")).alias("h"))
 
 
-@query(r"""SELECT doc_id, len(list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: length(p) >= 60)) AS n FROM documents""")
+@query(r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda p: trim(p)), lambda p: length(p) >= 60) AS ps FROM documents) SELECT doc_id, len(ps) AS n, md5(array_to_string(ps, chr(10))) AS h FROM p""")
 def text_paragraphs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.size(text.paragraphs(F.col("text"))).alias("n"))
+    found = table(spark, sf, "documents").select("doc_id", text.paragraphs(F.col("text")).alias("ps"))
+    return found.select("doc_id", F.size("ps").cast("long").alias("n"), F.md5(F.array_join("ps", "\n")).alias("h"))
 
 
-@query("""SELECT doc_id, true AS joins_back, true AS long_enough FROM documents""")
+@query(r"""
+WITH s AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '([.!?]) +', '\1' || chr(1), 'g'), chr(1)) AS s FROM documents),
+r AS (SELECT doc_id, list_reduce(list_transform(s, lambda x: {'done': []::VARCHAR[], 'last': x}), lambda a, b: CASE WHEN length(a.last) >= 220 THEN {'done': list_append(a.done, a.last), 'last': b.last} ELSE {'done': a.done, 'last': a.last || ' ' || b.last} END) AS r FROM s),
+p AS (SELECT doc_id, list_filter(list_append(r.done, r.last), lambda x: x <> '') AS ps FROM r) SELECT doc_id, len(ps) AS n, md5(array_to_string(ps, chr(10))) AS h FROM p""")
 def text_regrouped(spark, sf):
-    one = F.regexp_replace("text", r"\s+", " ")
-    parts = text.regrouped_sentences(one)
-    long_ = F.forall(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.length(p) >= 220)
-    back = F.regexp_replace(F.array_join(parts, " "), " +", " ") == F.regexp_replace(one, r"(?<=[.!?]) +", " ")
-    return table(spark, sf, "documents").select("doc_id", back.alias("joins_back"), long_.alias("long_enough"))
+    found = table(spark, sf, "documents").select("doc_id", text.regrouped_sentences(F.regexp_replace("text", r"\s+", " ")).alias("ps"))
+    return found.select("doc_id", F.size("ps").cast("long").alias("n"), F.md5(F.array_join("ps", "\n")).alias("h"))
 
 
 @query("""
@@ -140,26 +141,31 @@ def prompt_messages(spark, sf):
     return c.select("conv_id", F.concat_ws("\n", F.transform("t", lambda x: x["s"])).alias("message"), "n")
 
 
-ANSWERS = [
-    (1, '```json\n{"d1": 4, "d2": null, "d3": 2}\n```'), (2, '{""d1"": ""3"", ""d2"": 5}'), (3, '{"d1": 4.0}'), (4, '{"d1": 4.5}'), (5, '{"d1": true}'), (6, '{"d1": 7}'), (7, '{"d2": 3}'),
-    (8, '{"d1": null, "d2": 1}'), (9, "no object"), (10, None),
-]
+ANSWERED = """a AS (SELECT o_orderkey AS id, (o_orderkey % 10)::INT AS k, (o_custkey % 9)::INT AS v FROM orders), b AS (SELECT *, v BETWEEN 1 AND 5 AS ok FROM a)"""
 
 
-@query("""
-SELECT * FROM (VALUES (1, 4, false, NULL, 2, true), (2, 3, false, 5, NULL, true), (3, 4, false, NULL, NULL, true), (4, NULL, false, NULL, NULL, false), (5, NULL, false, NULL, NULL, false), (6, NULL, false, NULL, NULL, false),
-  (7, NULL, false, NULL, NULL, false), (8, NULL, true, 1, NULL, true), (9, NULL, false, NULL, NULL, false), (10, NULL, false, NULL, NULL, false)) t(id, d1, d1_no_signal, d2, d3, valid)""")
-def parsed_answers(spark, sf):
-    got = spark.createDataFrame(ANSWERS, "id int, s string").select("id", scores.parsed_answer(F.col("s")).alias("a")).select("id", "a.*")
-    return got.withColumn("d1_no_signal", F.coalesce("d1_no_signal", F.lit(False)))
+def _answers(spark, sf):
+    """(id, s): an answer of one of ten forms for each order, with a value of 0 to 8."""
+    v = (F.col("o_custkey") % 9).cast("string")
+    form = lambda t: F.concat(*(x for i, part in enumerate(t.split("@")) for x in ([v] if i else []) + [F.lit(part)]))
+    forms = [form(t) for t in ('```json\n{"d1": @, "d2": null, "d3": 2}\n```', '{""d1"": ""@"", ""d2"": 5}', '{"d1": @.0}', '{"d1": @.5}', '{"d1": true, "d2": @}', 'Resposta: {"d1": @, "d2": @, "d3": @} fim', '{"d2": @}', '{"d1": null, "d2": @}', "@ no object")]
+    pick = F.element_at(F.array(*forms, F.lit(None).cast("string")), (F.col("o_orderkey") % 10 + 1).cast("int"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), pick.alias("s"))
 
 
-BATCH = "1|4|3|-\n2|S|-|-\n[3] | 2 | 2 | 1\n4|7|-|-\nlixo\n2|5|5|5"
+@query(f"""
+WITH {ANSWERED} SELECT id, CASE WHEN ok AND k IN (0, 1, 2, 5) THEN v END AS d1, k = 7 AS d1_no_signal, CASE WHEN k = 1 AND ok THEN 5 WHEN k IN (5, 7) AND ok THEN v END AS d2, CASE WHEN k = 0 AND ok THEN 2 WHEN k = 5 AND ok THEN v END AS d3, (ok AND k IN (0, 1, 2, 5)) OR k = 7 AS valid FROM b""")
+def parsed_answers(spark, sf):
+    got = _answers(spark, sf).select("id", scores.parsed_answer(F.col("s")).alias("a")).select("id", "a.*")
+    return got.withColumn("d1_no_signal", F.coalesce("d1_no_signal", F.lit(False)))
 
 
-@query("SELECT * FROM (VALUES (1, 4, 3, NULL, false), (2, NULL, NULL, NULL, true), (3, 2, 2, 1, false)) t(place, d1, d2, d3, no_signal)")
+@query("""WITH c AS (SELECT c_custkey AS id, (c_custkey % 5 + 1)::INT AS a, (c_nationkey % 8 + 1)::INT AS b FROM customer)
+SELECT id, 1 AS place, a AS d1, 3 AS d2, NULL::INT AS d3, false AS no_signal FROM c UNION ALL SELECT id, 2, NULL, NULL, NULL, true FROM c UNION ALL SELECT id, 3, b, 2, a, false FROM c WHERE b <= 5""")
 def parsed_batches(spark, sf):
-    return spark.createDataFrame([(BATCH,)], "s string").select(F.inline(scores.parsed_batch(F.col("s"), F.lit(5))))
+    a, b = (F.col("c_custkey") % 5 + 1).cast("string"), (F.col("c_nationkey") % 8 + 1).cast("string")
+    lines = F.concat(F.lit("1|"), a, F.lit("|3|-\n2|S|-|-\n[3] | "), b, F.lit(" | 2 | "), a, F.lit("\n4|7|-|-\nlixo\n2|5|5|5\n9|1|1|1"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.inline(scores.parsed_batch(lines, F.lit(5))))
 
 
 @query("""SELECT event_id, event_type, ('{"d1": ' || (props::JSON->>'k') || '}') AS raw, CASE WHEN (props::JSON->>'k')::INT BETWEEN 1 AND 5 THEN (props::JSON->>'k')::INT END AS d1 FROM events""")
@@ -255,12 +261,8 @@ def consecutive_runs(spark, sf):
     return cal.run_lengths(f, ["k"], "month", "high").select("month", "high", "run")
 
 
-CURVE = "curve AS (SELECT * FROM (VALUES ('a', 1, 14.9), ('a', 252, 12.735), ('a', 504, 12.4), ('b', 100, 5.0), ('b', 100, 7.0), ('b', 300, 6.5)) t(c, du, rate))"
-TENORS = [1, 126, 252, 378, 504, 600]
-
-
-def _curve(spark):
-    return spark.createDataFrame([("a", 1, 14.9), ("a", 252, 12.735), ("a", 504, 12.4), ("b", 100, 5.0), ("b", 100, 7.0), ("b", 300, 6.5)], "c string, du int, rate double")
+CURVE = "curve AS (SELECT p_brand AS c, (p_size * 21)::INT AS du, p_retailprice / 100 AS rate FROM part)"
+TENORS = [1, 126, 252, 378, 504, 600, 5000]
 
 
 @query(f"""
@@ -270,15 +272,16 @@ SELECT b.c, tenor AS "at", round(CASE WHEN lo = hi THEN l.rate ELSE (exp((l.f +
 FROM b LEFT JOIN p l ON l.c = b.c AND l.du = lo LEFT JOIN p h ON h.c = b.c AND h.du = hi
 UNION ALL SELECT c, -1, max(du)::DOUBLE FROM curve GROUP BY c""")
 def curve_vertices(spark, sf):
-    return rounded(cv.vertices(_curve(spark), spark.createDataFrame([(t,) for t in TENORS], "at int"), ["c"]))
+    curve = table(spark, sf, "part").select(F.col("p_brand").alias("c"), (F.col("p_size") * 21).cast("int").alias("du"), (F.col("p_retailprice") / 100).alias("rate"))
+    return rounded(cv.vertices(curve, spark.createDataFrame([(t,) for t in TENORS], "at int"), ["c"]))
 
 
 @query("""
-WITH t AS (SELECT unnest([0.5, 1, 2, 5, 10])::DOUBLE AS t)
-SELECT t, round(0.12 + -0.02 * (1 - exp(-0.8 * t)) / (0.8 * t) + 0.01 * ((1 - exp(-0.8 * t)) / (0.8 * t) - exp(-0.8 * t)) + 0.005 * ((1 - exp(-0.3 * t)) / (0.3 * t) - exp(-0.3 * t)), 9) AS yield FROM t""")
+WITH t AS (SELECT p_partkey, p_size / 10.0::DOUBLE AS t FROM part)
+SELECT p_partkey, round(0.12 + -0.02 * (1 - exp(-0.8 * t)) / (0.8 * t) + 0.01 * ((1 - exp(-0.8 * t)) / (0.8 * t) - exp(-0.8 * t)) + 0.005 * ((1 - exp(-0.3 * t)) / (0.3 * t) - exp(-0.3 * t)), 9) AS yield FROM t""")
 def svensson_yields(spark, sf):
-    t = spark.createDataFrame([(x,) for x in (0.5, 1.0, 2.0, 5.0, 10.0)], "t double")
-    return rounded(t.select("t", fm.svensson(F.col("t"), *(F.lit(x) for x in (0.12, -0.02, 0.01, 0.005, 0.8, 0.3))).alias("yield")), 9)
+    t = F.col("p_size") / 10.0
+    return rounded(table(spark, sf, "part").select("p_partkey", fm.svensson(t, *(F.lit(x) for x in (0.12, -0.02, 0.01, 0.005, 0.8, 0.3))).alias("yield")), 9)
 
 
 @query(f"""
@@ -412,9 +415,12 @@ def newey_west(spark, sf):
     return rounded(st.hac_ols(s, "month", "x", ["trend"]).where("term = 'trend'").select("term", "coef", "se", "n"))
 
 
-@query("SELECT * FROM (VALUES ('a', 1, 0.01, 0.03), ('a', 2, 0.04, 0.06), ('a', 3, 0.03, 0.06), ('b', 1, 0.7, 1.0), ('b', 2, 0.6, 1.0)) t(f, k, p, p_holm)")
+@query("""WITH p AS (SELECT c_mktsegment AS f, c_nationkey AS k, (sum(c_custkey) % 997)::DOUBLE / 9970 AS p FROM customer GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p) AS i, count(*) OVER (PARTITION BY f) AS m FROM p)
+SELECT a.f, a.k, round(a.p, 6) AS p, round(least(1, max((b.m - b.i + 1) * b.p)), 6) AS p_holm FROM r a JOIN r b ON a.f = b.f AND b.i <= a.i GROUP BY a.f, a.k, a.p""")
 def holm_correction(spark, sf):
-    return rounded(st.holm(spark.createDataFrame([("a", 1, 0.01), ("a", 2, 0.04), ("a", 3, 0.03), ("b", 1, 0.7), ("b", 2, 0.6)], "f string, k int, p double"), "p", ["f"]))
+    p = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("f"), F.col("c_nationkey").alias("k")).agg(((F.sum("c_custkey") % 997).cast("double") / 9970).alias("p"))
+    return rounded(st.holm(p, "p", ["f"]))
 
 
 SCORED = f"s AS (SELECT quality AS y, 0.6 * {HASH60.format(chr(39) + 'm' + chr(39) + ' || doc_id')} + 0.4 * quality AS p FROM labels)"
