@@ -5,9 +5,15 @@ documents. A packed R-tree over points, its nodes on COARSE sums of neighbouring
 pairs that the bound allows; those are verified on the texts.
 
 One tree over everything can't prune: at similarity 0.9 a query's radius spans the whole of almost every coordinate. So documents are
-routed to trees by cells that no linked pair can miss: in any one order of all shingles, two linked documents share one of
-their first n - ceil(s * n) + 1 (n: shingles, s: the similarity). Each of those is a cell, and each cell with two documents or more has
-a tree. Cells only route: every pair comes out of a tree. The order puts the most frequent shingles last, so a line or passage that many
+routed to trees by cells that no linked pair can miss; each cell with two documents or more has a tree. Cells only route:
+every pair comes out of a tree. There are two kinds.
+
+Blocks: for documents of a size class, shingles are dealt to one block more than two linked documents can differ in (and SPARE more), so
+on some block that isn't empty they agree. Equal blocks are a cell. A block is a good key if it holds several shingles, so
+this is for high similarities (BLOCK).
+
+Prefixes: in any one order of all shingles, two linked documents share one of their first n - ceil(s * n) + 1 (n: shingles, s: the
+similarity). Each of those is a cell. The order puts the most frequent shingles last, so a line or passage that many
 documents share is no cell of theirs as long as they have enough else.
 
 Rounds. In the first two a tree is searched for one member at a time, and what is found is taken out of the search, so that a group of
@@ -32,7 +38,9 @@ from .suffix_dedup import id_key, multikey_order
 
 #: Coordinates of a point, and of the nodes above the leaves.
 GROUPS, COARSE = 512, 64
-#: Cells of a document that the first round takes.
+#: Shingles of a block, about, from which on blocks route instead of prefixes; blocks that may be empty; ratio between size classes.
+BLOCK, SPARE, CLASS = 6, 2, 1.5
+#: Cells by prefix of a document that the first round takes.
 EARLY = 4
 #: Shingles that the order puts last, at most: those that make up 1 / HOT of all shingles each, or more. What else is frequent costs
 #: time, not results. They are sent to all tasks, 12 bytes each. Shingles that are counted at a time to find them.
@@ -55,11 +63,26 @@ class Similarity:
 
     def __init__(self, words: int, num: int, den: int):
         self.words, self.num, self.den = words, num, den
+        self.bounds = [1]
+        while self.bounds[-1] < 1 << 40:
+            self.bounds.append(int(self.bounds[-1] * CLASS) + 1)
+        #: Blocks of each class; 0 where only equal sets can be linked.
+        self.blocks = [0 if self.apart(2 * b) == 0 else self.apart(2 * b) + 1 + SPARE for b in self.bounds]
+        self.by_blocks = self.den + self.num >= 2 * BLOCK * (self.den - self.num)
 
     def overlap(self, total):
         """Least intersection of two linked sets whose sizes sum to total."""
         return -(-self.num * total // (self.den + self.num))
 
+    def apart(self, total: int) -> int:
+        """Most shingles in one, but not both, of two linked sets whose sizes sum to total or less."""
+        return max(t - 2 * self.overlap(t) for t in range(max(0, total - 2 * self.den), total + 1))
+
+    def classes(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of a set's size and of the largest set that it can be linked with."""
+        bounds = np.array(self.bounds)
+        return np.searchsorted(bounds, n), np.searchsorted(bounds, n * self.den // self.num)
+
     def prefix(self, n):
         """How many of the first shingles of a set of n to look at; none where only equal sets can be linked."""
         return np.where(n * (self.den - self.num) >= self.num, n + (-self.num * n // self.den) + 1, 0)
@@ -120,6 +143,35 @@ def prefixes(sets: list[np.ndarray], like: Similarity, hot: np.ndarray) -> tuple
     return row[keep], flat[order][keep], place[keep]
 
 
+def blocks(sets: list[np.ndarray], like: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """(set, cell) of the equal blocks."""
+    size = np.array([len(s) for s in sets], np.int64)
+    own, upper = like.classes(size)
+    flat = mix(np.concatenate(sets) * _B) if sets else np.zeros(0, np.uint64)
+    numbers = np.array(like.blocks, np.int64)
+    out_set, out_cell = [], []
+    for level_of in range(int((upper - own).max(initial=0)) + 1):
+        level = own + level_of
+        k = np.where(level <= upper, numbers[np.minimum(level, len(numbers) - 1)], 0)
+        first = np.cumsum(np.concatenate(([0], k)))
+        use = np.repeat(k > 0, size)
+        row = np.repeat(np.arange(len(sets)), size)[use]
+        h = flat[use]
+        block = ((h >> np.uint64(32)) * k[row].astype(np.uint64)) >> np.uint64(32)
+        at = first[row] + block.astype(np.int64)
+        total = np.zeros(first[-1], np.uint64)
+        np.add.at(total, at, mix(h * _A))
+        count = np.bincount(at, minlength=first[-1])
+        of = np.repeat(np.arange(len(sets)), k)
+        empties = np.bincount(of, weights=count == 0, minlength=len(sets))
+        emit = (count > 0) | (empties[of] > SPARE)
+        place = np.arange(first[-1]) - first[of]
+        cell = mix(mix(total + _B) + (level[of] * (1 << 40) + place).astype(np.uint64) * _A)
+        out_set.append(of[emit])
+        out_cell.append(cell[emit])
+    return np.concatenate(out_set), np.concatenate(out_cell)
+
+
 class CountTree:
     """Packed R-tree over points: leaves of LEAF neighbours in the order of size and coordinates, nodes with the maxima of
     each coarse coordinate and the least size. A search goes into the nodes whose summed minima allow an overlap that links, and
@@ -176,6 +228,8 @@ def _features(docs: DataFrame, like: Similarity) -> DataFrame:
                 keys = set_keys(sets).view(np.int64)
                 none = pa.nulls(len(sets), pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, len(sets)), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), none], names=["id", "set", "n", "seen"])
+                if like.by_blocks:
+                    continue
                 lot.update(zip(keys.tolist(), sets, strict=True))
                 size += sum(map(len, sets))
                 if size >= COUNTED:
@@ -220,8 +274,14 @@ def _members(docs: DataFrame, like: Similarity, hot: np.ndarray) -> DataFrame:
                         seen.add(key)
                         new.append(i)
                 if new:
-                    of, cell, place = prefixes([sets[i] for i in new], like, sent.value)
-                    yield _rows(cell.view(np.int64), keys[new][of].view(np.int64), place < EARLY)
+                    some = [sets[i] for i in new]
+                    if like.by_blocks:
+                        of, cell = blocks(some, like)
+                        early = np.ones(len(of), bool)
+                    else:
+                        of, cell, place = prefixes(some, like, sent.value)
+                        early = place < EARLY
+                    yield _rows(cell.view(np.int64), keys[new][of].view(np.int64), early)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, member, early = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -497,7 +557,7 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     null. Rows that share an id are told apart by their text. No rows give no rows.
 
     Sets are compared as sets of 64-bit hashes and named by one; at 10**9 distinct sets the chance that any two share a name is 3 %.
-    Exchanges: (cell, set), 17 bytes, for about 0.1 (at 0.9) or 0.2 (at 0.8) of the distinct shingles; the texts once, to
+    Exchanges: (cell, set), 17 bytes, for about 0.2 of the distinct shingles (at 0.9 by blocks, at 0.8 by prefixes); the texts once, to
     keep those of documents that share a cell; points of the members of cells, 256 bytes mostly; two texts a pair to verify. Copies in a
     batch are one before the first exchange. A text is handled whole, however long: its shingles are held once by a task. Each
     round's tables are written to the shared folder and deleted after it.
@@ -507,7 +567,7 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     features = written(_features(body, like), "features")
     rows = features.where("seen is null").drop("seen")
     sets = written(rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id")), "sets")
-    members = written(_members(body, like, _hot(features)), "cells")
+    members = written(_members(body, like, np.zeros(0, np.uint64) if like.by_blocks else _hot(features)), "cells")
     inside = written(members.select("set").distinct().join(sets, "set").select(F.col("set"), id_key(F.col("id")).alias("least")), "inside")
     texts = written(_with_set(body.hint("merge").join(inside, id_key(F.col("id")) == F.col("least")).select("set", "text"), like), "texts")
     at = written(_points(texts, like), "points")

@@ -24,9 +24,11 @@ def corpus(seed, n=150):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "words", "num", "den"), [(1, 3, 90, 100), (2, 5, 8, 10), (3, 1, 8, 10)])
-def test_against_brute_force(spark, seed, words, num, den, monkeypatch):
+@pytest.mark.parametrize(("seed", "words", "num", "den", "block"), [(1, 3, 90, 100, J.BLOCK), (2, 5, 8, 10, J.BLOCK), (3, 1, 8, 10, 1), (4, 3, 90, 100, 1000)])
+def test_against_brute_force(spark, seed, words, num, den, block, monkeypatch):
     monkeypatch.setattr(J, "TREE_BLOCK", 4)
+    monkeypatch.setattr(J, "BLOCK", block)
+    assert J.Similarity(words, num, den).by_blocks == (seed in (1, 3))
     docs = [*corpus(seed), (2000, None), (2001, ""), (2002, " \n")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.linked_groups(df, words, num, den).collect()}
@@ -85,6 +87,8 @@ def test_linked_sets_share_a_cell():
             both = len(np.intersect1d(a, b))
             hot = rng.permutation(np.concatenate([a[: n // 2], b[: n // 3]]))
             if 100 * both >= 90 * (len(a) + len(b) - both) and set(a.tolist()) != set(b.tolist()):
+                of, cell = J.blocks([np.sort(a), np.sort(b)], like)
+                assert set(cell[of == 0].tolist()) & set(cell[of == 1].tolist())
                 for last in (np.zeros(0, np.uint64), np.unique(hot)):
                     of, cell, place = J.prefixes([np.sort(a), np.sort(b)], like, last)
                     assert set(cell[of == 0].tolist()) & set(cell[of == 1].tolist())
