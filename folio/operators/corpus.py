@@ -75,3 +75,9 @@ def labelled_by(rows: DataFrame, decisions: DataFrame, key: str) -> DataFrame:
     from .relations import left_with_default
 
     return left_with_default(rows, decisions, key, "decision", "labelled")
+
+
+def silver_labels(log: DataFrame, key: str, item: str, at: str, score: str) -> DataFrame:
+    """Scores to learn from: the last line with a score of each cache key, then of each item."""
+    once = latest_valid(log, key, at, F.col(score).isNotNull())
+    return one_of_each(once, [item], [F.col(at).desc(), F.col(key)])

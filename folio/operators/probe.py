@@ -97,3 +97,22 @@ def same_conclusions(table: DataFrame, first: str, second: str, variant: str = "
     side = lambda v, n: table.where(F.col(variant) == v).select(rival, F.col(coef).alias(f"b_{n}"), F.col(p).alias(f"p_{n}"))
     j = side(first, "first").join(side(second, "second"), rival)
     return j.withColumn("same", ((F.col("p_first") < alpha) == (F.col("p_second") < alpha)) & (F.signum("b_first") == F.signum("b_second")))
+
+
+def battery_sample(items: DataFrame, day: str, key: str, strata: list[tuple[str, str, str]], n: int, seed: str, today: Column) -> DataFrame:
+    """n items of each stratum by least hash, with their stratum, whether their day lies in one, and a false day in the order of the key."""
+    from .sampling import per_stratum
+
+    kept = labelled_intervals(items, F.col(day), strata, "stratum").where("stratum is not null")
+    return with_false_dates(per_stratum(kept, "stratum", key, n, seed), day, [key], today)
+
+
+def time_probe(log: DataFrame, items: DataFrame, key: str, strata: list[tuple[str, str, str]]) -> DataFrame:
+    """year_probe() of a log of answers (key, level, at, answer, error) to the question of a text's year: of each item and level the last
+    answer without an error; items: key, day."""
+    from ..functions.scores import parsed_year
+    from .corpus import one_of_each
+
+    last = one_of_each(log.where("error is null"), [key, "level"], [F.col("at").desc()])
+    guesses = last.join(items.select(key, "day"), key).select("level", "day", parsed_year(F.col("answer")).alias("guess"))
+    return year_probe(guesses, strata)

@@ -140,3 +140,39 @@ def rate_surprises(meetings: DataFrame, rates: DataFrame, most: int = 7) -> Data
 
     found = around(meetings.select("day").distinct(), rates, "day", "value", most)
     return meetings.join(found.select("day", (100 * (F.col("after") - F.col("before"))).alias("surprise")), "day", "left")
+
+
+def discriminant_verdict(explained: DataFrame, anchors: DataFrame, index: str, market: list[str], most: float = 0.8, alpha: float = 0.05) -> DataFrame:
+    """One row: what the controls explain of an index, the market anchors that it moves (positive, significant), and passed: less than
+    `most` is explained and at least one anchor is moved."""
+    moved = F.array_sort(F.collect_set(F.when(F.col("anchor").isin(market) & (F.col("c") > 0) & (F.col("p") < alpha), F.col("anchor"))))
+    found = anchors.where(F.col("index") == index).agg(moved.alias("moved"))
+    return explained.where(F.col("index") == index).select("r2").crossJoin(F.broadcast(found)).withColumn("passed", (F.col("r2") < most) & (F.size("moved") > 0))
+
+
+def predictive_verdict(table: DataFrame, index: str, target: str, h: int = 6, alpha: float = 0.05) -> DataFrame:
+    """One row: slope and p-value of the primary target at a horizon, and passed: positive and significant; the targets' corrected
+    p-values beside it."""
+    at = table.where((F.col("index") == index) & (F.col("h") == h))
+    corrected = F.map_from_entries(F.array_sort(F.collect_list(F.struct("target", "p_holm")))).alias("p_holm")
+    own = F.col("target") == target
+    out = at.agg(F.max(F.when(own, F.col("b"))).alias("b"), F.max(F.when(own, F.col("p"))).alias("p"), corrected)
+    return out.withColumn("passed", F.coalesce((F.col("b") > 0) & (F.col("p") < alpha), F.lit(False)))
+
+
+def compared_curves(ours: DataFrame, official: DataFrame, keys: list[str], names: list[str], day: str = "day") -> DataFrame:
+    """By curve and tenor (keys and the columns `names`): n, mean and largest absolute difference, and correlation over the days of both."""
+    long_ = lambda df: df.select(day, *keys, F.explode(F.create_map(*(x for n in names for x in (F.lit(n), F.col(n))))).alias("curve", "value")).where("value is not null")
+    j = long_(ours).withColumnRenamed("value", "a").join(long_(official).withColumnRenamed("value", "b"), [day, *keys, "curve"])
+    gap = F.col("a") - F.col("b")
+    return j.groupBy("curve", *keys).agg(F.count("*").alias("n"), F.avg(gap).alias("mean_diff"), F.max(F.abs(gap)).alias("max_abs_diff"), F.corr("a", "b").alias("r"))
+
+
+def validated_index(panel: DataFrame, order: str, gap: str, surprise: str, variants: list[str], rivals: list[str]) -> dict[str, DataFrame]:
+    """The whole validation of an index: the latent weight of the state-space model, what encompasses what, and the verdict by variant."""
+    from .probe import survival
+    from .stats import latent_weight
+
+    latent = latent_weight(panel.where(F.col(gap).isNotNull() | F.col(surprise).isNotNull()), order, gap, surprise)
+    table = encompassing(panel.join(latent.select(order, F.col("smoothed").alias("latent__")), order), order, "latent__", variants, rivals)
+    return {"latent": latent, "encompassing": table, "verdict": survival(table)}

@@ -160,6 +160,14 @@ def parsed_answers(spark, sf):
     return got.withColumn("d1_no_signal", F.coalesce("d1_no_signal", F.lit(False)))
 
 
+@query(f"""
+WITH {ANSWERED}, s AS (SELECT id, o_orderstatus AS variant, CASE WHEN k = 7 THEN 3 WHEN ok AND k IN (0, 1, 2, 5) THEN v END AS d1 FROM b JOIN orders ON o_orderkey = id) SELECT variant, count(*) AS n, sum(d1)::BIGINT AS total FROM s WHERE d1 IS NOT NULL GROUP BY 1""")
+def neutral_scores(spark, sf):
+    status = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("variant"))
+    got = _answers(spark, sf).select("id", scores.parsed_answer(F.col("s"), neutral_null=True)["d1"].alias("d1")).join(status, "id").where("d1 is not null")
+    return got.groupBy("variant").agg(F.count("*").alias("n"), F.sum("d1").alias("total"))
+
+
 @query("""WITH c AS (SELECT c_custkey AS id, (c_custkey % 5 + 1)::INT AS a, (c_nationkey % 8 + 1)::INT AS b FROM customer)
 SELECT id, 1 AS place, a AS d1, 3 AS d2, NULL::INT AS d3, false AS no_signal FROM c UNION ALL SELECT id, 2, NULL, NULL, NULL, true FROM c UNION ALL SELECT id, 3, b, 2, a, false FROM c WHERE b <= 5""")
 def parsed_batches(spark, sf):

@@ -765,3 +765,61 @@ def production_run(spark, sf):
 class _Everything:
     def __contains__(self, x):
         return True
+
+
+@query("""WITH l AS (SELECT o_custkey % 700 AS item, o_custkey AS key, o_orderkey AS t, CASE WHEN o_orderstatus <> 'P' THEN substr(o_orderpriority, 1, 1)::INT END AS d1 FROM orders),
+k AS (SELECT * FROM l WHERE d1 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY t DESC) = 1) SELECT item, key, d1 FROM k QUALIFY row_number() OVER (PARTITION BY item ORDER BY t DESC, key) = 1""")
+def silver_labels(spark, sf):
+    score = F.when(F.col("o_orderstatus") != "P", F.substring("o_orderpriority", 1, 1).cast("int"))
+    log = table(spark, sf, "orders").select((F.col("o_custkey") % 700).alias("item"), F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("at"), score.alias("d1"))
+    return corpus.silver_labels(log, "key", "item", "at", "d1").select("item", "key", "d1")
+
+
+STRATA_SQL = "s AS (SELECT o_orderkey, o_orderdate::DATE AS day, CASE WHEN o_orderdate::DATE BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' THEN 'first' WHEN o_orderdate::DATE BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' THEN 'middle' WHEN o_orderdate::DATE BETWEEN DATE '2000-01-01' AND DATE '2001-12-31' THEN 'last' END AS stratum FROM orders)"
+
+
+@query(f"""WITH {STRATA_SQL}, p AS (SELECT * FROM s WHERE stratum IS NOT NULL QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY sha256('b' || o_orderkey), o_orderkey) <= 40), r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS k FROM p),
+c AS (SELECT *, CASE WHEN k % 2 = 0 THEN day + INTERVAL 60 MONTH ELSE day - INTERVAL 60 MONTH END AS one, CASE WHEN k % 2 = 0 THEN day - INTERVAL 60 MONTH ELSE day + INTERVAL 60 MONTH END AS two FROM r)
+SELECT o_orderkey, stratum, (CASE WHEN one BETWEEN DATE '1999-07-01' AND DATE '2004-12-02' THEN one WHEN two BETWEEN DATE '1999-07-01' AND DATE '2004-12-02' THEN two ELSE least(greatest(two, DATE '1999-07-01'), DATE '2004-12-02') END)::DATE AS false_day FROM c""")
+def battery_sample(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", _day("o_orderdate").alias("day"))
+    return probe.battery_sample(o, "day", "o_orderkey", EPISODES, 40, "b", F.to_date(F.lit("2005-01-01"))).select("o_orderkey", "stratum", "false_day")
+
+
+@query("""WITH a AS (SELECT o_orderkey AS k, o_orderdate::DATE AS day, 'L' || (o_orderkey % 3 + 1) AS level, year(o_orderdate) + (o_orderkey % 3) * (o_custkey % 5 - 2) AS guess FROM orders),
+e AS (SELECT *, CASE WHEN day BETWEEN DATE '1995-01-01' AND DATE '1996-06-30' THEN 1 WHEN day BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' THEN 2 WHEN day BETWEEN DATE '2000-01-01' AND DATE '2001-12-31' THEN 3 END AS r,
+  CASE WHEN guess = 1995 THEN 1 WHEN guess BETWEEN 1997 AND 1998 THEN 2 WHEN guess BETWEEN 2000 AND 2001 THEN 3 END AS s FROM a),
+p AS (SELECT level, count(*) AS n, avg(abs(guess - year(day))) AS mean_error, avg((r = s)::INT) AS accuracy FROM e GROUP BY 1)
+SELECT level, n, round(mean_error, 6) AS mean_error, round(accuracy, 6) AS accuracy, round(1 / 3.0::DOUBLE, 6) AS by_chance, mean_error >= 4 AND (accuracy IS NULL OR accuracy <= 0.25) AS blind FROM p""")
+def time_probe(spark, sf):
+    k, y = F.col("o_orderkey"), F.year("o_orderdate")
+    o = table(spark, sf, "orders")
+    answer = F.concat(F.lit('{"ano_estimado": '), y + (k % 3) * (F.col("o_custkey") % 5 - 2), F.lit("}"))
+    one = o.select(k.alias("k"), F.concat(F.lit("L"), k % 3 + 1).alias("level"), answer.alias("answer"))
+    log = one.select("k", "level", F.lit(1).alias("at"), F.lit("1990").alias("answer"), F.lit(None).cast("string").alias("error"))
+    log = log.union(one.select("k", "level", F.lit(2), "answer", F.lit(None).cast("string"))).union(one.select("k", "level", F.lit(3), F.lit("1991"), F.lit("timeout")))
+    return rounded(probe.time_probe(log, o.select(k.alias("k"), _day("o_orderdate").alias("day")), "k", EPISODES))
+
+
+@query("""WITH c AS (SELECT o_orderdate::DATE AS day, (o_custkey % 3 + 1)::INT AS tenor, avg(o_totalprice) FILTER (o_orderstatus = 'F') AS nominal, avg(o_totalprice) FILTER (o_orderstatus = 'O') AS real, avg(o_totalprice) AS both_ FROM orders GROUP BY ALL),
+l AS (SELECT day, tenor, 'nominal' AS curve, nominal AS a, both_ AS b FROM c UNION ALL SELECT day, tenor, 'real', real, both_ FROM c)
+SELECT curve, tenor AS "at", count(*) AS n, round(avg(a - b), 4) AS mean_diff, round(max(abs(a - b)), 4) AS max_abs_diff, round(corr(a, b), 6) AS r FROM l WHERE a IS NOT NULL GROUP BY curve, tenor""")
+def curve_validation(spark, sf):
+    o = table(spark, sf, "orders").select(_day("o_orderdate").alias("day"), (F.col("o_custkey") % 3 + 1).cast("int").alias("at"), "o_orderstatus", "o_totalprice")
+    mean = lambda c: F.avg(F.when(c, F.col("o_totalprice")))
+    ours = o.groupBy("day", "at").agg(mean(F.col("o_orderstatus") == "F").alias("nominal"), mean(F.col("o_orderstatus") == "O").alias("real"))
+    official = o.groupBy("day", "at").agg(F.avg("o_totalprice").alias("nominal")).withColumn("real", F.col("nominal"))
+    found = validation.compared_curves(ours, official, ["at"], ["nominal", "real"])
+    return found.withColumns({"mean_diff": F.round("mean_diff", 4), "max_abs_diff": F.round("max_abs_diff", 4), "r": F.round("r", 6)})
+
+
+@query()
+def construct_battery(spark, sf):
+    """The three parts of the construct battery and their verdicts: (part, passed)."""
+    p = _panel(spark, sf)
+    con = validation.convergent_verdict(validation.convergent(p, "month", ["vmax"], ["x", "vmin"]), "vmax", [["x"], ["vmin"]])
+    dis = validation.discriminant_verdict(*validation.discriminant(p, "month", ["vmax"], ["x", "vmin"], ["quantity"]), "vmax", ["x", "vmin"])
+    pre = validation.predictive_verdict(validation.predictive(p, "month", ["vmax"], ["x", "vmin"], [6], "quantity"), "vmax", "x")
+    parts = [(F.lit(n).alias("part"), df) for n, df in (("convergent", con), ("discriminant", dis), ("predictive", pre))]
+    out = [df.select(n, "passed") for n, df in parts]
+    return out[0].union(out[1]).union(out[2])

@@ -101,6 +101,12 @@ def meeting_history(spark: SparkSession, path: str, names: dict[str, str]) -> Da
     return rows.withColumn("day", local_time(F.col("day").cast("string")).cast("date")).where("day is not null")
 
 
+def holiday_list(spark: SparkSession, path: str, column: str = "Data", pattern: str = "dd/MM/yyyy") -> DataFrame:
+    """(day) of a list of holidays in csv; footnotes and blank lines don't parse and fall out. The `extra` of a business calendar."""
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(F.try_to_timestamp(F.col(column), F.lit(pattern)).cast("date").alias("day")).where("day is not null").distinct()
+
+
 def members(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
     """(path, member, content) of all files in zip archives, also in archives within them. An empty or broken archive has none."""
 

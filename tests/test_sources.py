@@ -302,3 +302,31 @@ def test_cut_runs_go_on(spark, tmp_path):
     assert pr.collected(spark, plan, broken, str(tmp_path), "eva", "u string").collect() == []
     lines = spark.read.schema("u string, outlet string, writer string").json(f"{tmp_path}/lines")
     assert sorted((r.u, r.writer) for r in lines.collect()) == [("a|0", "ana"), ("a|2", "ana"), ("a|3", "ana"), ("a|4", "rui"), ("a|5", "rui"), ("b|0", "rui")]
+
+
+def test_verdicts(spark):
+    rng = np.random.default_rng(7)
+    n = 90
+    c = rng.normal(size=n)
+    rows = [(i, float(c[i]), float(0.9 * c[i] + rng.normal(0, 0.4)), float(rng.normal()), float(rng.normal())) for i in range(n)]
+    panel = spark.createDataFrame(rows, "t int, c double, good double, noise double, control double")
+    con = validation.convergent(panel, "t", ["c"], ["good", "noise"])
+    r = validation.convergent_verdict(con, "c", [["good", "noise"]]).first()
+    assert r.passed and r.has_good and not validation.convergent_verdict(con, "c", [["good"], ["noise"]]).first().passed
+    explained, anchors = validation.discriminant(panel, "t", ["c"], ["good", "noise"], ["control"])
+    r = validation.discriminant_verdict(explained, anchors, "c", ["good", "noise"]).first()
+    assert r.passed and r.moved == ["good"] and r.r2 < 0.2
+    table = spark.createDataFrame([("c", "a", 6, 0.3, 0.01, 0.02), ("c", "b", 6, -1.0, 0.5, 0.5), ("c", "a", 3, -9.0, 0.9, 0.9)], "index string, target string, h int, b double, p double, p_holm double")
+    r = validation.predictive_verdict(table, "c", "a").first()
+    assert r.passed and r.p_holm == {"a": 0.02, "b": 0.5} and not validation.predictive_verdict(table, "c", "b").first().passed
+    found = validation.validated_index(panel.withColumn("y", F.col("good")), "t", "y", "control", ["c"], ["noise"])
+    assert found["latent"].count() == n and {x.rival for x in found["encompassing"].collect()} == {"none", "noise"} and found["verdict"].first().n == 2
+
+
+def test_holidays_from_a_list(spark, tmp_path):
+    from folio.operators.calendar import business_calendar
+
+    (tmp_path / "h.csv").write_text("Data,Dia,Nome\n09/07/2024,terca,Local\n09/07/2024,terca,Local\nFonte: x,,\n")
+    days = readers.holiday_list(spark, f"{tmp_path}/h.csv")
+    assert [r.day for r in days.collect()] == [D(2024, 7, 9)]
+    assert not business_calendar(spark, 2024, 2024, days).where("day = '2024-07-09'").first().is_business
