@@ -46,7 +46,7 @@ EARLY = 4
 #: time, not results. They are sent to all tasks, 12 bytes each. Shingles that are counted at a time to find them.
 HOT, COUNTED = 1 << 18, 1 << 21
 #: Members of a cell that one tree holds, about; a cell of more has several.
-TREE_BLOCK = 512
+TREE_BLOCK = 256
 LEAF = 16
 #: Members that a tree is searched for at a time in the last round: what bounds the pairs held in memory.
 QUERIES = 128
