@@ -260,7 +260,11 @@ def _hot(rows: DataFrame) -> np.ndarray:
 
 
 def _members(docs: DataFrame, like: Similarity, hot: np.ndarray) -> DataFrame:
-    """(cell, set, early) of the cells with two sets or more; cells of the same sets are one; early: among a set's EARLY first."""
+    """(cell, set, early) of the cells with two sets or more, a written table; cells of the same sets are one; early: among a set's
+    EARLY first.
+
+    Cells are counted by partial sums, and the join that drops those of one set is one that adaptive execution splits, so a cell
+    that holds a large share of all sets is no single task's."""
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,46 +287,13 @@ def _members(docs: DataFrame, like: Similarity, hot: np.ndarray) -> DataFrame:
                         early = place < EARLY
                     yield _rows(cell.view(np.int64), keys[new][of].view(np.int64), early)
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, member, early = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        open_long = None  # a cell so large that it is passed on in parts, under its own name
-        for batch in _then_none(batches):
-            if batch is not None:
-                cell, member = np.concatenate([cell, batch.column("cell").to_numpy()]), np.concatenate([member, batch.column("set").to_numpy()])
-                early = np.concatenate([early, batch.column("early").to_numpy(zero_copy_only=False)])
-            if not len(cell):
-                continue
-            done = len(cell) if batch is None else int(np.searchsorted(cell, cell[-1]))
-            if batch is not None and len(cell) - done > 1 << 20:
-                yield _rows(cell[done:], member[done:], early[done:])
-                open_long = int(cell[-1])
-                cell, member, early = cell[:done], member[:done], early[:done]
-            c, m, e = cell[:done], member[:done], early[:done]
-            cell, member, early = cell[done:], member[done:], early[done:]
-            if open_long is not None and len(c) and c[0] == open_long:
-                of = c == open_long
-                yield _rows(c[of], m[of], e[of])
-                c, m, e = c[~of], m[~of], e[~of]
-            if len(c) < 2:
-                continue
-            first = np.ones(len(c), bool)
-            first[1:] = (c[1:] != c[:-1]) | (m[1:] != m[:-1])
-            c, m, e = c[first], m[first], np.logical_or.reduceat(e, np.flatnonzero(first))
-            starts = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
-            size = np.diff(np.append(starts, len(c)))
-            name = mix(np.add.reduceat(mix(m.view(np.uint64)), starts) * _A + size.astype(np.uint64))
-            many = np.repeat(size > 1, size)
-            name, m, e = np.repeat(name, size)[many], m[many], e[many]
-            if not len(m):
-                continue
-            order = np.lexsort((m, name))
-            name, m, e = name[order], m[order], e[order]
-            new = np.ones(len(m), bool)
-            new[1:] = (name[1:] != name[:-1]) | (m[1:] != m[:-1])
-            yield _rows(name[new].view(np.int64), m[new], np.logical_or.reduceat(e, np.flatnonzero(new)))
-
-    rows = docs.select("text").mapInArrow(emit, _MEMBERS).repartition(n_tasks(docs.sparkSession), "cell").sortWithinPartitions("cell", "set")
-    return rows.mapInArrow(shared, _MEMBERS).groupBy("cell", "set").agg(F.max("early").alias("early"))
+    each = written(docs.select("text").mapInArrow(emit, _MEMBERS).groupBy("cell", "set").agg(F.max("early").alias("early")), "cells")
+    marks = [F.bit_xor(F.xxhash64(F.lit(i), "set")).alias(f"x{i}") for i in (1, 2)]
+    shared = each.groupBy("cell").agg(F.count("*").alias("n"), *marks).where("n > 1").select(F.col("cell").alias("shared"), F.xxhash64("n", "x1", "x2").alias("name"))
+    named = each.join(shared, F.col("cell") == F.col("shared")).groupBy(F.col("name").alias("cell"), "set").agg(F.max("early").alias("early"))
+    out = written(named, "members")
+    release(each)
+    return out
 
 
 _MEMBERS = "cell long, set long, early boolean"
@@ -567,7 +538,7 @@ def linked_groups(docs: DataFrame, words: int, num: int, den: int, doc_id: str =
     features = written(_features(body, like), "features")
     rows = features.where("seen is null").drop("seen")
     sets = written(rows.where("n > 0").groupBy("set").agg(F.min("id").alias("id")), "sets")
-    members = written(_members(body, like, np.zeros(0, np.uint64) if like.by_blocks else _hot(features)), "cells")
+    members = _members(body, like, np.zeros(0, np.uint64) if like.by_blocks else _hot(features))
     inside = written(members.select("set").distinct().join(sets, "set").select(F.col("set"), id_key(F.col("id")).alias("least")), "inside")
     texts = written(_with_set(body.hint("merge").join(inside, id_key(F.col("id")) == F.col("least")).select("set", "text"), like), "texts")
     at = written(_points(texts, like), "points")
