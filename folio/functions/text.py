@@ -22,25 +22,10 @@ def _one_letter(c: str) -> str | None:
     return rest[0] if len(rest) == 1 else None
 
 
-#: Characters that built-in functions handle: those of Latin scripts and of punctuation that become one character. Built from the rule.
-_LATIN = [chr(c) for c in (*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2028), 0x20AC) if _one_letter(chr(c))]
-MARKED = "".join(c for c in _LATIN if _one_letter(c) != c)
+#: Letters and signs with marks that become one character, and that character. Built from the rule.
+MARKED = "".join(c for c in map(chr, (*range(0x80, 0x250), *range(0x1E00, 0x1F00), *range(0x2010, 0x2028))) if _one_letter(c) not in (None, c))
 PLAIN = "".join(_one_letter(c) for c in MARKED)
-
-
-
-def _ranges(chars: Sequence[str]) -> str:
-    """The inside of a character class: sorted characters as ranges."""
-    out = []
-    for c in map(ord, chars):
-        if out and c == out[-1][1] + 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in out)
-
-
-_OTHER = f"[^\\x00-\\x7F{_ranges(_LATIN)}]"
+_BEYOND = r"[^\x00-\x7F]"
 
 
 @F.pandas_udf(StringType())
@@ -52,9 +37,10 @@ def _decomposed(texts: pd.Series) -> pd.Series:
 def unmarked(col: Column) -> Column:
     """Compatibility decomposition (NFKD) without combining marks.
 
-    Texts of ASCII stay, those of ASCII and Latin letters go by a table; only others are sent to Python, in batches."""
-    other = col.rlike(_OTHER)
-    return F.when(other, _decomposed(F.when(other, col))).when(col.rlike(r"[^\x00-\x7F]"), F.translate(col, MARKED, PLAIN)).otherwise(col)
+    Texts of ASCII stay, those of which a table of Latin letters leaves ASCII go by it; only others are sent to Python, in batches."""
+    by_table = F.when(col.rlike(_BEYOND), F.translate(col, MARKED, PLAIN)).otherwise(col)
+    other = by_table.rlike(_BEYOND)
+    return F.when(other, _decomposed(F.when(other, col))).otherwise(by_table)
 
 
 def norm(col: Column) -> Column:
