@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import incremental as inc
@@ -17,20 +15,16 @@ def _events(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*").withColumn("at", F.col("ts").cast("timestamp"))
 
 
-def _run(stream, mode):
-    return inc.to_memory(stream, f"s{uuid.uuid4().hex}", mode)
-
-
 def stream_sliding(spark, sf):
-    return _run(inc.sliding(_events(spark, sf), "at", "value", "7 days", "1 day", keys=["event_type"]), "complete").select("end", "event_type", "n", F.round("mean", 6).alias("mean"))
+    return inc.to_shared(inc.sliding(_events(spark, sf), "at", "value", "7 days", "1 day", keys=["event_type"]), "complete").select("end", "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
 def stream_sessions(spark, sf):
-    return _run(inc.sessions(_events(spark, sf), "at", ["user_id"], "1 day"), "complete").select("user_id", "start", "n")
+    return inc.to_shared(inc.sessions(_events(spark, sf), "at", ["user_id"], "1 day"), "complete").select("user_id", "start", "n")
 
 
 def stream_first_of_key(spark, sf):
-    return _run(inc.first_of_key(_events(spark, sf), "at", ["event_id"]).select("event_id", "event_type"), "append")
+    return inc.to_shared(inc.first_of_key(_events(spark, sf), "at", ["event_id"]).select("event_id", "event_type"), "append")
 
 
 QUERIES |= {"stream_sliding": stream_sliding, "stream_sessions": stream_sessions, "stream_first_of_key": stream_first_of_key}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import drop_folder, shared_folder
+
 
 def sliding(events: DataFrame, at: str, value: str, length: str = "30 days", step: str = "1 day", late: str = "1 day", keys: list[str] = ()) -> DataFrame:
     """n and mean of each backward window that ends at a step."""
@@ -23,8 +25,24 @@ def first_of_key(events: DataFrame, at: str, keys: list[str], late: str = "2 day
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
-def to_memory(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what is there now and returns what it has written."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+def to_shared(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Runs a stream over what is there now and returns what it has written: in complete mode the rows of the last batch, else those of all.
+
+    Rows and state go from the tasks to the shared folder, not to the driver. A batch that is repeated replaces its own rows.
+    """
+    spark = stream.sparkSession
+    path, state = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
+    batches: dict[int, str] = {}
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/{batch}")
+        batches[batch] = f"{path}/{batch}"
+
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", state).outputMode(mode).trigger(availableNow=True).start()
+    try:
+        q.awaitTermination()
+    finally:
+        drop_folder(spark, state)
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*([batches[max(batches)]] if mode == "complete" else batches.values()))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from folio.operators import corpus
 from folio.operators import index as ix
+from folio.streaming import incremental as inc
 
 SF = "/root/testdata/sf0.001"
 TABLES = ["customer", "documents", "events", "orders"]
@@ -49,6 +50,28 @@ def test_sessions_of_all_users(spark):
     assert sum(r[0] for r in got) == duckdb.sql(f"select count(*) from read_parquet('{sf}/events.parquet')").fetchall()[0][0]
 
 
+def test_streams_leave_their_rows_in_files(spark):
+    for name in ("stream_first_of_key", "stream_sliding", "stream_sessions"):
+        assert entry.queries()[name](spark, SF).inputFiles()  # a table in the driver's memory has none
+    got = rows(spark, "stream_first_of_key")
+    assert got == by_sql("stream_first_of_key")
+    assert len(got) == duckdb.sql(f"select count(*) from read_parquet('{SF}/events.parquet')").fetchall()[0][0]
+
+
+def test_streams_of_several_batches_and_of_none(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    for i, part in enumerate([[(1, at(1)), (2, at(2))], [(2, at(3)), (3, at(4))], [(1, at(5)), (4, at(6))]]):
+        spark.createDataFrame(part, "k int, at timestamp").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = lambda where: spark.readStream.schema("k int, at timestamp").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{where}")
+    first = inc.to_shared(inc.first_of_key(stream("in/*"), "at", ["k"]))
+    assert sorted(r.k for r in first.collect()) == [1, 2, 3, 4]
+    runs = inc.to_shared(inc.sessions(stream("in/*"), "at", ["k"], "1 hour"), "complete")
+    assert sorted((r.k, r.n) for r in runs.collect()) == [(1, 1), (1, 1), (2, 2), (3, 1), (4, 1)]
+    (tmp_path / "none").mkdir()
+    empty = inc.to_shared(inc.first_of_key(stream("none"), "at", ["k"]))
+    assert empty.collect() == [] and empty.columns == ["k", "at"]
+
+
 def test_robustness_without_each_outlet(spark):
     sf = "/root/testdata/sf0.01"
     names = sorted(["left_out", "window", "median_n", "n", "r", "mean_diff", "mean_abs_diff"])
